@@ -29,12 +29,21 @@ BROADCAST_ROWS = 500_000
 _WIDE = 1 << 31
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once: Spark would copy the expression to each place."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def banded_distance(long: Column, short: Column, threshold: int) -> Column:
     """Edit distance of two character arrays, long at least as long as short; threshold + 1 if larger.
 
     Bit-parallel over the band of 2 * threshold + 1 diagonals (Hyyrö, 2003), whose differences to the
     row below are held as bits; the band slides down by one row with each character.
     """
+    return _let(F.struct(long.alias("long"), short.alias("short")), lambda x: _banded(x["long"], x["short"], threshold))
+
+
+def _banded(long: Column, short: Column, threshold: int) -> Column:
     width = 2 * threshold + 1
     mask, top = (1 << width) - 1, 1 << (width - 1)
     start = F.struct(
@@ -51,8 +60,10 @@ def banded_distance(long: Column, short: Column, threshold: int) -> Column:
             if threshold < width - 1 - b:  # a row above the first has no character
                 back = width - 1 - b - threshold
                 hit = hit + F.when((i >= back) & (F.get(long, i - back) == own), F.lit(1 << b)).otherwise(F.lit(0))
+        return _let(hit, lambda h: _let(_same(h, state["up"], state["down"], mask), lambda same: after(state, i, same)))
+
+    def after(state: Column, i: Column, same: Column) -> Column:
         up, down = state["up"], state["down"]
-        same = ((hit.bitwiseAND(up) + up).bitwiseXOR(up)).bitwiseOR(hit).bitwiseOR(down).bitwiseAND(F.lit(mask))
         right = down.bitwiseOR(F.bitwise_not(same.bitwiseOR(up))).bitwiseAND(F.lit(mask))
         left = same.bitwiseAND(up)
         set_ = lambda bits, bit: F.when(bits.bitwiseAND(bit) != 0, F.lit(1)).otherwise(F.lit(0))
@@ -72,6 +83,11 @@ def banded_distance(long: Column, short: Column, threshold: int) -> Column:
     return F.when(apart > threshold, F.lit(threshold + 1)).otherwise(F.least(result, F.lit(threshold + 1)))
 
 
+def _same(hit: Column, up: Column, down: Column, mask: int) -> Column:
+    """Bits of the band's cells that equal their upper left neighbour."""
+    return ((hit.bitwiseAND(up) + up).bitwiseXOR(up)).bitwiseOR(hit).bitwiseOR(down).bitwiseAND(F.lit(mask))
+
+
 def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
