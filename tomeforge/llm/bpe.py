@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeforge.llm.tables import table
+from tomeforge.llm.tables import extended, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pieces that a worker keeps; then it starts anew.
@@ -156,7 +156,7 @@ def _pieces(data: bytes, pattern: str) -> Pieces:
 def encoded(documents: DataFrame, keep: list[str], path: str, pattern: str) -> DataFrame:
     """`keep` and the text's ids (comma-joined), their number, and the bytes that they decode to."""
     sent = documents.sparkSession.sparkContext.broadcast(Path(path).read_bytes())  # a vocabulary: a few MB
-    schema = documents.select(*keep).schema.simpleString()[7:-1] + ",n_tokens long,ids_sha256 string,decoded_sha256 string"
+    schema = extended(documents, keep, "n_tokens long,ids_sha256 string,decoded_sha256 string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(sent.value, pattern)

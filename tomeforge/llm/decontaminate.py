@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeforge.llm.tables import table
+from tomeforge.llm.tables import extended, table
 from tomeforge.llm.textbytes import Words, slices, windows, words
 
 N = 10
@@ -75,13 +75,16 @@ def blocks(benchmark: DataFrame, n: int = N, block_windows: int = BLOCK_WINDOWS)
     return made
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, keep: list[str], n: int = N, clean: bool = False, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def scan(documents: DataFrame, benchmark: DataFrame, keep: list[str], n: int = N, clean: bool = False, block_windows: int = BLOCK_WINDOWS, names: dict[str, str] | None = None) -> DataFrame:
     """Each document row's `keep` columns, word and hit counts and items.
 
     With `clean`, also `clean_text`: the text without its hit words and what stands between them.
+    names: other names for the new columns.
     """
     sent = blocks(benchmark, n, block_windows)
-    schema = documents.select(*keep).schema.simpleString()[7:-1] + ",n_words long,n_hit long,items array<string>" + ",clean_text string" * clean
+    kinds = {"n_words": "long", "n_hit": "long", "items": "array<string>"} | ({"clean_text": "string"} if clean else {})
+    added = {(names or {}).get(c, c): kind for c, kind in kinds.items()}
+    schema = extended(documents, keep, ",".join(f"{c} {kind}" for c, kind in added.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,11 +107,9 @@ def scan(documents: DataFrame, benchmark: DataFrame, keep: list[str], n: int = N
             columns = [batch.column(c) for c in keep]
             columns += [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (counts, hit_counts)]
             columns.append(pa.array(found, pa.list_(pa.string())))
-            names = [*keep, "n_words", "n_hit", "items"]
             if clean:
                 columns.append(pa.array(texts, pa.string()))
-                names.append("clean_text")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *added])
 
     return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tomeforge.llm import crf
 from tomeforge.llm.samples import MOST_CHARS, labelled_sample, learnable
-from tomeforge.llm.tables import table
+from tomeforge.llm.tables import extended, table
 from tomeforge.llm.textbytes import Slice, Words, slices, words
 
 BITS = 16
@@ -100,10 +100,10 @@ def has_letter(part: Slice, row: int) -> bool:
     return bool((data >= 128).any()) and any(c.isalpha() for c in part.text(row))
 
 
-def identified(documents: DataFrame, model: LanguageModel | None, keep: list[str]) -> DataFrame:
-    """`keep`, the predicted language and the share of the words' probability that it has."""
+def identified(documents: DataFrame, model: LanguageModel | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`keep`, the predicted language and the share of the words' probability that it has, so named."""
     sent = documents.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights a language
-    schema = documents.select(*keep).schema.simpleString()[7:-1] + ",lang_pred string,score double"
+    schema = extended(documents, keep, "{} string,{} double".format(*names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -120,7 +120,7 @@ def identified(documents: DataFrame, model: LanguageModel | None, keep: list[str
                     known = own is not None and count and has_letter(part, row)
                     langs.append(own.model.labels[best[row]] if known else UNKNOWN)
                     scores.append(min(1.0, float(share[row, best[row]])) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
     return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 

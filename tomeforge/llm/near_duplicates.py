@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeforge.llm.components import components
-from tomeforge.llm.tables import table, written
+from tomeforge.llm.tables import extended, table, written
 from tomeforge.llm.textbytes import Words, mix, slices, windows, words
 
 U = np.uint64
@@ -78,7 +78,7 @@ def registers(rows: int, owner: np.ndarray, h: np.ndarray, weight: np.ndarray, k
 
 def signed(documents: DataFrame) -> DataFrame:
     """doc_id, two hashes of the word sequence (null without words) and the band keys."""
-    schema = documents.select("doc_id").schema.simpleString()[7:-1] + ",k1 long,k2 long,bands array<long>"
+    schema = extended(documents, ["doc_id"], "k1 long,k2 long,bands array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,8 +124,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 kept.append(shared >= threshold * (len(x) + len(y) - shared) - 1e-9 if len(x) and len(y) else False)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    schema = both.select("a", "b").schema.simpleString()[7:-1]
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(run, both.select("a", "b").schema)
 
 
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -159,5 +158,11 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return known.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
 
 
+def representatives(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class with all its columns; rows without doc_id stay, but for equal rows."""
+    gone = classes(documents, threshold).where("class_id != doc_id").select("doc_id").distinct()
+    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns).dropDuplicates(["doc_id", "text"])
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tomeforge.llm import crf
 from tomeforge.llm.samples import MOST_CHARS
-from tomeforge.llm.tables import table
+from tomeforge.llm.tables import extended, table
 from tomeforge.llm.textbytes import Slice, Words, slices, words
 
 BITS = 16
@@ -201,7 +201,7 @@ def fit(texts: list[str], seed: int = 7) -> crf.Model | None:
 def scanned(documents: DataFrame, model: crf.Model | None, keep: list[str]) -> DataFrame:
     """`keep` and an array of (kind, start, end), by start and then kind as in KINDS."""
     sent = documents.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights for three labels
-    schema = documents.select(*keep).schema.simpleString()[7:-1] + ",spans array<struct<kind:string,start:int,end:int>>"
+    schema = extended(documents, keep, "spans array<struct<kind:string,start:int,end:int>>")
     kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

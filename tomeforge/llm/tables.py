@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +38,8 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def extended(df: DataFrame, keep: list[str], added: str) -> StructType:
+    """The schema of the columns `keep` with more fields, given as DDL."""
+    return StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(added).fields])

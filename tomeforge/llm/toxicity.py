@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tomeforge.llm import crf
 from tomeforge.llm.samples import MOST_CHARS, labelled_sample, learnable
-from tomeforge.llm.tables import table
+from tomeforge.llm.tables import extended, table
 from tomeforge.llm.textbytes import Slice, Words, mix, slices, words
 
 BITS = 16
@@ -123,7 +123,7 @@ def _spans(part: Slice, w: Words, p: np.ndarray) -> list[str]:
 def scored(documents: DataFrame, model: ToxicityModel | None, keep: list[str]) -> DataFrame:
     """`keep`, the score and the offending spans."""
     sent = documents.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights for two labels
-    schema = documents.select(*keep).schema.simpleString()[7:-1] + ",score double,spans string"
+    schema = extended(documents, keep, "score double,spans string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
