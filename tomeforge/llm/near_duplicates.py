@@ -9,9 +9,11 @@ similarity of their weighted elements.
 
 Texts with equal words form one class before anything else. Registers are cut into bands; the class
 representatives that share a band form a bucket. Every member of a bucket is compared with the
-bucket's least one; then members which that left in different components are compared with each other,
-so that a large group of copies costs one comparison a member while no candidate pair between
-different components is passed over. A comparison counts if the exact Jaccard similarity of the two
+bucket's least one, so that a large group of copies costs one comparison a member. Where that leaves a
+bucket in several components, its members are joined by a prefix filter, which loses no similar pair:
+elements in order of how few documents have them, two similar sets share one so early in both that
+enough others can follow. Most members of a large group that aren't similar to its least one begin
+with elements that nothing else has. A comparison counts if the exact Jaccard similarity of the two
 sets of elements is THRESHOLD or more. Classes are the connected components.
 
 Null and empty texts and texts without a word are classes of their own. Repeated rows share a class.
@@ -127,6 +129,40 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, both.select("a", "b").schema)
 
 
+def _elements_of(texts: DataFrame) -> DataFrame:
+    """doc_id, number of distinct shingles, and the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                n = part.last - part.first
+                owner, h, _ = elements(words(part))
+                order = np.argsort(owner, kind="stable")
+                edges = np.searchsorted(owner[order], np.arange(n + 1))
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(h[order].view(np.int64), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, n), pa.array(np.diff(edges), pa.int64()), lists], ["doc_id", "size", "elements"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, extended(texts, ["doc_id"], "size long, elements array<long>"))
+
+
+def _prefix_pairs(wanted: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components, one of them `away`, that may be similar; wanted: doc_id, component, away."""
+    sets = _elements_of(texts.join(wanted.select("doc_id"), "doc_id", "left_semi"))
+    each = written(sets.select("doc_id", "size", F.explode("elements").alias("element")), "elements")
+    often = each.groupBy("element").agg(F.count("*").alias("often")).where("often > 1")
+    lists = each.join(often, "element").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("list"))
+    # elements that no other document has come first, and needn't be listed for that
+    placed = lists.select("doc_id", "size", (F.col("size") - F.size("list")).alias("alone"), F.posexplode("list").alias("i", "e"))
+    placed = placed.select("doc_id", "size", F.col("e.element").alias("element"), (F.col("alone") + F.col("i")).alias("at")).where(F.col("at") <= (1 - threshold) * F.col("size") + 1e-9)
+    placed = placed.join(wanted, "doc_id")
+    left = placed.where("away").select("element", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "size", "at", "component")))
+    right = placed.select("element", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "size", "at", "component")))
+    needed = (F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-6
+    early = (F.col("size_a") - F.col("at_a") >= needed) & (F.col("size_b") - F.col("at_b") >= needed)
+    pairs = left.join(right, (left["element"] == right["element"]) & (F.col("component_a") != F.col("component_b")) & early)
+    return pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+
+
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and copy_of (the least one with equal words)."""
     signs = written(signed(documents), "signatures")
@@ -143,13 +179,11 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = components(links)
     placed = inside.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = written(placed, "placed")
-    # buckets that hold several components: what is outside the least one's against all others
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
     rest = placed.join(mixed, "band")
     home = rest.where("rep = least").select("band", F.col("component").alias("home"))
-    away = rest.join(home, "band").where("component != home").select("band", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    others = rest.where("rep != least").select("band", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    more = away.join(others, "band").where("ca != cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = rest.join(home, "band").groupBy(F.col("rep").alias("doc_id"), "component").agg(F.max(F.col("component") != F.col("home")).alias("away"))
+    more = _prefix_pairs(written(rest, "mixed"), texts, threshold)
     links = links.union(written(_similar(more, texts, threshold), "similar"))
     named = components(links)
     final = groups.select("k1", "k2", "rep").join(named.withColumnRenamed("node", "rep"), "rep", "left")
