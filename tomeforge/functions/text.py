@@ -117,7 +117,7 @@ def paragraph_units(text: Column) -> Column:
     bodies = F.aggregate(
         pieces,
         F.array().cast("array<struct<body:string,start:int,end:int>>"),
-        lambda done, x: F.concat(done, F.array(F.struct(x.alias("body"), F.coalesce(F.element_at(done, -1)["end"], F.lit(0)).alias("start"), (F.coalesce(F.element_at(done, -1)["end"], F.lit(0)) + F.length(x)).alias("end")))),
+        lambda done, x: F.concat(done, F.array(F.struct(x.alias("body"), F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)).alias("start"), (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + F.length(x)).alias("end")))),
     )
     return F.when(text.isNotNull(), F.when(F.size(pieces) > 0, bodies).otherwise(F.array().cast("array<struct<body:string,start:int,end:int>>")))
 

@@ -33,7 +33,7 @@ records as (select doc_id as id, doc_id % 97 as entity_id, source as source_id,
 versions as (select doc_id * 10 + 1 as id, case when doc_id % 61 = 0 then doc_id + 1 else doc_id end as record_id,
     case doc_id % 3 when 0 then 'transcribed_reference' when 1 then 'phase3_extraction' else 'import' end as origin, lang as universe, n_chars from documents),
 profiles as (select doc_id * 10 + 1 as version_id, doc_id % 13 as hull from documents where doc_id % 4 = 0),
-entities as (select distinct doc_id % 97 as id, case when doc_id % 97 in (5, 11, 17) then null when doc_id % 97 % 3 = 0 then (doc_id % 97 * 5 + 7) % 97 else null end as redirect_to
+entities as (select distinct doc_id % 97 as id, case when doc_id % 97 in (5, 11, 17) then null when doc_id % 97 % 3 = 0 then (doc_id % 97 * 2 + 3) % 96 else null end as redirect_to
     from documents where doc_id % 97 <> 23)
 """
 
@@ -63,7 +63,7 @@ def profiles(table) -> DataFrame:
 
 def entities(table) -> DataFrame:
     e = F.col("doc_id") % 97
-    to = F.when(e.isin(5, 11, 17), None).when(e % 3 == 0, (e * 5 + 7) % 97)
+    to = F.when(e.isin(5, 11, 17), None).when(e % 3 == 0, (e * 2 + 3) % 96)
     return table("documents").where(e != 23).select(e.alias("id"), to.alias("redirect_to")).distinct()
 
 
