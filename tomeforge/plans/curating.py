@@ -1 +1,332 @@
-"""."""
+"""Queries over decisions, spans, progress and profiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tomeforge.functions import records as rec
+from tomeforge.operators import curation, progress
+from tomeforge.plans.base import query
+
+#: White space as Java's \s has it.
+COLLAPSED = r"lower(trim(regexp_replace({}, '[ \t\n\x0B\f\r]+', ' ', 'g')))"
+
+
+@query(f"with d as (select source, doc_id, min(doc_id) over (partition by source, {COLLAPSED.format('text')}) as first_id from documents) select source, doc_id, case when first_id <> doc_id then first_id end as copy_of from d")
+def exact_copies(table, spark):
+    """Equal texts of an entity whatever their wrapping."""
+    return curation.exact_copies(table("documents"), "source", "doc_id", "text")
+
+
+UNITS = r"u as (select source, doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null)"
+
+
+@query(f"with {UNITS}, k as (select distinct source, line from u where doc_id % 10 < 3) select u.source, u.doc_id, bool_and(k.line is not null) as covered from u left join k using (source, line) where u.doc_id % 10 >= 3 group by 1, 2 having bool_and(k.line is not null)")
+def unit_containment(table, spark):
+    """Documents whose every unit is in the retained set, as a join and a group."""
+    u = table("documents").where("text is not null").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    k = u.where("doc_id % 10 < 3").select("source", "line").distinct().withColumn("known", F.lit(True))
+    held = u.where("doc_id % 10 >= 3").join(k, ["source", "line"], "left").groupBy("source", "doc_id").agg(F.bool_and(F.col("known").isNotNull()).alias("covered"))
+    return held.where("covered")
+
+
+@query("with p as (select l_orderkey * 10 + l_linenumber as id, round(l_discount * 10, 2) as p_no from lineitem) select case when p_no > 0.80 then 'exclude_redundant' else 'retain' end as selection, count(*) as n from p group by 1")
+def threshold_decisions(table, spark):
+    """Excluded only strictly above 0.80."""
+    p = F.round(F.col("l_discount") * 10, 2)
+    return table("lineitem").groupBy(curation.decision(p).alias("selection")).agg(F.count("*").alias("n"))
+
+
+@query("select l_returnflag as reason, count(*) filter (where l_linestatus = 'F') as retained, count(*) filter (where l_linestatus = 'O' and l_quantity > 10) as excluded, count(*) filter (where l_linestatus = 'O' and l_quantity <= 10) as pending from lineitem group by 1")
+def reason_counts(table, spark):
+    """Retained, excluded and pending by reason."""
+    s, q = F.col("l_linestatus"), F.col("l_quantity")
+    return table("lineitem").groupBy(F.col("l_returnflag").alias("reason")).agg(F.count_if(s == "F").alias("retained"), F.count_if((s == "O") & (q > 10)).alias("excluded"), F.count_if((s == "O") & (q <= 10)).alias("pending"))
+
+
+@query("select event_type, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as median, quantile_disc(value, 0.95) as p95 from events group by 1")
+def latencies(table, spark):
+    """Mean, median and 95th percentile."""
+    v = F.col("value")
+    return table("events").groupBy("event_type").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
+
+
+#: Lines of a document as votes on it; some have a gap, an overlap, a wrong body or no tail.
+VOTES = r"""
+l as (select doc_id, text, n, line, cast(sum(length(line) + 1) over (partition by doc_id order by n) as bigint) as stop, count(*) over (partition by doc_id) as total from (select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n from documents where text is not null)),
+v as (select doc_id as paragraph, text || chr(10) as body, cast(0 as bigint) as offset_start, cast(length(text) + 1 as bigint) as offset_end, n, total, stop - length(line) - 1 + case when doc_id % 11 = 0 and n = 2 then 1 when doc_id % 13 = 0 and n = 2 then -1 else 0 end as fragment_start,
+    stop as fragment_end, case when doc_id % 17 = 0 and n = 3 then '?' || line || chr(10) else line || chr(10) end as fragment_body from l where not (doc_id % 19 = 0 and n = total))
+"""
+
+TILING_SQL = f"""
+with {VOTES}, w as (select *, coalesce(lag(fragment_end) over o, offset_start) as before, lead(fragment_start) over o is null as last from v window o as (partition by paragraph order by fragment_start, fragment_end)),
+e as (select paragraph, fragment_start, fragment_end, case when fragment_start > before then 'gap' when fragment_start < before then 'overlap' when fragment_end <= fragment_start or fragment_end > offset_end then 'bounds'
+    when substr(body, fragment_start + 1, fragment_end - fragment_start) <> fragment_body then 'body' when last and fragment_end <> offset_end then 'missing_tail' end as reason from w)
+select paragraph, min_by(reason, (fragment_start, fragment_end)) as reason from e where reason is not null group by 1
+"""
+
+
+def _votes(table):
+    from pyspark.sql import Window
+
+    d = table("documents").where("text is not null").select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("i", "line"), F.size(F.split("text", "\n")).alias("total"))
+    stop = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("i"))
+    d = d.withColumn("stop", stop).withColumn("n", F.col("i") + 1)
+    k, n = F.col("doc_id"), F.col("n")
+    shift = F.when((k % 11 == 0) & (n == 2), 1).when((k % 13 == 0) & (n == 2), -1).otherwise(0)
+    rows = d.where(~((k % 19 == 0) & (n == F.col("total"))))
+    return rows.select(
+        k.alias("paragraph"),
+        F.concat("text", F.lit("\n")).alias("body"),
+        F.lit(0).alias("offset_start"),
+        (F.length("text") + 1).alias("offset_end"),
+        (F.col("stop") - F.length("line") - 1 + shift).cast("int").alias("fragment_start"),
+        F.col("stop").cast("int").alias("fragment_end"),
+        F.when((k % 17 == 0) & (n == 3), F.concat(F.lit("?"), "line", F.lit("\n"))).otherwise(F.concat("line", F.lit("\n"))).alias("fragment_body"),
+        n.alias("n"),
+    )
+
+
+@query(TILING_SQL)
+def tiling_errors(table, spark):
+    """Fragments that don't tile their paragraph."""
+    return curation.tiling_errors(_votes(table), "paragraph")
+
+
+SPANS_SQL = f"""
+with {VOTES}, q as (select *, case (paragraph + n) % 3 when 0 then 'redundant' when 1 then 'useful' else 'unsure' end as decision, case paragraph % 4 when 0 then 'reference' when 1 then 'add' when 2 then 'add_uncertain' else 'metadata' end as status from v)
+select paragraph, status as status, sha256(body) as body_sha256, offset_start, offset_end from (select distinct paragraph, status, body, offset_start, offset_end from q where status = 'reference')
+union all select paragraph, case when decision = 'useful' then 'add' else 'add_uncertain' end, sha256(fragment_body), fragment_start, fragment_end from q where status in ('add', 'add_uncertain') and decision <> 'redundant'
+"""
+
+
+@query(SPANS_SQL)
+def selected_spans(table, spark):
+    """selected subspans of voted paragraphs."""
+    v = _votes(table)
+    k = F.col("paragraph")
+    status = F.when(k % 4 == 0, "reference").when(k % 4 == 1, "add").when(k % 4 == 2, "add_uncertain").otherwise("metadata")
+    paragraphs = v.select("paragraph", status.alias("status"), "body", "offset_start", "offset_end").dropDuplicates(["paragraph"])
+    choice = (k + F.col("n")) % 3
+    votes = v.select("paragraph", "fragment_start", "fragment_end", "fragment_body", F.when(choice == 0, "redundant").when(choice == 1, "useful").otherwise("unsure").alias("decision"))
+    rows = curation.selected_spans(paragraphs, votes)
+    return rows.select("paragraph", "status", F.sha2("body", 256).alias("body_sha256"), F.col("offset_start").cast("long").alias("offset_start"), F.col("offset_end").cast("long").alias("offset_end"))
+
+
+CONTAINED_SQL = """
+with old as (select l_orderkey as doc, l_linenumber as block, l_partkey % 50 as s, l_partkey % 50 + l_quantity::int % 7 as e from lineitem), new as (select o_orderkey as doc, i * 12 as s, i * 12 + 14 as e from orders, range(0, 5) as r(i))
+select holders, count(*) as n from (select o.doc, o.block, count(*) filter (where n.s <= o.s and o.e <= n.e) as holders from old o left join new n on n.doc = o.doc group by 1, 2) group by 1
+"""
+
+
+@query(CONTAINED_SQL)
+def contained_blocks(table, spark):
+    """In how many new blocks each old one lies whole."""
+    s = F.col("l_partkey") % 50
+    old = table("lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("block"), s.alias("start"), (s + F.col("l_quantity").cast("int") % 7).alias("end"))
+    new = table("orders").select(F.col("o_orderkey").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("doc", (F.col("i") * 12).cast("long").alias("start"), (F.col("i") * 12 + 14).cast("long").alias("end"))
+    return curation.contained_blocks(old, new).groupBy("holders").agg(F.count("*").alias("n"))
+
+
+@query(f"""with p as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n, unnest(string_split(text, chr(10))) as t from documents where text is not null)
+select doc_id, n as position, 'P' || lpad((row_number() over (partition by doc_id order by n))::varchar, 5, '0') as number, case when row_number() over (partition by doc_id, {COLLAPSED.format('t')} order by n) > 1 then 'skip_redundant' else 'add' end as status from p""")
+def numbered_paragraphs(table, spark):
+    """Paragraph numbers, and exact copies skipped."""
+    p = table("documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t")).withColumn("position", (F.col("i") + 1).cast("long"))
+    return curation.numbered_paragraphs(p, "doc_id", "position", "t")
+
+
+MILESTONES_SQL = "with d as (select count(*) as n from events where event_type <> 'x') select cast(m as bigint) as milestone from (select unnest(range(700, (select n from d) + 1, 700)) as m) where m % 2100 <> 0"
+
+
+@query(MILESTONES_SQL)
+def milestones(table, spark):
+    """Milestones that haven't been told yet."""
+    done = table("events").agg(F.count("*").cast("int").alias("done"))
+    seen = table("events").select((F.col("event_id") * 2100).alias("milestone")).where("event_id < 1000")
+    return progress.milestones(done, "done", 700, seen).select(F.col("milestone").cast("long").alias("milestone"))
+
+
+PROGRESS_SQL = """
+with c as (select event_type as stage, count(*) as total, count(*) filter (where user_id % 3 = 0) as done, count(*) filter (where user_id % 9 = 0) as initial, date_diff('second', min(ts), max(ts)) as elapsed from events group by 1),
+r as (select *, (done - initial) / elapsed::double as rate from c)
+select stage, total, done, round(rate, 6) as per_second, cast(case when rate > 0 then round((total - done) / rate) end as bigint) as eta_seconds from r
+"""
+
+
+@query(PROGRESS_SQL)
+def progress_rows(table, spark):
+    """Rate and time left."""
+    u = F.col("user_id")
+    seconds = F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))
+    c = table("events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("total"), F.count_if(u % 3 == 0).alias("done"), F.count_if(u % 9 == 0).alias("initial"), seconds.alias("elapsed"))
+    r = c.withColumn("rate", progress.rate(F.col("done"), F.col("initial"), F.col("elapsed")))
+    return r.select("stage", "total", "done", F.round("rate", 6).alias("per_second"), progress.eta(F.col("total"), F.col("done"), F.col("rate")).alias("eta_seconds"))
+
+
+GATE_SQL = """
+with s as (select user_id, event_id, case when event_type = (select min(event_type) from events) or value > 300 then event_type end as reason, cast(value as bigint) % 100 as mib from events),
+w as (select *, lag(reason) over (partition by user_id order by event_id) as before from s)
+select user_id, event_id, coalesce(reason is not null and (mib >= 64 or before is not null), false) as confirmed from w
+"""
+
+
+@query(GATE_SQL)
+def confirmation_gate(table, spark):
+    """A reason counts the second time running, or at once with a real allocation."""
+    e = table("events")
+    first = e.agg(F.min("event_type").alias("first"))
+    s = e.crossJoin(F.broadcast(first))  # one row
+    s = s.select("user_id", "event_id", F.when((F.col("event_type") == F.col("first")) | (F.col("value") > 300), F.col("event_type")).alias("reason"), (F.round("value", 0).cast("long") % 100).alias("mib"))
+    return progress.confirmed(s, "user_id", "event_id", "reason", "mib").select("user_id", "event_id", "confirmed")
+
+
+COST_SQL = """
+with u as (select l_orderkey * 100 + l_linenumber as k, l_partkey * 37 as i, l_suppkey * 11 as o, (l_partkey % 9) * 9000 as r, (l_suppkey % 5) * 100 as w, (l_suppkey % 7) * 60 as h, l_quantity > 25 as batch from lineitem)
+select k % 1000 as bucket, count(*) filter (where w - h < 0) as invalid,
+    cast(sum(case when w - h >= 0 then (i * 0.10 + o * 0.50 + r * 0.01 + (w - h) * 0.125 + h * 0.20) * (case when i + r + w > 100000 then 5 else 1 end) * (case when batch then 0.5 else 1 end) / 1000000.0 end) as decimal(18, 6)) as usd from u group by 1
+"""
+
+
+@query(COST_SQL)
+def usage_costs(table, spark):
+    """exact cost of usage counters; impossible counters have none."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    hour, writes = (s % 7) * 60, (s % 5) * 100
+    cost = rec.usage_cost(p * 37, s * 11, (p % 9) * 9000, writes, hour, F.col("l_quantity") > 25)
+    rows = table("lineitem").select(((F.col("l_orderkey") * 100 + F.col("l_linenumber")) % 1000).alias("bucket"), cost.alias("usd"))
+    return rows.groupBy("bucket").agg(F.count_if(F.col("usd").isNull()).alias("invalid"), F.sum("usd").cast("decimal(18,6)").alias("usd"))
+
+
+KIND_SQL = r"""
+with c as (select p_partkey, case p_partkey % 8 when 0 then ['Ships of the line', 'People'] when 1 then ['Force powers'] when 2 then ['Relationships'] when 3 then ['Lost worlds', 'Moon'] when 4 then ['Règles avancées'] when 5 then ['DROIDS'] when 6 then [] else ['Battle plan', 'Rule'] end as cats from part)
+select p_partkey as id, case p_partkey % 8 when 0 then 'person' when 1 then 'force_power' when 3 then 'location' when 4 then 'rule' when 5 then 'droid_model' when 7 then 'event' else 'unknown' end as kind from c
+"""
+
+
+@query(KIND_SQL)
+def category_kinds(table, spark):
+    """the first word rule that matches the categories."""
+    lists = [["Ships of the line", "People"], ["Force powers"], ["Relationships"], ["Lost worlds", "Moon"], ["Règles avancées"], ["DROIDS"], [], ["Battle plan", "Rule"]]
+    cats = F.array().cast("array<string>")
+    for n, words in enumerate(lists):
+        cats = F.when(F.col("p_partkey") % 8 == n, F.array(*map(F.lit, words)).cast("array<string>")).otherwise(cats)
+    return table("part").select(F.col("p_partkey").alias("id"), rec.category_kind(cats).alias("kind"))
+
+
+SECTION_SQL = """
+with r as (select doc_id, case when doc_id % 23 = 0 then 'scenario' when doc_id % 29 = 0 then 'other' end as scope, case when doc_id % 10 = 0 then 'category : x' else 'x' end as name, case when doc_id % 14 = 0 then 10 else 0 end as ns,
+    case doc_id % 3 when 0 then 'transcribed_reference' when 1 then 'phase3_extraction' else 'import' end as origin, case doc_id % 4 when 0 then 'scenario' when 1 then 'event' else 'person' end as kind, case when doc_id % 5 = 1 then 'addons' else 'core' end as coll from documents)
+select case when scope = 'scenario' then 'scenario' when name = 'category : x' or ns = 10 then 'metadata' when origin = 'transcribed_reference' then 'source' when kind = 'scenario' or (kind = 'event' and origin = 'phase3_extraction' and coll = 'addons') then 'scenario' else 'reference' end as section,
+    case when scope = 'scenario' then 'source_section' when name = 'category : x' or ns = 10 then 'wiki_template_or_category' when origin = 'transcribed_reference' then 'transcript_unit' when kind = 'scenario' then 'scenario_kind' when kind = 'event' and origin = 'phase3_extraction' and coll = 'addons' then 'campaign_event' else 'reference_default' end as reason,
+    count(*) as n from r group by 1, 2
+"""
+
+
+@query(SECTION_SQL)
+def record_sections(table, spark):
+    """sections of records and why."""
+    d = F.col("doc_id")
+    scope = F.when(d % 23 == 0, "scenario").when(d % 29 == 0, "other")
+    origin = F.when(d % 3 == 0, "transcribed_reference").when(d % 3 == 1, "phase3_extraction").otherwise("import")
+    kind = F.when(d % 4 == 0, "scenario").when(d % 4 == 1, "event").otherwise("person")
+    s = rec.section(scope, F.when(d % 10 == 0, "category : x").otherwise("x"), F.when(d % 14 == 0, 10).otherwise(0), origin, kind, F.when(d % 5 == 1, "addons").otherwise("core"))
+    return table("documents").select(s.alias("s")).groupBy("s.section", "s.reason").agg(F.count("*").alias("n"))
+
+
+STATS_SQL = """
+select p_partkey as id, 'attribute.dexterity' as field, '/stats/DEX' as source_path, 'dice' as unit, cast((p_size % 6 + 1) * 3 + p_size % 3 as bigint) as total_pips from part
+union all select p_partkey, 'cost', '/a~1Price~0' , 'source_value', null from part where false
+union all select p_partkey, 'hull', '/Hull', 'source_value', null from part
+"""
+
+
+@query(STATS_SQL)
+def stat_fields(table, spark):
+    """known stats of JSON payloads, with their paths; weapons aren't entered."""
+    s = F.col("p_size")
+    dex = F.concat((s % 6 + 1).cast("string"), F.lit("D+"), (s % 3).cast("string"))
+    payload = F.concat(F.lit('{"stats": {"DEX": "'), dex, F.lit('"}, "Hull": '), s.cast("string"), F.lit(', "weapons": {"damage": "4D"}, "x": 1}'))
+    rows = table("part").select(F.col("p_partkey").alias("id"), F.explode(rec.stat_fields(payload)).alias("f"))
+    return rows.select("id", "f.field", "f.source_path", "f.unit", F.col("f.total_pips").cast("long").alias("total_pips"))
+
+
+@query("select p_size % 6 as dex, p_size % 2 as move, count(*) as n, count(distinct p_size % 6 * 2 + p_size % 2) as signatures from part group by 1, 2")
+def profile_signatures(table, spark):
+    """spellings and provenance make no new profile, mechanics do."""
+    s, k = F.col("p_size"), F.col("p_partkey")
+    payload = F.concat(F.lit('{"'), F.when(k % 2 == 0, "DEX").otherwise("dexterity"), F.lit('": "'), (s % 6).cast("string"), F.when(k % 3 == 0, "D").otherwise("d"), F.lit('", "name": "n'), k.cast("string"), F.lit('", "move": '), (s % 2).cast("string"), F.lit("}"))
+    rows = table("part").select((s % 6).alias("dex"), (s % 2).alias("move"), rec.profile_signature(payload).alias("sig"))
+    return rows.groupBy("dex", "move").agg(F.count("*").alias("n"), F.count_distinct("sig").alias("signatures"))
+
+
+PRESERVE_SQL = """
+with r as (select s_suppkey % 20 as k, case when s_suppkey % 3 = 0 then '1e' else '2e' end as ed, case when s_suppkey % 4 = 0 then null else 'era' || (s_suppkey % 5) end as ep from supplier), k as (select k, list(distinct ed) as eds, list(distinct ep) as eps, list(distinct (ed, ep)) as both from r group by k),
+c as (select c_custkey as id, c_custkey % 22 as k, case when c_custkey % 2 = 0 then '2e' when c_custkey % 7 = 0 then '3e' end as ed, case when c_custkey % 5 < 4 then 'era' || (c_custkey % 6) end as ep from customer),
+f as (select c.id, c.ed is not null and not coalesce(list_contains(eds, c.ed), false) as n1, c.ep is not null and not coalesce(list_contains(eps, c.ep), false) as n2, c.ed, c.ep,
+    exists (select 1 from r where r.k = c.k and (c.ed is null or r.ed = c.ed) and (c.ep is null or r.ep = c.ep)) as covered from c left join k on k.k = c.k)
+select id, concat_ws(',', case when n1 then 'new_edition' end, case when n2 then 'new_epoch' end, case when not n1 and not n2 and not covered and (ed is not null or ep is not null) then 'distinct_profile' end) as reasons from f
+"""
+
+
+@query(PRESERVE_SQL)
+def preserve_reasons(table, spark):
+    """why a variant isn't covered by what was retained."""
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    retained = table("supplier").select((s % 20).alias("k"), F.when(s % 3 == 0, "1E").otherwise("2e ").alias("edition"), F.when(s % 4 != 0, F.concat(F.lit("Era"), (s % 5).cast("string"))).alias("epoch"), none.alias("continuity"))
+    candidates = table("customer").select(c.alias("id"), (c % 22).alias("k"), F.when(c % 2 == 0, " 2E").when(c % 7 == 0, "3e").alias("edition"), F.when(c % 5 < 4, F.concat(F.lit("ERA"), (c % 6).cast("string"))).alias("epoch"), none.alias("continuity"))
+    return rec.preserve_reasons(candidates, retained, "k").select("id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("select l_orderkey as id, array_to_string(list_sort(list_distinct(list(l_suppkey) || list(l_partkey % 100))), ',') as links from lineitem group by 1")
+def union_append(table, spark):
+    """Two lists of links appended without repeats."""
+    rows = table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_suppkey").alias("a"), F.collect_set(F.col("l_partkey") % 100).alias("b"))
+    return rows.select("id", F.array_join(F.array_sort(F.array_union("a", "b")), ",").alias("links"))
+
+
+@query("with r as (select doc_id, sha256(lang || '|' || source) as request from documents), c as (select distinct request from r where doc_id % 4 = 0) select count(*) filter (where request in (select request from c)) as cached, count(*) filter (where request not in (select request from c)) as open from r")
+def request_cache(table, spark):
+    """I8: requests that an identical one has answered."""
+    r = table("documents").select("doc_id", F.sha2(F.concat_ws("|", "lang", "source"), 256).alias("request"))
+    known = r.where("doc_id % 4 = 0").select("request").distinct().withColumn("known", F.lit(True))
+    return r.join(known, "request", "left").agg(F.count_if(F.col("known").isNotNull()).alias("cached"), F.count_if(F.col("known").isNull()).alias("open"))
+
+
+@query()
+def coverage_loop(table, spark):
+    """Each entity's documents held against those retained before; tested against fixtures."""
+    d = F.col("doc_id")
+    rows = table("documents").select(F.floor(d / 20).alias("entity"), d.alias("document"), d.alias("position"), F.col("text").alias("body"), F.lit(None).cast("string").alias("profile"), F.lit(False).alias("has_image"), F.when(d % 3 == 0, '{"*": 0.9}').alias("answers"))
+    return curation.coverage(rows).select("entity", "document", "selection", "reason", F.array_join("covered_by", ",").alias("covered_by"))
+
+
+@query("select event_type, count(*) as n from events group by 1")
+def streamed_counts(table, spark):
+    """A stream over the files of events, run until all that arrived is done."""
+    import uuid
+
+    from tomeforge.streaming.jobs import run_available
+
+    name = f"counts_{uuid.uuid4().hex}"
+    source = table("events")
+    folder = source.inputFiles()[0].rsplit("/", 1)[0]
+    only = "events*" if "events.parquet" in source.inputFiles()[0].rsplit("/", 1)[1] else "*"
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", only).parquet(folder)
+    shared = _shared(spark)
+    run_available(stream, lambda batch, n: batch.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{shared}/{name}/batch={n}"), f"{shared}/{name}-checkpoint")
+    return spark.read.parquet(f"{shared}/{name}").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+def _shared(spark) -> str:
+    import tempfile
+
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tomeforge-")
+
+
+@query("select date_trunc('day', ts) as day, event_type, count(*) as n from events group by 1, 2")
+def daily_windows(table, spark):
+    """Extra: tumbling windows, as the streaming job closes them."""
+    rows = table("events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return rows.select(F.col("w.start").alias("day"), "event_type", "n")
