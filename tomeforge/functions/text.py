@@ -127,7 +127,7 @@ NATIVE_TEXT_MARKER = "<!-- native-text-supplement: pdf-text-layer; uncorrected -
 
 def with_native_text(text: Column, native: Column) -> Column:
     """The text with the page's native layer after a marker, once."""
-    lines = F.array_join(F.transform(F.split(F.btrim(native, F.lit(" \t\r\n")), "\n"), F.rtrim), "\n")
+    lines = F.array_join(F.transform(F.split(F.btrim(native, F.lit(" \t\r\n")), "\n"), lambda x: F.regexp_replace(x, r"\s+\z", "")), "\n")
     added = F.concat(F.regexp_replace(text, r"\s+\z", ""), F.lit(f"\n\n{NATIVE_TEXT_MARKER}\n\n"), lines, F.lit("\n"))
     return F.when(F.contains(text, F.lit(NATIVE_TEXT_MARKER)), text).otherwise(added)
 
