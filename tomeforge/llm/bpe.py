@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeforge.llm.tables import extended, table
+from tomeforge.llm.tables import extended, mapped, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pieces that a worker keeps; then it starts anew.
@@ -171,7 +171,7 @@ def encoded(documents: DataFrame, keep: list[str], path: str, pattern: str) -> D
             columns = [*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return mapped(documents.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

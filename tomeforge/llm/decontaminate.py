@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeforge.llm.tables import extended, table
+from tomeforge.llm.tables import extended, mapped, table
 from tomeforge.llm.textbytes import Words, slices, windows, words
 
 N = 10
@@ -111,7 +111,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, keep: list[str], n: int = N
                 columns.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, [*keep, *added])
 
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return mapped(documents.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
 
 def _without(part, w: Words, covered: np.ndarray, row: int) -> str:

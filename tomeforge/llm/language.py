@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tomeforge.llm import crf
 from tomeforge.llm.samples import MOST_CHARS, labelled_sample, learnable
-from tomeforge.llm.tables import extended, table
+from tomeforge.llm.tables import extended, mapped, table
 from tomeforge.llm.textbytes import Slice, Words, slices, words
 
 BITS = 16
@@ -122,7 +122,7 @@ def identified(documents: DataFrame, model: LanguageModel | None, keep: list[str
                     scores.append(min(1.0, float(share[row, best[row]])) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return mapped(documents.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
 
 def fitted(documents: DataFrame, per_class: int = PER_CLASS) -> LanguageModel | None:

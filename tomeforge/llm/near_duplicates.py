@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeforge.llm.components import components
-from tomeforge.llm.tables import extended, table, written
+from tomeforge.llm.tables import extended, mapped, table, written
 from tomeforge.llm.textbytes import Words, mix, slices, windows, words
 
 U = np.uint64
@@ -102,7 +102,7 @@ def signed(documents: DataFrame) -> DataFrame:
             columns = [batch.column("doc_id"), *(pa.array(k, pa.int64()) for k in keys), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "bands"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return mapped(documents.select("doc_id", "text"), run, schema)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -126,7 +126,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 kept.append(shared >= threshold * (len(x) + len(y) - shared) - 1e-9 if len(x) and len(y) else False)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return both.mapInArrow(run, both.select("a", "b").schema)
+    return mapped(both, run, both.select("a", "b").schema)
 
 
 def _elements_of(texts: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _elements_of(texts: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(h[order].view(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, n), pa.array(np.diff(edges), pa.int64()), lists], ["doc_id", "size", "elements"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, extended(texts, ["doc_id"], "size long, elements array<long>"))
+    return mapped(texts.select("doc_id", "text"), run, extended(texts, ["doc_id"], "size long, elements array<long>"))
 
 
 def _prefix_pairs(wanted: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:

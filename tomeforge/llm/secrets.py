@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tomeforge.llm import crf
 from tomeforge.llm.samples import MOST_CHARS
-from tomeforge.llm.tables import extended, table
+from tomeforge.llm.tables import extended, mapped, table
 from tomeforge.llm.textbytes import Slice, Words, slices, words
 
 BITS = 16
@@ -219,7 +219,7 @@ def scanned(documents: DataFrame, model: crf.Model | None, keep: list[str]) -> D
                     rows.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, kind_of)], [*keep, "spans"])
 
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return mapped(documents.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
 
 def fitted(documents: DataFrame, sample: int = SAMPLE) -> crf.Model | None:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+#: Rows and bytes of an Arrow batch at most, so that neither side of a Python task holds much text at once.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,6 +37,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow in batches of a bounded size; the session keeps the bound for what comes after."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with as many underscores after it as keep it apart from df's columns in any case."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tomeforge.llm import crf
 from tomeforge.llm.samples import MOST_CHARS, labelled_sample, learnable
-from tomeforge.llm.tables import extended, table
+from tomeforge.llm.tables import extended, mapped, table
 from tomeforge.llm.textbytes import Slice, Words, mix, slices, words
 
 BITS = 16
@@ -136,7 +136,7 @@ def scored(documents: DataFrame, model: ToxicityModel | None, keep: list[str]) -
                 spans += _spans(part, w, p)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(spans, pa.string())], [*keep, "score", "spans"])
 
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return mapped(documents.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
 
 def fitted(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel | None:
