@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tomeforge.llm.samples import hashed_sample
 from tomeforge.llm.tables import table, written
 
 CENTROIDS, SAMPLE, CHUNK = 32, 8192, 4096
@@ -115,7 +116,7 @@ def neighbours(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
     """The k nearest of each row for which the column expression is_query holds."""
     spark = embeddings.sparkSession
     rows = usable(embeddings)
-    sample = [r.vector for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
+    sample = [r.vector for r in hashed_sample(rows, "vec_id", SAMPLE).collect()]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = MultiIndex(np.array(sample, dtype=np.float64))

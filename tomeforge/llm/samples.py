@@ -27,3 +27,15 @@ def labelled_sample(rows: DataFrame, key: str, label: str, per_class: int) -> Da
         share = F.when(F.col(label) == value, F.lit(per_class / count)).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) / float(1 << 30)
     return rows.where(drawn < share).orderBy(F.xxhash64(key), key).limit(2 * per_class * len(counts))
+
+
+def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows that come first by a hash of the key.
+
+    Rows are counted first, and those far down the order go before it is made: together the partitions
+    send the driver about twice `most` rows, at any size of the table.
+    """
+    place, share = F.xxhash64(key), 2 * most / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(place < int(share * 2.0**64) - (1 << 63))
+    return rows.orderBy(place, key).limit(most)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeforge.llm import crf
-from tomeforge.llm.samples import MOST_CHARS
+from tomeforge.llm.samples import MOST_CHARS, hashed_sample
 from tomeforge.llm.tables import extended, mapped, table
 from tomeforge.llm.textbytes import Slice, Words, slices, words
 
@@ -224,7 +224,7 @@ def scanned(documents: DataFrame, model: crf.Model | None, keep: list[str]) -> D
 
 def fitted(documents: DataFrame, sample: int = SAMPLE) -> crf.Model | None:
     rows = documents.where(F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS))
-    return fit([r.text for r in rows.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()])
+    return fit([r.text for r in hashed_sample(rows.select("doc_id", "text"), "doc_id", sample).collect()])
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
