@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tomeforge.llm import html_lines, main_text, neighbours
@@ -91,3 +92,21 @@ def test_main_text_is_the_article(spark):
         article = re.search(r"<article>(.*?)(?:</article>|$)", rows[r.page_id], re.S)[1]
         text = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article))).split())
         assert r.text == text and r.n_chars == len(text)
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 40])
+def test_copies_do_not_delete_each_other(spark, partitions):
+    body = lambda n: f"<body><p>Welcome to the site</p><p>Story number {n}</p><p>All rights of it</p>"
+    rows = [(10 * n + i, f"http://h.org/a/{n}/{i}", body(n)) for n in range(4) for i in range(6)]
+    rows += [(1000 + i, "http://h.org/a/1/3", body(1)) for i in range(5)]  # copies at the same URL
+    rows += [(2000 + i, f"http://alone.org/{i}", body(7)) for i in range(3)]  # a host with nothing but copies
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.page_id: r.text for r in main_text.extracted(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    for page, _, page_html in rows:
+        story = page_html.split("<p>")[2].removesuffix("</p>")
+        assert got[page] == (story if page < 2000 else f"Welcome to the site {story} All rights of it")
