@@ -156,6 +156,18 @@ def test_lines(spark, monkeypatch, small):
     assert got == kept_lines(rows)
 
 
+def test_short_lines_are_compared_for_equality(spark):
+    rows = [(1, "Les.\n\n And ornd. \nLes.\nx"), (2, "And ornd.\n\nLed.\nx\ny"), (3, "Les.")]
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.ALL_LINES).collect()}
+    assert got == {1: "Les.\n\n And ornd. \nx", 2: "\nLed.\ny", 3: ""}
+
+
+def test_op9_leaves_no_repeated_line(spark):
+    left = [x.strip(" \t\r") for r in line_dedup.op9_line_dedup(spark, "/root/testdata/sf0.001").collect() for x in (r.text or "").split("\n")]
+    left = [x for x in left if x]
+    assert len(left) == len(set(left))
+
+
 def test_lines_of_odd_rows(spark, odd, none):
     got = line_dedup.deduplicated(odd)
     assert got.columns[: len(odd.columns)] == odd.columns

@@ -1,6 +1,7 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-A document's lines, trimmed, of MIN_CHARS characters or more are compared over all documents. Equal
+A document's lines, trimmed, are compared over all documents: for equality all that aren't empty
+(`least` is ALL_LINES, as in op9) or those of MIN_CHARS characters or more, for edits the latter. Equal
 lines are one class. Distinct lines within an edit distance of one are linked: a line is cut into two
 segments (threshold plus one), of which an edit leaves one as it is; segments are indexed by length
 and number, and each line probes the index of its own length and of the next shorter one with its
@@ -10,7 +11,7 @@ the rest without each one of its characters, is a finer key; lines that share on
 character at most, and one link each to the key's least line holds them together without loss.
 
 Classes are connected components. The first line of a class (least doc_id, then position) stays in its
-document, all others go. Null texts stay null; empty texts and short lines are left alone. Documents
+document, all others go. Null texts stay null; empty texts and lines that are not compared are left alone. Documents
 without doc_id keep all their lines, and rows that repeat a doc_id are treated alike. Columns besides
 doc_id and text pass through, whatever their names.
 """
@@ -24,6 +25,8 @@ from tomeforge.llm.components import components
 from tomeforge.llm.tables import free_name, table, written
 
 MIN_CHARS, SMALL = 30, 32
+#: Least characters of a line where every line that isn't empty is compared for equality.
+ALL_LINES = 1
 #: Buckets or candidate lines that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _WIDE = 1 << 31
@@ -92,10 +95,10 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """doc_id, position and trimmed text of the lines that are compared."""
+def _lines(documents: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """doc_id, position and trimmed text of the lines of `least` characters or more."""
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return rows.select("doc_id", "pos", _trimmed(F.col("raw")).alias("line")).where(F.length("line") >= MIN_CHARS)
+    return rows.select("doc_id", "pos", _trimmed(F.col("raw")).alias("line")).where(F.length("line") >= least)
 
 
 def _keys(line: Column, rest: bool = True) -> Column:
@@ -169,9 +172,9 @@ def near_lines(documents: DataFrame) -> DataFrame:
     return both.where(banded_distance(F.col("long"), F.col("short"), 1) <= 1).select("a", "b")
 
 
-def kept_lines(documents: DataFrame) -> DataFrame:
+def kept_lines(documents: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """doc_id and the positions of those of its compared lines that are the first of their class."""
-    lines = _lines(documents).select(
+    lines = _lines(documents, least).select(
         F.xxhash64("line").alias("id"), F.xxhash64(F.lit("second"), "line").alias("other"), (F.col("doc_id").cast("decimal(19,0)") * _WIDE + F.col("pos")).cast("decimal(38,0)").alias("at")
     )
     distinct = lines.groupBy("id", "other").agg(F.min("at").alias("at"))
@@ -183,14 +186,17 @@ def kept_lines(documents: DataFrame) -> DataFrame:
     return first.select(doc_id.alias("doc_id"), (F.col("at") - doc_id.cast("decimal(19,0)") * _WIDE).cast("int").alias("pos")).groupBy("doc_id").agg(F.collect_list("pos").alias("kept"))
 
 
-def deduplicated(documents: DataFrame) -> DataFrame:
-    """All columns, the text without repeated lines, and n_lines and n_removed."""
+def deduplicated(documents: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """All columns, the text without repeated lines, and n_lines.
+
+    Lines of `least` characters or more are compared for equality, those of MIN_CHARS or more for edits too.
+    """
     kept = free_name(documents, "kept")
-    found = kept_lines(documents).withColumnRenamed("kept", kept)
+    found = kept_lines(documents, least).withColumnRenamed("kept", kept)
     joined = documents.join(found, "doc_id", "left")
     lines = F.split("text", "\n")
     own = F.coalesce(F.col(kept), F.array().cast("array<int>"))
-    stays = F.filter(lines, lambda x, i: (F.length(_trimmed(x)) < MIN_CHARS) | F.array_contains(own, i))
+    stays = F.filter(lines, lambda x, i: (F.length(_trimmed(x)) < least) | F.array_contains(own, i))
     text = F.when(F.col("doc_id").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
     sizes = F.struct(F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), text.alias("text"))
     made = free_name(documents, "made")
@@ -199,6 +205,6 @@ def deduplicated(documents: DataFrame) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = deduplicated(documents)
+    rows = deduplicated(documents, ALL_LINES)
     left = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     return rows.select("doc_id", "n_lines", left.alias("n_left"), "text")
