@@ -55,10 +55,11 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the texts that they decode to."""
+    """Writes ids and decoded bytes of each text to the shared folder; returns token counts and digests of what is written."""
     import public_tokenizers
 
-    return bpe.encoded(docs, ["doc_id"], public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    rows = bpe.tokens(docs, ["doc_id"], public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.digests(written(rows, "stage-bpe-tokens"), ["doc_id"])
 
 
 STAGES = [

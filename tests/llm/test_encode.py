@@ -43,3 +43,26 @@ def test_odd_rows(spark, odd, none, library):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert bpe.encoded(none, ["doc_id"], PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_tokens_are_kept(spark, odd, none, library):
+    short = odd.where("length(text) < 1000 or text is null")  # the library is slow on long pieces
+    for r in bpe.tokens(short, ["doc_id", "text"], PATH, public_tokenizers.PATTERN).collect():
+        assert r.ids == library.encode_ordinary(r.text or "") and r.n_tokens == len(r.ids)
+        assert bytes(r.decoded) == (r.text or "").encode()
+    assert bpe.tokens(none, ["doc_id"], PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_the_pipeline_writes_ids(spark, odd, library):
+    import glob
+
+    import corpus_pipeline
+    from tomeforge.llm.tables import shared_folder
+
+    pattern = f"{shared_folder(spark).removeprefix('file:')}/stage-bpe-tokens-*"
+    before = set(glob.glob(pattern))
+    docs = odd.where("doc_id = 7")
+    assert corpus_pipeline.encode(spark, docs, "").count() == 1
+    (path,) = set(glob.glob(pattern)) - before
+    (r,) = spark.read.parquet(path).collect()
+    assert r.ids == library.encode_ordinary(docs.first().text) and bytes(r.decoded).decode() == docs.first().text

@@ -11,20 +11,21 @@ A text is first split by the pattern of the vocabulary, each match is encoded al
 is itself in the vocabulary is that token. Distinct matches are encoded once in each worker.
 
 Null and empty texts have no tokens and decode to nothing. Repeated rows are encoded alike; other
-columns pass through `encoded` untouched or are not read.
+columns pass through `tokens` untouched or are not read.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tomeforge.llm.tables import extended, mapped, table
 
@@ -153,27 +154,39 @@ def _pieces(data: bytes, pattern: str) -> Pieces:
     return Pieces(Bpe(read_ranks(data)), pattern)
 
 
-def encoded(documents: DataFrame, keep: list[str], path: str, pattern: str) -> DataFrame:
-    """`keep` and the text's ids (comma-joined), their number, and the bytes that they decode to."""
+def tokens(documents: DataFrame, keep: list[str], path: str, pattern: str) -> DataFrame:
+    """`keep`, the number of the text's tokens, their ids, and the bytes that they decode to."""
     sent = documents.sparkSession.sparkContext.broadcast(Path(path).read_bytes())  # a vocabulary: a few MB
-    schema = extended(documents, keep, "n_tokens long,ids_sha256 string,decoded_sha256 string")
+    schema = extended(documents, keep, "n_tokens long,ids array<int>,decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(sent.value, pattern)
         for batch in batches:
-            counts, ids_hash, text_hash = [], [], []
+            ids, decoded = [], []
             for value in batch.column("text"):
                 parts = pieces.of(value.as_py())
-                ids = ",".join([p[0] for p in parts])
-                counts.append(ids.count(",") + 1 if ids else 0)
-                ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_hash.append(hashlib.sha256(b"".join([p[1] for p in parts])).hexdigest())
-            columns = [*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+                joined = ",".join([p[0] for p in parts])
+                ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32))
+                decoded.append(b"".join([p[1] for p in parts]))
+            counts = [len(x) for x in ids]
+            bounds = np.cumsum([0, *counts]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+            columns = [*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), lists, pa.array(decoded, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids", "decoded"])
 
     return mapped(documents.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
 
+def digests(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep`, number of tokens, and SHA-256 of the comma-joined ids and of the decoded bytes; rows come from tokens()."""
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return rows.select(*keep, "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def encoded(documents: DataFrame, keep: list[str], path: str, pattern: str) -> DataFrame:
+    return digests(tokens(documents, keep, path, pattern), keep)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
