@@ -130,3 +130,12 @@ def test_licences(spark, documents, odd, none):
 @pytest.mark.parametrize("text,expected", [("MIT", {("mit",)}), ("(MIT OR Apache-2.0) AND ISC", {("isc", "mit"), ("apache-2.0", "isc")}), ("A AND B OR C", {("a", "b"), ("c",)}), ("GPL-2.0 WITH X-exception */", {("gpl-2.0-with-x-exception",)}), ("MIT OR", {("mit",)}), ("", set()), ("AND", set()), ("((MIT", {("mit",)}), ("MIT Apache", {("mit",)})])
 def test_expressions(text, expected):
     assert {tuple(sorted(s)) for s in licenses.choices(licenses.postfix(text))} == expected
+
+
+def test_no_identifier_of_an_expression_is_lost(spark):
+    groups = " AND ".join(f"(A{i} OR B{i})" for i in range(7))
+    many = " OR ".join(f"L{i:03}" for i in range(200))
+    rows = [(1, f"SPDX-License-Identifier: {groups}"), (2, f"SPDX-License-Identifier: {many}"), (3, "SPDX-License-Identifier: (GPL-2.0 OR MIT) WITH Classpath AND ISC")]
+    got = {r.doc_id: set(r.labels) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got == {1: {f"{c}{i}" for c in "ab" for i in range(7)}, 2: {f"l{i:03}" for i in range(200)}, 3: {"gpl-2.0-with-classpath", "mit-with-classpath", "isc"}}
+    assert len(licenses.choices(licenses.postfix(groups))) == 128

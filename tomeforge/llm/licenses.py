@@ -101,8 +101,25 @@ def postfix(expression: str) -> list[str]:
     return out + [x for x in reversed(stack) if x != "("]
 
 
+def identifiers(tokens: list[str]) -> set[str]:
+    """Every identifier of the expression, `a-with-b` for an exception."""
+    stack: list[set[str]] = []
+    for x in tokens:
+        if x not in _BINDS:
+            stack.append({x})
+        elif len(stack) > 1:
+            b, a = stack.pop(), stack.pop()
+            if x == "with":
+                stack.append({f"{i}-with-{j}" for i in a for j in b})
+            else:
+                a, b = (a, b) if len(a) >= len(b) else (b, a)
+                a |= b
+                stack.append(a)
+    return stack[-1] if stack else set()
+
+
 def choices(tokens: list[str]) -> set[frozenset[str]]:
-    """The sets of licences, one of which the expression asks for; at most 64 are told apart."""
+    """The sets of licences, one of which the expression asks for: of n alternatives joined by AND, as many as their product."""
     stack: list[set[frozenset[str]]] = []
     for x in tokens:
         if x not in _BINDS:
@@ -115,7 +132,7 @@ def choices(tokens: list[str]) -> set[frozenset[str]]:
                 made = {p | q for p in a for q in b}
             else:
                 made = {frozenset(f"{i}-with-{j}" for i in p for j in q) for p in a for q in b}
-            stack.append(set(sorted(made, key=sorted)[:64]))
+            stack.append(made)
     return stack[-1] if stack else set()
 
 
@@ -170,7 +187,7 @@ def _findings(finder: ahocorasick.Automaton, text: str, original) -> tuple:
         tag |= phrase == TAG
     if tag:
         for m in TAG_TEXT.finditer(original()):
-            named = frozenset().union(*choices(postfix(m[1])))
+            named = identifiers(postfix(m[1]))
             labels |= named
             weights += [WEIGHTS["tag"]] * bool(named)
     labels |= base_labels
