@@ -38,7 +38,7 @@ def test_neighbours_of_odd_vectors(spark):
 
 
 def test_many_equal_vectors_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CHUNK", 50)
+    monkeypatch.setattr(neighbours, "VALUES", 1200)
     rows = [(i, [1.0, 0.0, 0.0, 1.0]) for i in range(400)] + [(400 + i, [float(i % 7), 1.0, float(i % 5), 0.0]) for i in range(200)]
     got = neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
     x = np.array([v for _, v in rows])
@@ -47,6 +47,60 @@ def test_many_equal_vectors_are_dealt_out(spark, monkeypatch):
     assert len({r.vec_id for r in got} & set(order)) >= 18
 
 
+def test_cells_are_those_of_single_steps():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 8))
+    index = neighbours.MultiIndex(x, len(x))
+    first, second = index.cells(x)
+    counts = index.counts(first, second)
+    for q in rng.normal(size=(20, 8)):
+        a, b = index.scores(q)
+        sums = np.sort(a[first] + b[second])[::-1]
+        for wanted in (1, 7, 300, 2999):
+            assert index.least_sum(q, counts, wanted) == sums[wanted - 1]
+        assert index.least_sum(q, counts, 3000) == -np.inf
+
+
+def test_repeated_candidates_are_listed_once(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 6)).tolist()
+    rows = list(enumerate(x)) + [(7, x[7])] * 30 + [(9, [-v for v in x[9]]), (0, x[0]), (20, x[21])]
+    got: dict = {}
+    for r in neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in (0, 20, 40):
+        best: dict = {}
+        for own in (v for i, v in rows if i == q):
+            for i, v in rows:
+                if i != q:
+                    score = 0.0
+                    for a, b in zip(v, own, strict=True):
+                        score += a * b
+                    best[i] = max(best.get(i, -1e9), score)
+        assert got[q] == sorted(best.items(), key=lambda p: (-p[1], p[0]))[:20]
+
+
+def test_recall_on_many_vectors(spark):
+    """2,000 rows, which nothing clusters, and as many in clusters: recall, and scores to the last bit."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rng = np.random.default_rng(1)
+    base = rows.collect()
+    made = [(10_000 + r.vec_id, (np.array(r.embedding) * 0.2 + rng.normal(size=64) * 0.01 + np.eye(64)[r.vec_id % 40]).tolist()) for r in base]
+    every = [(r.vec_id, [float(v) for v in r.embedding]) for r in base] + made
+    ids, x = np.array([i for i, _ in every]), np.array([v for _, v in every])
+    got: dict = {}
+    for r in neighbours.neighbours(spark.createDataFrame(every, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    found = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = neighbours.products(x, np.broadcast_to(x[i], x.shape))
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:20]
+        found += len({ids[j] for j in order} & set(got[ids[i]]))
+        total += 20
+        assert all(got[ids[i]][v] == s[np.flatnonzero(ids == v)[0]] for v in got[ids[i]])
+    assert found >= 0.9 * total
+
+
 def longest(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
