@@ -164,3 +164,59 @@ def test_copies_do_not_delete_each_other(spark, partitions):
     for page, _, page_html in rows:
         story = page_html.split("<p>")[2].removesuffix("</p>")
         assert got[page] == (story if page < 2000 else f"Welcome to the site {story} All rights of it")
+
+
+def differenced(rows):
+    """Texts by brute force: rows are (page_id, host, path, own lines, all lines), of pages without an article."""
+    rows = sorted(rows, key=lambda r: (r[1], r[2]))
+    out = {}
+    for i, (page, host, path, own, _) in enumerate(rows):
+        near = []
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(rows) and rows[j][1] == host and rows[j][3] == own:
+                j += step
+            if 0 <= j < len(rows) and rows[j][1] == host:
+                near.append(rows[j])
+        common = lambda r, path=path: next((n for n, (a, b) in enumerate(zip(r[2], path, strict=False)) if a != b), min(len(r[2]), len(path)))
+        if near:
+            other = max(near, key=common)[4]
+            n = longest(own, other)
+            gone = html_lines.shared(own, other)
+            assert len(gone) == n
+            own = [x for k, x in enumerate(own) if k not in gone]
+        out[page] = " ".join(own)
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 60])
+def test_pages_without_article_and_furniture_inside_main(spark, partitions):
+    rng = random.Random(partitions)
+    stories = [f"story {i}" for i in range(30)]
+    rows, truth = [], []
+    for n in range(150):
+        host = rng.choice(["a.org", "b.org", "c.org"])
+        own = ["menu of the site", *rng.sample(stories, rng.randint(0, 4)), "read more", rng.choice(stories), "read more", f"(c) {host}"]
+        if rng.random() < 0.3 and truth:  # a copy at a URL of its own
+            own = truth[-1][3]
+        path = f"/{rng.randrange(4)}/{n:03d}"
+        head = [f"head of {host}"]
+        main = rng.random() < 0.5
+        lines = "".join(f"<p>{x}</p>" for x in own)
+        html = f"<body><nav>go</nav><p>{head[0]}</p><main>{lines}</main>" if main else f"<body><nav>go</nav>{lines}"
+        rows.append((n, f"http://{host}{path}", html))
+        truth.append((n, host, path, own, ["go", *(head if main else []), *own]))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.page_id: r.text for r in main_text.extracted(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert got == differenced(truth)
+
+
+def test_repeated_lines_go_by_place(spark):
+    rows = [(1, "http://h.org/a", "<p>same<p>one<p>same"), (2, "http://h.org/b", "<p>two<p>same"), (3, "http://h.org/c", "<main><p>three<article><p>same</article></main>")]
+    got = {r.page_id: r.text for r in main_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got in ({1: "same one", 2: "two", 3: "same"}, {1: "one same", 2: "two", 3: "same"})
