@@ -42,7 +42,10 @@ def test_components(spark):
 
 
 def shingles(text):
-    w = tokens(text)
+    w = []
+    for x in tokens(text):
+        size = len(x.encode())
+        w += list(x) if size > near_duplicates.LONG and 2 * sum(len(c.encode()) for c in x if ord(c) > 127) > size else [x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
@@ -71,6 +74,36 @@ def test_near_duplicates(spark):
     assert got == near_classes(rows)
 
 
+def test_long_runs_without_blanks(spark):
+    rng = random.Random(8)
+    letters = "".join(rng.choice("abcdefgh") for _ in range(8192))
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(800))
+    other = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(800))
+    rows = [(1, letters), (2, letters[4096:] + letters[:4096]), (3, han), (4, han[:400] + "字" + han[400:]), (5, other), (6, "new words here: " + other)]
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_classes(rows) == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 5}
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(9)
+    text = lambda: [f"w{rng.randrange(5000)}" for _ in range(60)]
+    a, b, c = text(), text(), text()
+    near = lambda x: " ".join(["other", *x[1:]])
+    rows = [(2, " ".join(a)), (2, " ".join(b)), (3, near(b)), (4, near(a)), (5, " ".join(c)), (1, " ".join(b)), (6, near(c)), (6, near(c)), (None, " ".join(c))]
+    got = near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.class_id, r.copy_of) for r in got) == [(0, 5, 5), (1, 1, 1), (2, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 5, 5), (6, 5, 6), (6, 5, 6)]
+    assert sorted(r.doc_id or 0 for r in near_duplicates.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 1, 5]
+
+
+def test_op3_on_a_small_table(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = near_duplicates.op3_near_duplicates(spark, sf).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.class_id for r in got} == near_classes(rows)
+    words = {d: tuple(tokens(t)) for d, t in rows}
+    assert all(r.copy_of == (min(d for d, w in words.items() if w == words[r.doc_id]) if words[r.doc_id] else r.doc_id) for r in got)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     got = [(r.doc_id, r.class_id) for r in near_duplicates.classes(odd).collect()]
     assert len(got) == odd.count() and dict(got)[8] == 7 and dict(got)[7] == 7 and {(1, 1), (2, 2), (3, 3)} <= set(got) and (None, None) in got

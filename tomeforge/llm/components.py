@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeforge.llm.tables import written
+from tomeforge.llm.tables import removed, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,13 +31,15 @@ def components(links: DataFrame) -> DataFrame:
 
     Nodes without a link are not listed; null ends and links to itself are ignored. A hub is a key
     with many rows on one side of a join whose other side has one row, so that Spark can split it.
-    Each step is written to the shared folder, so that a lost executor costs a step at most.
+    Each step is written to the shared folder, so that a lost executor costs a step at most; the one
+    before it is deleted then.
     """
     ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     edges = written(ordered, "links")
     before = _state(edges)
     while before[0]:
-        edges = written(_star(_star(edges, True), False), "links")
+        last, edges = edges, written(_star(_star(edges, True), False), "links")
+        removed(edges.sparkSession, last.folder)
         now = _state(edges)
         if now == before:
             break

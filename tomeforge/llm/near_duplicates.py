@@ -1,27 +1,33 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-A document's elements are its distinct runs of SHINGLE words, each with weight 1 + ln(times it
-occurs); a text of fewer words is one element. Each element is a Poisson process whose rate is its
-weight: arrivals come at exponential distances, each at a random register; a register keeps the
-element of its earliest arrival, and an element stops as soon as its time exceeds the latest one that
-any register of its document holds. Registers of two documents agree with the probability Jaccard
-similarity of their weighted elements.
-
-Texts with equal words form one class before anything else. Registers are cut into bands; the class
-representatives that share a band form a bucket. Every member of a bucket is compared with the
-bucket's least one, so that a large group of copies costs one comparison a member. Where that leaves a
-bucket in several components, its members are joined by a prefix filter, which loses no similar pair:
-elements in order of how few documents have them, two similar sets share one so early in both that
-enough others can follow. Most members of a large group that aren't similar to its least one begin
-with elements that nothing else has. A comparison counts if the exact Jaccard similarity of the two
-sets of elements is THRESHOLD or more. Classes are the connected components.
-
-Null and empty texts and texts without a word are classes of their own. Repeated rows share a class.
-A row without doc_id is in the class of its copies, or has no class id. Only named columns are read.
+A document's elements are its distinct runs of SHINGLE words. A word of more than LONG bytes that is
+not ASCII for the most part, as text without blanks is, counts as its single characters. An element's
+weight is 1, and up to HEAVIEST where it occurs again; a text of fewer words is one element. Each element
+is a Poisson process whose rate is its weight: arrivals come at exponential distances, each at a random
+register; a register keeps the element of its earliest arrival, and an element stops as soon as its
+time exceeds the latest one that any register of its document holds. Registers of two documents agree
+with the probability Jaccard similarity of their weighted elements, which is at least the sets' Jaccard
+similarity divided by HEAVIEST.
+
+Texts with equal words (by a 128-bit digest of the words) form one class before anything else. Registers
+are cut into bands; the class representatives that share a band form a bucket. Every member of a bucket
+is compared with the bucket's least one, so that a large group of copies costs one comparison a member.
+Where that leaves a bucket in several components, its members are joined by a prefix filter, which
+loses no similar pair: elements in order of how few documents have them, two similar sets share one so
+early in both that enough others can follow. Most members of a large group that aren't similar to its
+least one begin with elements that nothing else has. (Documents of one template that are all just
+below THRESHOLD do share such elements, and are compared in pairs.) A comparison counts if the exact
+Jaccard similarity of the two sets of elements is THRESHOLD or more. Classes are the connected components.
+
+Null and empty texts and texts without a word are classes of their own; very long texts are taken whole.
+Repeated rows share a class; rows of one doc_id with different texts are one class, together with
+what is similar to any of them. A row without doc_id is in the class of its copies, or has no class id.
+Only named columns are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +37,42 @@ from pyspark.sql import functions as F
 
 from tomeforge.llm.components import components
 from tomeforge.llm.tables import extended, mapped, table, written
-from tomeforge.llm.textbytes import Words, mix, slices, windows, words
+from tomeforge.llm.textbytes import IS_WORD, Slice, Words, hashes, joined_rows, mix, slices, windows, words
 
 U = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
-#: At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 4) ** 24 = 3e-6.
-BANDS, ROWS = 24, 4
+#: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 24 = 3e-6 where elements occur
+#: equally often in both, and with (1 - (0.8 / 1.15) ** 4) ** 24 = 0.002 at most, whatever they weigh.
+BANDS, ROWS, HEAVIEST = 24, 4, 1.15
+#: Bytes of a word above which text that isn't ASCII is taken by characters.
+LONG = 48
+
+
+def units(part: Slice) -> Words:
+    """Words, long ones without blanks as characters."""
+    w = words(part)
+    size = w.end - w.start
+    if not len(size) or size.max() <= LONG:
+        return w
+    wide = np.concatenate([[0], np.cumsum(w.data >= 128)])
+    long = np.flatnonzero((size > LONG) & (2 * (wide[w.end] - wide[w.start]) > size))
+    if not len(long):
+        return w
+    begins = np.zeros(len(w.data) + 1, dtype=np.int32)
+    np.add.at(begins, w.start[long], 1)
+    np.add.at(begins, w.end[long], -1)
+    mark = (np.cumsum(begins[:-1]) > 0) & ((w.data & 0xC0) != 0x80)
+    mark[w.start] = True
+    start = np.flatnonzero(mark)
+    word = np.searchsorted(w.start, start, side="right") - 1
+    end = w.end[word]
+    inner = word[1:] == word[:-1]
+    end[:-1][inner] = start[1:][inner]
+    return Words(w.data, start, end, hashes(w.data, IS_WORD[w.data], start, end), np.searchsorted(start, part.bounds))
+
+
+def weights(count: np.ndarray) -> np.ndarray:
+    return 1 + (HEAVIEST - 1) * np.minimum(1.0, np.log2(count) / 3)
 
 
 def elements(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,37 +114,42 @@ def registers(rows: int, owner: np.ndarray, h: np.ndarray, weight: np.ndarray, k
     return held.reshape(rows, k)
 
 
+def _keyed(documents: DataFrame) -> DataFrame:
+    """Texts with their key: the doc_id and a hash, which tells rows of one doc_id apart."""
+    return documents.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("content")).alias("node"), "text")
+
+
 def signed(documents: DataFrame) -> DataFrame:
-    """doc_id, two hashes of the word sequence (null without words) and the band keys."""
-    schema = extended(documents, ["doc_id"], "k1 long,k2 long,bands array<long>")
+    """The key of each row, a digest of its words as two numbers (null without words) and the band keys."""
+    rows = _keyed(documents)
+    schema = extended(rows, ["node"], "k1 long,k2 long,bands array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, bands = ([], []), []
             for part in slices(batch.column("text")):
-                w = words(part)
+                for text in joined_rows(words(part)):
+                    own = np.frombuffer(hashlib.blake2b(text, digest_size=16).digest(), np.int64).tolist() if text else (None, None)
+                    keys[0].append(own[0])
+                    keys[1].append(own[1])
+                w = units(part)
                 n = len(w.rows) - 1
                 owner, h, count = elements(w)
-                held = registers(n, owner, h, 1 + np.log(count), BANDS * ROWS).reshape(n, BANDS, ROWS)
+                held = registers(n, owner, h, weights(count), BANDS * ROWS).reshape(n, BANDS, ROWS)
                 key = np.arange(1, BANDS + 1, dtype=U)[None, :] * U(0x9E3779B97F4A7C15)
                 for i in range(ROWS):
                     key = mix(key ^ held[:, :, i])
-                key = key.view(np.int64)
-                for row in range(n):
-                    own = w.hash[w.rows[row] : w.rows[row + 1]]
-                    for seed in (0, 1):
-                        keys[seed].append(int(_sequence(own, seed + 2).view(np.int64)) if len(own) else None)
-                    bands.append(key[row] if len(own) else None)
-            columns = [batch.column("doc_id"), *(pa.array(k, pa.int64()) for k in keys), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "bands"])
+                bands += [x if some else None for x, some in zip(key.view(np.int64), w.counts() > 0, strict=True)]
+            columns = [batch.column("node"), *(pa.array(k, pa.int64()) for k in keys), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "k1", "k2", "bands"])
 
-    return mapped(documents.select("doc_id", "text"), run, schema)
+    return mapped(rows, run, schema)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b) those whose texts are similar."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +158,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             held: list = [[], []]  # per side: (row of the batch, its distinct shingles)
             for side, parts in enumerate(sides):
                 for part in parts:
-                    owner, h, _ = elements(words(part))
+                    owner, h, _ = elements(units(part))
                     order = np.argsort(owner, kind="stable")
                     edges = np.searchsorted(owner[order], np.arange(part.last - part.first + 1))
                     held[side] += [h[order[a:b]] for a, b in zip(edges, edges[1:], strict=False)]
@@ -130,65 +171,72 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _elements_of(texts: DataFrame) -> DataFrame:
-    """doc_id, number of distinct shingles, and the shingles."""
+    """node, number of distinct shingles, and the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text")):
                 n = part.last - part.first
-                owner, h, _ = elements(words(part))
+                owner, h, _ = elements(units(part))
                 order = np.argsort(owner, kind="stable")
                 edges = np.searchsorted(owner[order], np.arange(n + 1))
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(h[order].view(np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, n), pa.array(np.diff(edges), pa.int64()), lists], ["doc_id", "size", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(part.first, n), pa.array(np.diff(edges), pa.int64()), lists], ["node", "size", "elements"])
 
-    return mapped(texts.select("doc_id", "text"), run, extended(texts, ["doc_id"], "size long, elements array<long>"))
+    return mapped(texts.select("node", "text"), run, extended(texts, ["node"], "size long, elements array<long>"))
 
 
 def _prefix_pairs(wanted: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components, one of them `away`, that may be similar; wanted: doc_id, component, away."""
-    sets = _elements_of(texts.join(wanted.select("doc_id"), "doc_id", "left_semi"))
-    each = written(sets.select("doc_id", "size", F.explode("elements").alias("element")), "elements")
+    """Pairs of different components, one of them `away`, that may be similar; wanted: node, component, away."""
+    sets = _elements_of(texts.join(wanted.select("node"), "node", "left_semi"))
+    each = written(sets.select("node", "size", F.explode("elements").alias("element")), "elements")
     often = each.groupBy("element").agg(F.count("*").alias("often")).where("often > 1")
-    lists = each.join(often, "element").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("list"))
+    lists = each.join(often, "element").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("list"))
     # elements that no other document has come first, and needn't be listed for that
-    placed = lists.select("doc_id", "size", (F.col("size") - F.size("list")).alias("alone"), F.posexplode("list").alias("i", "e"))
-    placed = placed.select("doc_id", "size", F.col("e.element").alias("element"), (F.col("alone") + F.col("i")).alias("at")).where(F.col("at") <= (1 - threshold) * F.col("size") + 1e-9)
-    placed = placed.join(wanted, "doc_id")
-    left = placed.where("away").select("element", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "size", "at", "component")))
-    right = placed.select("element", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "size", "at", "component")))
+    placed = lists.select("node", "size", (F.col("size") - F.size("list")).alias("alone"), F.posexplode("list").alias("i", "e"))
+    placed = placed.select("node", "size", F.col("e.element").alias("element"), (F.col("alone") + F.col("i")).alias("at")).where(F.col("at") <= (1 - threshold) * F.col("size") + 1e-9)
+    placed = placed.join(wanted, "node")
+    left = placed.where("away").select("element", *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "at", "component")))
+    right = placed.select("element", *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "at", "component")))
     needed = (F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-6
     early = (F.col("size_a") - F.col("at_a") >= needed) & (F.col("size_b") - F.col("at_b") >= needed)
     pairs = left.join(right, (left["element"] == right["element"]) & (F.col("component_a") != F.col("component_b")) & early)
-    return pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _ids(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
 
 
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and copy_of (the least one with equal words)."""
     signs = written(signed(documents), "signatures")
-    groups = signs.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    groups = written(groups.where("rep is not null"), "groups")
+    groups = signs.where("k1 is not null and node.doc_id is not null").groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.first("bands").alias("bands"))
+    groups = written(groups, "groups")
     members = groups.select(F.explode("bands").alias("band"), "rep")
     buckets = members.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least != most")
     inside = written(members.join(buckets.select("band", "least"), "band"), "buckets")
     pairs = inside.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    wanted = inside.select(F.col("rep").alias("doc_id")).distinct()
-    texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
-    links = written(_similar(pairs, texts, threshold), "similar")
+    wanted = inside.select(F.col("rep").alias("node")).distinct()
+    texts = written(_keyed(documents).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    links = _ids(written(_similar(pairs, texts, threshold), "similar"))
+    # rows of one doc_id that differ in their words are linked by their classes
+    several = signs.where("k1 is not null").groupBy("node.doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x != y").select("doc_id")
+    named = signs.select(F.col("node.doc_id").alias("doc_id"), "k1", "k2").join(several, "doc_id").join(groups.select("k1", "k2", "rep"), ["k1", "k2"])
+    links = written(links.union(named.where("doc_id != rep.doc_id").select("doc_id", "rep.doc_id").distinct()), "links")
     first = components(links)
-    placed = inside.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = inside.join(first.withColumnRenamed("node", "id"), F.col("rep.doc_id") == F.col("id"), "left").drop("id").withColumn("component", F.coalesce("component", "rep.doc_id"))
     placed = written(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
     rest = placed.join(mixed, "band")
     home = rest.where("rep = least").select("band", F.col("component").alias("home"))
-    rest = rest.join(home, "band").groupBy(F.col("rep").alias("doc_id"), "component").agg(F.max(F.col("component") != F.col("home")).alias("away"))
+    rest = rest.join(home, "band").groupBy(F.col("rep").alias("node"), "component").agg(F.max(F.col("component") != F.col("home")).alias("away"))
     more = _prefix_pairs(written(rest, "mixed"), texts, threshold)
-    links = links.union(written(_similar(more, texts, threshold), "similar"))
+    links = links.union(_ids(written(_similar(more, texts, threshold), "similar")))
     named = components(links)
-    final = groups.select("k1", "k2", "rep").join(named.withColumnRenamed("node", "rep"), "rep", "left")
-    final = final.select("k1", "k2", F.col("rep").alias("copy_of"), F.coalesce("component", "rep").alias("class_id"))
-    known = signs.drop("bands").join(final, ["k1", "k2"], "left")
+    final = groups.select("k1", "k2", F.col("rep.doc_id").alias("copy_of")).join(named.withColumnRenamed("node", "copy_of"), "copy_of", "left")
+    final = final.select("k1", "k2", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
+    known = signs.select(F.col("node.doc_id").alias("doc_id"), "k1", "k2").join(final, ["k1", "k2"], "left")
     return known.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
 
 

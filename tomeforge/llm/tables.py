@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -18,13 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that tables go to, the innermost last; none: the shared folder itself.
+_SCRATCH: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is set only where the cluster names none."""
+    """The folder that all executors share; a local one is set only in local mode, and where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = context.get() if context.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tomeforge-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -32,9 +39,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: df as a Parquet table in the shared folder, read back with its schema."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH[-1] if _SCRATCH else shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table, or a folder of tables, that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go to a folder of their own, which is deleted at the end."""
+    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        removed(spark, path)
 
 
 def mapped(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:

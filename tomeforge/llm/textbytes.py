@@ -115,17 +115,32 @@ def words(part: Slice, member: np.ndarray = IS_WORD, lower: bool = True) -> Word
     ends = part.bounds[part.bounds > 0] - 1
     after[ends] = False
     end = np.flatnonzero(inside & ~after) + 1
-    return Words(data, start, end, _hashes(data, inside, start, end), np.searchsorted(start, part.bounds))
+    return Words(data, start, end, hashes(data, inside, start, end), np.searchsorted(start, part.bounds))
 
 
-def _hashes(data: np.ndarray, inside: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def joined_rows(w: Words) -> list[bytes]:
+    """Each row's words with one blank between."""
+    size = w.end - w.start
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    flat = np.full(int(at[-1]), 32, dtype=np.uint8)
+    own = np.arange(len(flat)) - np.repeat(at[:-1], size + 1)
+    inside = own < np.repeat(size, size + 1)
+    flat[inside] = w.data[(np.repeat(w.start, size + 1) + own)[inside]]
+    data = flat.tobytes()
+    return [data[at[a] : max(at[a], at[b] - 1)] for a, b in zip(w.rows[:-1], w.rows[1:], strict=True)]
+
+
+def hashes(data: np.ndarray, inside: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     if not len(start):
         return np.zeros(0, dtype=U)
     lengths = end - start
     at = np.cumsum(lengths) - lengths
     own = data[inside]
     place = np.arange(len(own)) - np.repeat(at, lengths)
-    return mix(np.add.reduceat(_BYTE_VALUE[own] * _PLACE[place & 4095], at) + lengths.astype(U))
+    value = _BYTE_VALUE[own] * _PLACE[place & 4095]
+    if lengths.max() > len(_PLACE):  # further factors, so that no two places weigh the same
+        value *= mix((place >> 12).astype(U)) | U(1)
+    return mix(np.add.reduceat(value, at) + lengths.astype(U))
 
 
 def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
