@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -22,7 +23,7 @@ def test_as_the_library_encodes(library):
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["ab" * 9000, "a" * 5000, "ünïcödé" * 700, " " * 300]
     for text in texts:
         parts = pieces.of(text)
-        ids = [int(i) for p in parts for i in p[0].split(",") if i]
+        ids = np.frombuffer(b"".join(p[0] for p in parts), np.int32).tolist()
         assert ids == library.encode_ordinary(text)
         assert b"".join(p[1] for p in parts) == text.encode()
 
@@ -35,6 +36,30 @@ def test_join_is_associative_over_cuts(library):
     assert own.decode(whole) == data
 
 
+def test_long_windows_merge_alike():
+    rng, own = random.Random(5), bpe.Bpe(RANKS)
+    for _ in range(2000):
+        data = "".join(rng.choice("aabc =日é") for _ in range(rng.randint(1, 60))).encode()
+        assert own.merged_long(data) == own.merged(data) == own.reduced(data)
+
+
+def test_very_long_runs():
+    """Matches of a million bytes: as the definition merges them, which a heap does in n log n."""
+    own = bpe.Bpe(RANKS)
+    for data in (b"a" * 1_000_000, b"=" * 300_001, b"ab" * 100_000 + b"a" * 77_777, "字".encode() * 100_000):
+        ids = own.encode(data)
+        assert ids == own.merged_long(data) and own.decode(ids) == data
+
+
+def test_op5_query(spark, library):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in bpe.op5_bpe(spark, sf).collect():
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_odd_rows(spark, odd, none, library):
     got = bpe.encoded(odd, ["doc_id", "text"], PATH, public_tokenizers.PATTERN).collect()
     assert len(got) == odd.count()

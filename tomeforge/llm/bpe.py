@@ -1,23 +1,27 @@
 """Byte-level BPE as a monoid: encodings of two halves are joined at their boundary.
 
-`encode` splits a piece in the middle, encodes both halves and joins them. Two encodings side by
+`encode` splits a piece in two (at the largest power of two below its length), encodes both and joins them. Two encodings side by
 side are the encoding of the whole if and only if every pair of neighbouring tokens is one that the
 merges would leave as it is (the two tokens' bytes, merged alone, give these two tokens). Inside
 either half that holds already, so `join` looks at the boundary alone: it re-encodes a window of
-tokens around it and widens the window on each side whose edge pair isn't such a pair. Then the
-tokens outside can't change. Decoding concatenates the bytes of halves up the same tree.
+tokens around it and widens the window, by twice as much each time, on each side whose edge pair isn't
+such a pair. Then the tokens outside can't change. Decoding concatenates the bytes of halves up the same tree.
 
 A text is first split by the pattern of the vocabulary, each match is encoded alone, and a match that
-is itself in the vocabulary is that token. Distinct matches are encoded once in each worker.
+is itself in the vocabulary is that token. Of short matches each worker keeps the results it used last.
 
-Null and empty texts have no tokens and decode to nothing. Repeated rows are encoded alike; other
+Null and empty texts have no tokens and decode to nothing; very long texts and matches are encoded
+whole. An empty table gives an empty result. Repeated rows are encoded alike; other
 columns pass through `tokens` untouched or are not read.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import heapq
+import re
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
 from pathlib import Path
 
@@ -30,10 +34,10 @@ from pyspark.sql import functions as F
 from tomeforge.llm.tables import extended, mapped, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Distinct pieces that a worker keeps; then it starts anew.
-MEMORY = 400_000
-#: Bytes that are merged as they are; longer ones are halved.
-LEAF = 12
+#: Results that a worker keeps of each kind, and characters of a match whose result is kept, at most.
+MEMORY, LONGEST = 400_000, 48
+#: Bytes that are merged as they are; longer ones are halved. Bytes of a window whose result is kept.
+LEAF, WINDOW = 8, 24
 #: The characters that Unicode calls white space (fixed values).
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -42,18 +46,49 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
+#: The letters and numbers up to U+024F (fixed values).
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+
+
 def splitter(pattern: str) -> regex.Pattern:
     r"""The pattern with \s as the Unicode property, which Python's engines read a little wider."""
     inside = regex.sub(r"\[(\^?)\\s", lambda m: f"[{m[1]}{SPACE}", pattern)
     return regex.compile(inside.replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
 
 
+def narrow_splitter(pattern: str) -> re.Pattern | None:
+    """The same for texts up to U+024F, by the faster engine; none if the pattern asks for more than it has."""
+    made = splitter(pattern).pattern
+    for name, own in ((r"\p{L}", LETTERS), (r"\p{N}", NUMBERS)):
+        made = re.sub(rf"(\[[^\]]*){re.escape(name)}", lambda m, own=own: m[1] + own, made).replace(name, f"[{own}]")
+    try:
+        return re.compile(made)
+    except re.error:
+        return None
+
+
+class Kept(dict):
+    """Made values by key; about `most` of the last used ones are kept."""
+
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most, self.older = make, most // 2, {}
+
+    def __missing__(self, key):
+        if (value := self.older.get(key)) is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Bpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.stable: dict[tuple[int, int], bool] = {}
-        self.leaves: dict[bytes, list[int]] = {}
+        self.leaves = Kept(self.merged, MEMORY)
+        self.stable = Kept(lambda pair: self.window(self.tokens[pair[0]] + self.tokens[pair[1]]) == list(pair), MEMORY)
 
     def merged(self, data: bytes) -> list[int]:
         """Merges of neighbours by rank, lowest first: the definition, for a few bytes at a time."""
@@ -70,28 +105,52 @@ class Bpe:
                 pairs[at - 1] = get(parts[at - 1] + parts[at], none)
         return [self.ranks[p] for p in parts]
 
-    def stays(self, a: int, b: int) -> bool:
-        known = self.stable.get((a, b))
-        if known is None:
-            if len(self.stable) > MEMORY:
-                self.stable.clear()
-            known = self.stable[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
-        return known
+    def window(self, data: bytes) -> list[int]:
+        """The tokens of some neighbouring tokens' bytes."""
+        return self.leaves[data] if len(data) <= WINDOW else self.merged_long(data)
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         if not left or not right:
             return left or right
-        if self.stays(left[-1], right[0]):
+        if self.stable[left[-1], right[0]]:
             return left + right
-        i, j = 1, 1
+        i, j, grown = 1, 1, 1
         while True:
-            window = self.merged(b"".join(self.tokens[t] for t in (*left[-i:], *right[:j])))
-            wider_left = i < len(left) and not self.stays(left[-i - 1], window[0])
-            wider_right = j < len(right) and not self.stays(window[-1], right[j])
+            window = self.window(b"".join([self.tokens[t] for t in (*left[-i:], *right[:j])]))
+            wider_left = i < len(left) and not self.stable[left[-i - 1], window[0]]
+            wider_right = j < len(right) and not self.stable[window[-1], right[j]]
             if not (wider_left or wider_right):
                 return left[: len(left) - i] + window + right[j:]
-            i += wider_left
-            j += wider_right
+            i = min(len(left), i + grown * wider_left)
+            j = min(len(right), j + grown * wider_right)
+            grown *= 2
+
+    def merged_long(self, data: bytes) -> list[int]:
+        """merged() for long windows: the lowest pair comes from a heap, so that n bytes take n log n."""
+        get, tokens = self.ranks.get, self.ranks
+        size = len(data)
+        after, before, length = list(range(1, size + 1)), list(range(-1, size - 1)), [1] * size
+        heap = [(rank, i, 1, 1) for i in range(size - 1) if (rank := get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, own, other = heapq.heappop(heap)
+            j = i + own
+            if length[i] != own or j >= size or length[j] != other:
+                continue  # one of the two has been merged since
+            length[i], length[j] = own + other, 0
+            after[i] = after[j]
+            if after[i] < size:
+                before[after[i]] = i
+                near = after[i]
+                if (rank := get(data[i : near + length[near]])) is not None:
+                    heapq.heappush(heap, (rank, i, length[i], length[near]))
+            if (near := before[i]) >= 0 and (rank := get(data[near : i + length[i]])) is not None:
+                heapq.heappush(heap, (rank, near, length[near], length[i]))
+        out, i = [], 0
+        while i < size:
+            out.append(tokens[data[i : i + length[i]]])
+            i = after[i]
+        return out
 
     def encode(self, data: bytes) -> list[int]:
         """The tokens of one match of the pattern."""
@@ -101,12 +160,8 @@ class Bpe:
 
     def reduced(self, data: bytes) -> list[int]:
         if len(data) <= LEAF:
-            if (known := self.leaves.get(data)) is None:
-                if len(self.leaves) > MEMORY:
-                    self.leaves.clear()
-                known = self.leaves[data] = self.merged(data)
-            return known
-        middle = len(data) // 2
+            return self.leaves[data]
+        middle = 1 << ((len(data) - 1).bit_length() - 1)  # a power of two, where runs of one character seldom break a token
         return self.join(self.reduced(data[:middle]), self.reduced(data[middle:]))
 
     def decode(self, ids: list[int]) -> bytes:
@@ -116,37 +171,25 @@ class Bpe:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
-class Pieces(dict):
-    """Comma-joined ids, number of ids and decoded bytes of stretches of text."""
+class Pieces:
+    """Ids, as 32-bit integers, and decoded bytes of the pattern's matches."""
 
     def __init__(self, bpe: Bpe, pattern: str):
-        self.bpe, self.split = bpe, splitter(pattern)
-        self.loose = regex.compile(rf"[{SPACE}][{SPACE}]|[^\S \n]|^[{SPACE}]|[{SPACE}]$|\0")
-
-    def __missing__(self, stretch: str) -> tuple[str, bytes]:
-        if len(self) > MEMORY:
-            self.clear()
-        matches = [stretch] if stretch[1:].isalpha() and stretch.isascii() else self.split.findall(stretch)
-        if len(matches) == 1:
-            ids = self.bpe.encode(stretch.encode())
-            out = (",".join(map(str, ids)), self.bpe.decode(ids))
-        else:
-            parts = [self[m] for m in matches]
-            out = (",".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
-        self[stretch] = out
-        return out
+        self.bpe, self.split, self.narrow = bpe, splitter(pattern), narrow_splitter(pattern)
+        self.wide = re.compile("[^\0-\u024f]")
+        self.known = Kept(self.made, MEMORY)
 
-    def of(self, text: str) -> list[tuple[str, bytes]]:
-        """Stretches of the text in order.
+    def made(self, match: str) -> tuple[bytes, bytes]:
+        ids = self.bpe.encode(match.encode())
+        return array("i", ids).tobytes(), self.bpe.decode(ids)
 
-        Where single blanks or line breaks stand between other characters, every match begins at the
-        blank, before the line break and after it; other texts are matched as one.
-        """
+    def of(self, text: str) -> list[tuple[bytes, bytes]]:
+        """The text's matches in order; long ones are made anew each time."""
         if not text:
             return []
-        if self.loose.search(text):
-            return [self[m[0]] for m in self.split.finditer(text)]
-        return [self[x] for x in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")]
+        split = self.split if self.narrow is None or self.wide.search(text) else self.narrow
+        known = self.known
+        return [known[x] if len(x) <= LONGEST else self.made(x) for x in split.findall(text)]
 
 
 @cache
@@ -165,8 +208,7 @@ def tokens(documents: DataFrame, keep: list[str], path: str, pattern: str) -> Da
             ids, decoded = [], []
             for value in batch.column("text"):
                 parts = pieces.of(value.as_py())
-                joined = ",".join([p[0] for p in parts])
-                ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32))
+                ids.append(np.frombuffer(b"".join([p[0] for p in parts]), np.int32))
                 decoded.append(b"".join([p[1] for p in parts]))
             counts = [len(x) for x in ids]
             bounds = np.cumsum([0, *counts]).astype(np.int32)
