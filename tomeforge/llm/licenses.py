@@ -7,7 +7,8 @@ licence expression: OR binds weaker than AND, AND weaker than WITH, brackets gro
 are the identifiers of the expression in lower case (`a-with-b` for an exception).
 
 `score` is 1 - (1 - weight) over the findings: a tag 0.95, a notice 0.6, a base phrase 0.4. Null and
-empty texts have no words, no labels and score 0. Rows are scanned one by one; repeated rows give
+empty texts have no words, no labels and score 0; very long texts are scanned whole, in time
+proportional to their length. An empty table gives an empty result. Rows are scanned one by one; repeated rows give
 repeated results, and only named columns are read.
 """
 
@@ -175,8 +176,11 @@ def scanned(documents: DataFrame, keep: list[str]) -> DataFrame:
 def _findings(finder: ahocorasick.Automaton, text: str, original) -> tuple:
     n_words = text.count(" ") - 1 if len(text) > 2 else 0
     starts, base_labels, labels, weights, tag = [], set(), set(), [], False
+    blanks, upto = 0, 0  # blanks in text[:upto]; matches come by their ends, so that phrases' lengths bound the way back
     for end, phrase in finder.iter(text):
-        at = text.count(" ", 0, end - len(phrase) - 1)  # blanks before the one that begins the match
+        begin = end - len(phrase) - 1
+        blanks += text.count(" ", upto, begin) if begin >= upto else -text.count(" ", begin, upto)
+        upto, at = begin, blanks  # blanks before the one that begins the match
         if phrase in BASE:
             starts.append(at)
             base_labels.add(BASE[phrase])

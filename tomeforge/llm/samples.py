@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labels in a sample at most (the most frequent), and characters of a sampled text.
-MOST_CLASSES, MOST_CHARS = 64, 20_000
+#: Characters of a sampled text at most; longer ones are not learned from.
+MOST_CHARS = 20_000
 
 
 def learnable(doc_id: str = "doc_id"):
@@ -17,16 +17,14 @@ def learnable(doc_id: str = "doc_id"):
 def labelled_sample(rows: DataFrame, key: str, label: str, per_class: int) -> DataFrame:
     """About per_class rows of each label, drawn by a hash of the key, and never more than twice that in all.
 
-    Labels are counted first, so that a rare label gets its rows at any size of the table.
+    Labels are counted first, so that a rare label gets its rows at any size of the table; every label is
+    sampled. The counts, a row for each label, are joined back as a table.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_CLASSES).collect()
-    if not counts:
-        return rows.limit(0)
-    share = F.lit(0.0)
-    for value, count in counts:
-        share = F.when(F.col(label) == value, F.lit(per_class / count)).otherwise(share)
+    counts = rows.groupBy(label).count().withColumnsRenamed({label: "label_", "count": "count_"})
+    classes = counts.count()
     drawn = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(drawn < share).orderBy(F.xxhash64(key), key).limit(2 * per_class * len(counts))
+    held = rows.join(counts, F.col(label) == F.col("label_")).where(drawn < per_class / F.col("count_"))
+    return held.select(*rows.columns).orderBy(F.xxhash64(key), key).limit(2 * per_class * max(1, classes))
 
 
 def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:

@@ -74,9 +74,11 @@ def features(part: Slice, w: Words) -> list[np.ndarray]:
     inside = TOKEN[w.data]
     at = np.cumsum(size) - size
     own = part.data[inside]
-    kinds = np.add.reduceat(_KIND[own], at)
-    lower, upper, digit, other = (((kinds >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for i in range(4))
     kind = _CLASS[own]
+    counts_of = np.add.reduceat(_KIND[own], at)
+    lower, upper, digit, other = (((counts_of >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for i in range(4))
+    if len(size) and size.max() > 0xFFFF:  # 16 bits don't hold the counts
+        other, lower, upper, digit = (np.add.reduceat((kind == i).astype(np.int64), at) for i in range(4))
     change = np.zeros(len(own), dtype=np.int64)
     change[1:] = kind[1:] != kind[:-1]
     change[at] = 0
@@ -128,6 +130,17 @@ def tagged(part: Slice, w: Words, tags: np.ndarray) -> dict[int, list[tuple[int,
     return out
 
 
+def apart(spans: list[tuple[int, int]], found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Those of the spans that overlap none of the found (start, kind, end); both by start."""
+    i, reach = 0, 0  # of the found that begin before the span's end, the last end
+    for a, b in spans:
+        while i < len(found) and found[i][0] < b:
+            reach = max(reach, found[i][2])
+            i += 1
+        if reach <= a:
+            yield a, b
+
+
 def _made(rng: random.Random) -> tuple[str, str, str]:
     """A secret of some form, with what stands before and after it."""
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
@@ -215,7 +228,7 @@ def scanned(documents: DataFrame, model: crf.Model | None, keep: list[str]) -> D
                     added = tagged(part, w, crf.viterbi(own.emissions(features(part, w)), _first(w), own.moves, own.starts))
                 for row in range(part.last - part.first):
                     found = base(part.text(row))
-                    found += [(a, 3, b) for a, b in added.get(row, ()) if all(b <= x or a >= y for x, _, y in found)]
+                    found += [(a, 3, b) for a, b in apart(added.get(row, []), found)]
                     rows.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, kind_of)], [*keep, "spans"])
 
