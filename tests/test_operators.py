@@ -75,6 +75,8 @@ def test_catalog_and_units(spark):
     rows = spark.createDataFrame([("h1", "b", "b/1", 1, 5), ("h1", "a", "z/2", 0, 5), ("h1", "a", "z/3", 0, 5), ("h2", "a", "z/1", 0, 1)], "sha256 string, collection string, path string, scope int, bytes int")
     got = {r.sha256: r for r in catalog.catalog(rows).collect()}
     assert (got["h1"].path, got["h1"].copies, got["h1"].collections) == ("z/2", ["z/3", "b/1"], ["a", "b"]) and got["h2"].copies == []
+    assert {(r.sha256, r.path, r.n_copies, tuple(r.collections)) for r in catalog.firsts(rows).collect()} == {(h, r.path, len(r.copies), tuple(r.collections)) for h, r in got.items()}
+    assert {(r.path, r.copy_of) for r in catalog.copies(rows).collect()} == {("z/3", "z/2"), ("b/1", "z/2")}
     missing = catalog.missing_units(spark.createDataFrame([("s", 3), ("t", 0)], "source string, pages int"), spark.createDataFrame([("s", 2)], "source string, page int"))
     assert {r.page for r in missing.collect()} == {1, 3}
 
@@ -167,3 +169,34 @@ def test_gate_stream(spark, tmp_path):
     query = jobs.gate(stream).writeStream.format("memory").queryName("gate_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.stream, r.seq) for r in spark.table("gate_out").collect()} == {("s", 4), ("t", 1)}
+
+
+def test_unit_counts(spark):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for name in ("xl/workbook.xml", "xl/worksheets/sheet1.xml", "xl/worksheets/sheet2.xml", "xl/worksheets/_rels/sheet1.xml.rels"):
+            z.writestr(name, "<x/>")
+    rows = spark.createDataFrame([("a.XLSX", held.getvalue()), ("b.html", b"x"), ("c.xlsx", b"no"), (None, None)], "path string, content binary")
+    assert [r.n for r in rows.select(files.unit_count("path", "content").alias("n")).collect()] == [2, 1, None, 1]
+
+
+def test_places_in_order(spark):
+    from tomeforge.operators.ordered import placed
+
+    rows = [("b", 2), ("a", 9), ("b", 1), (None, 5), ("a", 3)] + [("c", i) for i in range(200)]
+    got = placed(spark.createDataFrame(rows, "k string, n int"), "k", "n").collect()
+    assert [(r.k, r.n) for r in sorted(got, key=lambda r: r.place)] == sorted(rows, key=lambda r: (r[0] is not None, r)) and sorted(r.place for r in got) == list(range(1, 206))
+
+
+def test_optimistic_writes(spark):
+    import hashlib
+
+    from tomeforge.operators import records
+
+    rev = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    now = spark.createDataFrame([(1, "one"), (2, "two")], "id int, body string")
+    writes = spark.createDataFrame([(1, 1, rev("one"), "uno"), (1, 2, rev("one"), "eins"), (1, 3, rev("uno"), "un"), (2, 1, rev("two"), ""), (2, 2, None, "zwei"), (3, 1, rev("x"), "y")], "id int, seq int, expected string, body string")
+    done = records.optimistic_writes(now, writes, F.col("body") != "")
+    assert [(r.id, r.seq, r.status) for r in done.orderBy("id", "seq").collect()] == [(1, 1, "saved"), (1, 2, "conflict"), (1, 3, "conflict"), (2, 1, "invalid"), (2, 2, "conflict"), (3, 1, "unknown")]
+    after, backup = records.saved_rows(now, done)
+    assert {(r.id, r.body) for r in after.collect()} == {(1, "uno"), (2, "two")} and [(r.id, r.body) for r in backup.collect()] == [(1, "one")]

@@ -12,25 +12,32 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
+#: Accented letters of Latin-1 in lower case, and the letters below the accents (fixed values).
+ACCENTED, BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _bare(text: str | None) -> str | None:
+    return None if text is None else re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", text)).lower()
+
+
 @pandas_udf(T.StringType())
 def _without_marks(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", x)).lower() if x is not None else "")
+    return text.map(_bare)
 
 
 def search_form(text: Column) -> Column:
     """Lower case without accents, every run of other than a-z and 0-9 one blank, trimmed; null gives ''.
 
-    Pure ASCII stays in the JVM; other texts are decomposed in an Arrow batch.
+    Texts up to Latin-1 stay in the JVM; only others go to Python, to be decomposed.
     """
-    plain = F.when(text.isNull(), "").when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(_without_marks(text))
-    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+    latin = F.translate(F.lower(text), ACCENTED, BARE)
+    wide = _without_marks(F.when(text.rlike(r"[^\u0000-\u00ff]"), text))
+    return F.trim(F.regexp_replace(F.coalesce(wide, latin, F.lit("")), "[^a-z0-9]+", " "))
 
 
-def search_form_latin(text: Column) -> Column:
-    """search_form for texts whose accented letters are all Latin-1, without Python."""
-    accented = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), accented, plain), "[^a-z0-9]+", " "))
+def search_words(query: str) -> list[str]:
+    """The words of a query in search form."""
+    return re.sub("[^a-z0-9]+", " ", _bare(query)).split()
 
 
 def escape_html(text: Column) -> Column:
@@ -42,7 +49,7 @@ def escape_html(text: Column) -> Column:
 
 def contains_form(parts: list[Column], query: str, section: Column | None = None, wanted: str | None = None) -> Column:
     """Whether the parts, joined by blanks, contain the query in search form; optionally one section only."""
-    found = F.contains(search_form_latin(F.concat_ws(" ", *parts)), search_form_latin(F.lit(query)))
+    found = F.contains(search_form(F.concat_ws(" ", *parts)), F.lit(" ".join(search_words(query))))
     return found if wanted is None else found & (section == wanted)
 
 
@@ -111,15 +118,13 @@ def quote_units(text: pd.Series) -> pd.Series:
     return text.map(quote_pieces)
 
 
-def paragraph_units(text: Column) -> Column:
+_STRETCH = re.compile(r"(?s).+?(?:\n\s*\n|\Z)", re.A)
+
+
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("body", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def paragraph_units(text: pd.Series) -> pd.Series:
     """{body, start, end} of stretches that end behind blank lines; together they are the text."""
-    pieces = F.filter(F.regexp_extract_all(text, F.lit(r"(?s)(.+?(?:\n\s*\n|\z))"), F.lit(1)), lambda x: x != "")
-    bodies = F.aggregate(
-        pieces,
-        F.array().cast("array<struct<body:string,start:int,end:int>>"),
-        lambda done, x: F.concat(done, F.array(F.struct(x.alias("body"), F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)).alias("start"), (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + F.length(x)).alias("end")))),
-    )
-    return F.when(text.isNotNull(), F.when(F.size(pieces) > 0, bodies).otherwise(F.array().cast("array<struct<body:string,start:int,end:int>>")))
+    return text.map(lambda x: None if x is None else [{"body": m[0], "start": m.start(), "end": m.end()} for m in _STRETCH.finditer(x)])
 
 
 NATIVE_TEXT_MARKER = "<!-- native-text-supplement: pdf-text-layer; uncorrected -->"

@@ -22,8 +22,8 @@ def file_kind(path: Column, head: Column | None = None) -> Column:
 def catalog(files: DataFrame) -> DataFrame:
     """files: sha256, collection, path, scope (order of scopes), bytes. One row for each content.
 
-    The place seen first, by scope and path, is canonical and the rest are copies; a hot content is
-    counted before the shuffle, and only its places meet in one row.
+    The place seen first, by scope and path, is canonical and the rest are copies, listed in its row; where a
+    content can have a great many places, as empty files have, firsts() and copies() hold no list.
     """
     place = F.struct("scope", "path", "collection")
     rows = files.groupBy("sha256").agg(F.sort_array(F.collect_list(place)).alias("places"), F.max("bytes").alias("bytes"))
@@ -38,6 +38,18 @@ def catalog(files: DataFrame) -> DataFrame:
     )
 
 
+def firsts(files: DataFrame) -> DataFrame:
+    """One row of each content: its first place, how many copies it has, and the collections that have it."""
+    rows = files.groupBy("sha256").agg(F.min(F.struct("scope", "path", "collection")).alias("place"), (F.count("*") - 1).alias("n_copies"), F.max("bytes").alias("bytes"), F.array_sort(F.collect_set("collection")).alias("collections"))
+    return rows.select(stable_id(F.col("sha256")).alias("id"), "sha256", "bytes", "place.path", "place.collection", "n_copies", "collections")
+
+
+def copies(files: DataFrame) -> DataFrame:
+    """(id, path, copy_of) of the places that aren't the first of their content."""
+    first = firsts(files).select("sha256", "id", F.col("path").alias("copy_of"))
+    return files.join(first, "sha256").where("path != copy_of").select("id", "path", "copy_of")
+
+
 def missing_units(sources: DataFrame, present: DataFrame) -> DataFrame:
     """sources: (source, pages); present: (source, page). Pages 1..pages that aren't there."""
     wanted = sources.where("pages > 0").select("source", F.explode(F.sequence(F.lit(1), F.col("pages").cast("int"))).alias("page"))

@@ -102,8 +102,15 @@ def merged_blocks(blocks: DataFrame, key: str, text: str, origin: str) -> DataFr
     return blocks.groupBy(key, digest.alias("block_sha256")).agg(F.count("*").alias("occurrences"), F.count_distinct(origin).alias("origins"), F.min(origin).alias("first_origin"))
 
 
+def exact_fragments(paragraphs: DataFrame, fragments: DataFrame, paragraph: str) -> DataFrame:
+    """The fragments, and as `exact` whether their text is the paragraph's there; the paragraph's body isn't kept."""
+    both = fragments.join(paragraphs.select(paragraph, "body"), paragraph)
+    own = F.substring("body", F.col("fragment_start") - F.col("offset_start") + 1, F.col("fragment_end") - F.col("fragment_start"))
+    return both.select(*(c for c in fragments.columns if c != "fragment_body"), (own == F.col("fragment_body")).alias("exact"))
+
+
 def tiling_errors(fragments: DataFrame, paragraph: str) -> DataFrame:
-    """fragments: paragraph, body, offset_start, offset_end, fragment_start, fragment_end, fragment_body.
+    """fragments: paragraph, offset_start, offset_end, fragment_start, fragment_end, exact (or body and fragment_body).
 
     Paragraphs whose fragments, by start, don't follow each other without gap or overlap from the
     paragraph's start to its end, or whose text differs from the paragraph's there; with the first reason.
@@ -111,12 +118,13 @@ def tiling_errors(fragments: DataFrame, paragraph: str) -> DataFrame:
     order = Window.partitionBy(paragraph).orderBy("fragment_start", "fragment_end")
     before = F.coalesce(F.lag("fragment_end").over(order), F.col("offset_start"))
     last = F.lead("fragment_start").over(order).isNull()
-    own = F.substring("body", F.col("fragment_start") - F.col("offset_start") + 1, F.col("fragment_end") - F.col("fragment_start"))
+    own = lambda: F.substring("body", F.col("fragment_start") - F.col("offset_start") + 1, F.col("fragment_end") - F.col("fragment_start"))
+    exact = F.col("exact") if "exact" in fragments.columns else own() == F.col("fragment_body")
     reason = (
         F.when(F.col("fragment_start") > before, "gap")
         .when(F.col("fragment_start") < before, "overlap")
         .when((F.col("fragment_end") <= F.col("fragment_start")) | (F.col("fragment_end") > F.col("offset_end")), "bounds")
-        .when(own != F.col("fragment_body"), "body")
+        .when(~exact, "body")
         .when(last & (F.col("fragment_end") != F.col("offset_end")), "missing_tail")
     )
     rows = fragments.withColumn("reason", reason).where("reason is not null")

@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="tomeforge-")
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage, in the shared folder where the cluster names one."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tomeforge-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -25,11 +32,11 @@ def redirects_into_cycles(entities: DataFrame) -> DataFrame:
     point somewhere. A chain ends at a null or at an id that isn't there. log2(n) joins, no driver loop
     over rows.
     """
-    hops = _cut(entities.where("redirect_to is not null").select("id", F.col("redirect_to").alias("to")).join(entities.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to").distinct())
+    hops = cut(entities.where("redirect_to is not null").select("id", F.col("redirect_to").alias("to")).join(entities.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to").distinct())
     rounds = math.ceil(math.log2(max(2, hops.count()))) + 1
     for _ in range(rounds):
         onward = hops.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        hops = _cut(hops.join(onward, "to").select("id", F.col("next").alias("to")))
+        hops = cut(hops.join(onward, "to").select("id", F.col("next").alias("to")))
         if hops.isEmpty():
             break
     return hops.select("id").distinct()
@@ -39,10 +46,10 @@ def descendants(nodes: DataFrame, root) -> DataFrame:
     """nodes: (id, parent). The root and everything below it, level by level; cycles end by themselves."""
     found = level = nodes.where(F.col("id") == root).select("id").distinct()
     while True:
-        level = _cut(nodes.join(level.select(F.col("id").alias("parent")), "parent").select("id").distinct().join(found, "id", "left_anti"))
+        level = cut(nodes.join(level.select(F.col("id").alias("parent")), "parent").select("id").distinct().join(found, "id", "left_anti"))
         if level.isEmpty():
             return found
-        found = _cut(found.union(level))
+        found = cut(found.union(level))
 
 
 def itinerary(routes: DataFrame, start, goal, *, factor: float = 1.0, secondary: bool = True, rift: bool = True) -> DataFrame:
@@ -62,10 +69,10 @@ def itinerary(routes: DataFrame, start, goal, *, factor: float = 1.0, secondary:
     if not rift:
         known = known.where("kind != 'rift'")
     one = lambda x, y: known.select(F.col(x).alias("at"), F.col(y).alias("to"), "id", "kind", "hours_min", "hours_max")
-    edges = _cut(one("a", "b").union(one("b", "a")))
+    edges = cut(one("a", "b").union(one("b", "a")))
     ends = routes.select(F.col("a").alias("node")).union(routes.select("b")).where(F.col("node") == start).distinct()
     id_type = routes.schema["id"].dataType.simpleString()
-    best = _cut(ends.select("node", F.lit(0.0).alias("low"), F.array().cast(f"array<{id_type}>").alias("path"), F.lit(0.0).alias("high"), F.array("node").alias("nodes"), F.lit(False).alias("rift")))
+    best = cut(ends.select("node", F.lit(0.0).alias("low"), F.array().cast(f"array<{id_type}>").alias("path"), F.lit(0.0).alias("high"), F.array("node").alias("nodes"), F.lit(False).alias("rift")))
     moved = best
     while True:
         offers = moved.join(edges, F.col("node") == F.col("at")).where(~F.array_contains("nodes", F.col("to")))
@@ -79,7 +86,7 @@ def itinerary(routes: DataFrame, start, goal, *, factor: float = 1.0, secondary:
         )
         rank = Window.partitionBy("node").orderBy("low", "path")
         merged = best.withColumn("new", F.lit(False)).union(offers.withColumn("new", F.lit(True)))
-        merged = _cut(merged.withColumn("rank", F.row_number().over(rank)).where("rank = 1").drop("rank"))
+        merged = cut(merged.withColumn("rank", F.row_number().over(rank)).where("rank = 1").drop("rank"))
         moved = merged.where("new").drop("new")
         best = merged.drop("new")
         if moved.isEmpty():

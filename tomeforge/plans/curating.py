@@ -21,13 +21,12 @@ def exact_copies(table, spark):
 UNITS = r"u as (select source, doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null)"
 
 
-@query(f"with {UNITS}, k as (select distinct source, line from u where doc_id % 10 < 3) select u.source, u.doc_id, bool_and(k.line is not null) as covered from u left join k using (source, line) where u.doc_id % 10 >= 3 group by 1, 2 having bool_and(k.line is not null)")
+@query(f"with {UNITS}, k as (select distinct line from u where doc_id % 2 = 0) select u.source, u.doc_id, bool_and(k.line is not null) as covered, count(*) as units from u left join k using (line) where u.doc_id % 2 = 1 group by 1, 2")
 def unit_containment(table, spark):
-    """Documents whose every unit is in the retained set, as a join and a group."""
+    """Whether every unit of a document is in the retained set, as a join and a group."""
     u = table("documents").where("text is not null").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    k = u.where("doc_id % 10 < 3").select("source", "line").distinct().withColumn("known", F.lit(True))
-    held = u.where("doc_id % 10 >= 3").join(k, ["source", "line"], "left").groupBy("source", "doc_id").agg(F.bool_and(F.col("known").isNotNull()).alias("covered"))
-    return held.where("covered")
+    k = u.where("doc_id % 2 = 0").select("line").distinct().withColumn("known", F.lit(True))
+    return u.where("doc_id % 2 = 1").join(k, "line", "left").groupBy("source", "doc_id").agg(F.bool_and(F.col("known").isNotNull()).alias("covered"), F.count("*").alias("units"))
 
 
 @query("with p as (select l_orderkey * 10 + l_linenumber as id, round(l_discount * 10, 2) as p_no from lineitem) select case when p_no > 0.80 then 'exclude_redundant' else 'retain' end as selection, count(*) as n from p group by 1")
@@ -67,19 +66,22 @@ select paragraph, min_by(reason, (fragment_start, fragment_end)) as reason from
 
 
 def _votes(table):
+    """Lines as votes, without their text's copy; whether each is the text at its place is told beforehand."""
     from pyspark.sql import Window
 
-    d = table("documents").where("text is not null").select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("i", "line"), F.size(F.split("text", "\n")).alias("total"))
-    stop = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("i"))
-    d = d.withColumn("stop", stop).withColumn("n", F.col("i") + 1)
+    texts = table("documents").where("text is not null").select("doc_id", "text")
     k, n = F.col("doc_id"), F.col("n")
+    d = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("n", F.col("i") + 1)
+    ordered = Window.partitionBy("doc_id").orderBy("i")
+    stop = F.sum(F.length("line") + 1).over(ordered)
+    whole = Window.partitionBy("doc_id")
+    d = d.withColumns({"stop": stop, "total": F.count("*").over(whole), "offset_end": F.sum(F.length("line") + 1).over(whole)})
     shift = F.when((k % 11 == 0) & (n == 2), 1).when((k % 13 == 0) & (n == 2), -1).otherwise(0)
     rows = d.where(~((k % 19 == 0) & (n == F.col("total"))))
     return rows.select(
         k.alias("paragraph"),
-        F.concat("text", F.lit("\n")).alias("body"),
         F.lit(0).alias("offset_start"),
-        (F.length("text") + 1).alias("offset_end"),
+        F.col("offset_end").cast("int").alias("offset_end"),
         (F.col("stop") - F.length("line") - 1 + shift).cast("int").alias("fragment_start"),
         F.col("stop").cast("int").alias("fragment_end"),
         F.when((k % 17 == 0) & (n == 3), F.concat(F.lit("?"), "line", F.lit("\n"))).otherwise(F.concat("line", F.lit("\n"))).alias("fragment_body"),
@@ -87,10 +89,16 @@ def _votes(table):
     )
 
 
+def _bodies(table):
+    return table("documents").where("text is not null").select(F.col("doc_id").alias("paragraph"), F.concat("text", F.lit("\n")).alias("body"))
+
+
 @query(TILING_SQL)
 def tiling_errors(table, spark):
     """Fragments that don't tile their paragraph."""
-    return curation.tiling_errors(_votes(table), "paragraph")
+    votes = _votes(table)
+    exact = curation.exact_fragments(_bodies(table), votes, "paragraph")
+    return curation.tiling_errors(exact, "paragraph")
 
 
 SPANS_SQL = f"""
@@ -106,7 +114,8 @@ def selected_spans(table, spark):
     v = _votes(table)
     k = F.col("paragraph")
     status = F.when(k % 4 == 0, "reference").when(k % 4 == 1, "add").when(k % 4 == 2, "add_uncertain").otherwise("metadata")
-    paragraphs = v.select("paragraph", status.alias("status"), "body", "offset_start", "offset_end").dropDuplicates(["paragraph"])
+    held = v.select("paragraph", "offset_start", "offset_end").distinct()
+    paragraphs = _bodies(table).join(held, "paragraph").select("paragraph", status.alias("status"), "body", "offset_start", "offset_end")
     choice = (k + F.col("n")) % 3
     votes = v.select("paragraph", "fragment_start", "fragment_end", "fragment_body", F.when(choice == 0, "redundant").when(choice == 1, "useful").otherwise("unsure").alias("decision"))
     rows = curation.selected_spans(paragraphs, votes)
@@ -183,8 +192,9 @@ def confirmation_gate(table, spark):
 
 COST_SQL = """
 with u as (select l_orderkey * 100 + l_linenumber as k, l_partkey * 37 as i, l_suppkey * 11 as o, (l_partkey % 9) * 9000 as r, (l_suppkey % 5) * 100 as w, (l_suppkey % 7) * 60 as h, l_quantity > 25 as batch from lineitem)
-select k % 1000 as bucket, count(*) filter (where w - h < 0) as invalid,
-    cast(sum(case when w - h >= 0 then (i * 0.10 + o * 0.50 + r * 0.01 + (w - h) * 0.125 + h * 0.20) * (case when i + r + w > 100000 then 5 else 1 end) * (case when batch then 0.5 else 1 end) / 1000000.0 end) as decimal(18, 6)) as usd from u group by 1
+select k % 1000 as bucket, count(*) filter (where w - h < 0) as invalid, -- two thousandths of a millionth, then rounded half up
+    cast((2 * sum(case when w - h >= 0 then (i * 100 + o * 500 + r * 10 + (w - h) * 125 + h * 200) * (case when i + r + w > 100000 then 5 else 1 end) * (case when batch then 1 else 2 end) end) + 2000) // 4000 as decimal(18, 0))
+        * cast(0.000001 as decimal(7, 6)) as usd from u group by 1
 """
 
 
@@ -307,6 +317,7 @@ def streamed_counts(table, spark):
     """A stream over the files of events, run until all that arrived is done."""
     import uuid
 
+    from tomeforge.operators.graph import shared_folder
     from tomeforge.streaming.jobs import run_available
 
     name = f"counts_{uuid.uuid4().hex}"
@@ -314,17 +325,11 @@ def streamed_counts(table, spark):
     folder = source.inputFiles()[0].rsplit("/", 1)[0]
     only = "events*" if "events.parquet" in source.inputFiles()[0].rsplit("/", 1)[1] else "*"
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", only).parquet(folder)
-    shared = _shared(spark)
+    shared = shared_folder(spark)
     run_available(stream, lambda batch, n: batch.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{shared}/{name}/batch={n}"), f"{shared}/{name}-checkpoint")
     return spark.read.parquet(f"{shared}/{name}").groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
-def _shared(spark) -> str:
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tomeforge-")
-
-
 @query("select date_trunc('day', ts) as day, event_type, count(*) as n from events group by 1, 2")
 def daily_windows(table, spark):
     """Extra: tumbling windows, as the streaming job closes them."""

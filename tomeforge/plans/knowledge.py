@@ -18,8 +18,8 @@ from f group by sha256
 def corpus_catalog(table, spark):
     """Documents as files, one row of equal content with the first path and its copies."""
     files = table("documents").where("text is not null").select(F.sha2("text", 256).alias("sha256"), F.col("source").alias("collection"), F.concat_ws("/", "source", "doc_id").alias("path"), F.lit(0).alias("scope"), F.octet_length("text").alias("bytes"))
-    rows = catalog.catalog(files)
-    return rows.select("id", "sha256", F.col("bytes").cast("long").alias("bytes"), "path", F.size("copies").cast("long").alias("n_copies"), F.array_join("collections", ",").alias("collections"))
+    rows = catalog.firsts(files)
+    return rows.select("id", "sha256", F.col("bytes").cast("long").alias("bytes"), "path", "n_copies", F.array_join("collections", ",").alias("collections"))
 
 
 @query("select case when regexp_matches(lower(url), '\\.(html|htm|php)([?#].*)?$') then 'document' else 'auxiliary' end as kind, count(*) as n from pages group by 1")
@@ -122,14 +122,13 @@ def top_proposals(table, spark):
     return rows.orderBy(F.desc("score"), "a", "id").limit(100)
 
 
-@query("select o_orderkey as id, row_number() over (order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 else 2 end, o_orderkey) as place from orders order by place limit 200")
+@query("select o_orderkey as id, row_number() over (order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 else 2 end, o_orderkey) as place from orders")
 def priority_order(table, spark):
-    """O2: jobs by kind and then id; the first 200 places."""
-    kind = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
-    first = table("orders").select("o_orderkey", kind.alias("kind")).orderBy("kind", "o_orderkey").limit(200)
-    from pyspark.sql import Window
+    """O2: jobs by kind and then id, each with its place."""
+    from tomeforge.operators.ordered import placed
 
-    return first.select(F.col("o_orderkey").alias("id"), F.row_number().over(Window.orderBy("kind", "o_orderkey")).cast("long").alias("place"))
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
+    return placed(table("orders").select(F.col("o_orderkey").alias("id"), kind.alias("kind")), "kind", "id").select("id", "place")
 
 
 @query("select distinct id from (select l_partkey as id from lineitem where l_quantity > 45 union all select l_suppkey from lineitem where l_quantity > 45) where id is not null")
@@ -200,7 +199,7 @@ def ambiguous_nodes(table, spark):
 
 
 ALIASES_SQL = r"""
-with d as (select doc_id, trim(regexp_replace(lower(split_part(text, ' ', 1)), '[^a-z0-9]+', ' ', 'g')) as key from documents where regexp_full_match(split_part(text, ' ', 1), '[ -~]*'))
+with d as (select doc_id, trim(regexp_replace(lower(strip_accents(split_part(text, ' ', 1))), '[^a-z0-9]+', ' ', 'g')) as key from documents)
 select key, count(*) as members, min(doc_id) as first_id from d where key <> '' group by key having count(*) > 1
 """
 
@@ -208,10 +207,10 @@ select key, count(*) as members, min(doc_id) as first_id from d where key <> ''
 @query(ALIASES_SQL)
 def equal_names(table, spark):
     """Names that are equal in search form share a key; aliases would only link."""
-    from tomeforge.functions.text import search_form_latin
+    from tomeforge.functions.text import search_form
 
     name = F.split_part("text", F.lit(" "), F.lit(1))
-    d = table("documents").where(name.rlike(r"^[ -~]*$")).select("doc_id", search_form_latin(name).alias("key")).where("key != ''")
+    d = table("documents").select("doc_id", search_form(name).alias("key")).where("key != ''")
     return d.groupBy("key").agg(F.count("*").alias("members"), F.min("doc_id").alias("first_id")).where("members > 1")
 
 

@@ -86,19 +86,19 @@ def skill_bars(table, spark):
     return table("part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("pips"), bar.alias("bar"), F.rank().over(w.orderBy(F.desc("p_size"))).cast("long").alias("place"))
 
 
-@query("select c_custkey as id, list_position(['BUILDING', 'AUTOMOBILE', 'MACHINERY'], c_mktsegment) as deck from customer where c_mktsegment in ('BUILDING', 'AUTOMOBILE', 'MACHINERY') order by deck, c_custkey limit 50")
+@query("select c_custkey as id, list_position(['BUILDING', 'AUTOMOBILE', 'MACHINERY'], c_mktsegment) as deck from customer where c_mktsegment in ('BUILDING', 'AUTOMOBILE', 'MACHINERY') order by deck, c_custkey")
 def deck_rows(table, spark):
     """O3, P10: rows by the place of their deck in a list and then their own."""
     order = F.array(F.lit("BUILDING"), F.lit("AUTOMOBILE"), F.lit("MACHINERY"))
     deck = F.array_position(order, F.col("c_mktsegment"))
-    return table("customer").where(deck > 0).select(F.col("c_custkey").alias("id"), deck.cast("int").alias("deck")).orderBy("deck", "id").limit(50)
+    return table("customer").where(deck > 0).select(F.col("c_custkey").alias("id"), deck.cast("int").alias("deck")).orderBy("deck", "id")
 
 
-@query("with l as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n from lineitem) select l_orderkey as id, string_agg(l_partkey::varchar, ',' order by n) as first_parts from l where n <= 3 group by 1")
+@query("with l as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n from lineitem) select l_orderkey as id, string_agg(l_partkey::varchar, ',' order by n) as first_parts from l where n <= 14 group by 1")
 def first_skills(table, spark):
     """The first of a list, in its order."""
     rows = table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("all"))
-    return rows.select("id", F.array_join(F.transform(F.slice("all", 1, 3), lambda x: x["l_partkey"].cast("string")), ",").alias("first_parts"))
+    return rows.select("id", F.array_join(F.transform(F.slice("all", 1, 14), lambda x: x["l_partkey"].cast("string")), ",").alias("first_parts"))
 
 
 ITINERARY_SQL = f"""

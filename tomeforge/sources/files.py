@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -57,15 +58,17 @@ def archive_members(archives: DataFrame) -> DataFrame:
     rows have no content. Sizes are checked before anything is unpacked.
     """
 
+    names = ["path", "member", "content", "problem"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
+                rows = []
                 try:
                     held = zipfile.ZipFile(io.BytesIO(content))
                     members = [m for m in held.infolist() if not m.is_dir()]
                 except zipfile.BadZipFile:
-                    rows.append((path, None, None, "unreadable"))
+                    yield pd.DataFrame([(path, None, None, "unreadable")], columns=names)
                     continue
                 total = sum(m.file_size for m in members)
                 for m in members:
@@ -78,7 +81,7 @@ def archive_members(archives: DataFrame) -> DataFrame:
                         rows.append((path, m.filename, None, "too_large"))
                     else:
                         rows.append((path, m.filename, held.read(m), None))
-            yield pd.DataFrame(rows, columns=["path", "member", "content", "problem"])
+                yield pd.DataFrame(rows, columns=names)  # one archive at a time
 
     rows = archives.select("path", "content").mapInPandas(run, "path string, member string, content binary, problem string")
     return rows.select("path", "member", F.sha2("content", 256).alias("sha256"), F.length("content").alias("bytes"), "content", "problem")
@@ -154,6 +157,21 @@ def equal_images(images: DataFrame) -> DataFrame:
     return good.withColumn("warning", F.lit(None).cast("string")).unionByName(bad)
 
 
+@pandas_udf(T.IntegerType())
+def unit_count(path: pd.Series, content: pd.Series) -> pd.Series:
+    """Units of a file: the sheets of an .xlsx, 1 for others; null where an .xlsx can't be read. (PDF pages need a library that isn't here.)"""
+
+    def count(name: str | None, data: bytes | None) -> int | None:
+        if not (name or "").lower().endswith(".xlsx"):
+            return 1
+        try:
+            return sum(bool(re.fullmatch(r"xl/worksheets/[^/]+\.xml", m)) for m in zipfile.ZipFile(io.BytesIO(data or b"")).namelist())
+        except zipfile.BadZipFile:
+            return None
+
+    return pd.Series([count(*x) for x in zip(path, content, strict=True)], dtype="Int32")
+
+
 def finite(x: Column) -> Column:
     """The number, or null where JSON has none for it."""
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
