@@ -169,9 +169,10 @@ def kept_lines(rows):
     return {d: t if t is None or d is None else "\n".join(x for n, x in enumerate(t.split("\n")) if same(d, n, x)) for d, t in rows}
 
 
-@pytest.mark.parametrize("small", [32, 1])
-def test_lines(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,block", [(32, 64), (1, 64), (1, 5)])
+def test_lines(spark, monkeypatch, small, block):
     monkeypatch.setattr(line_dedup, "SMALL", small)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(3)
     bases = ["".join(rng.choice("abcdefgh ") for _ in range(34)).strip() + "xxxx" for _ in range(8)]
     rows = []
@@ -195,6 +196,19 @@ def test_short_lines_are_compared_for_equality(spark):
     assert got == {1: "Les.\n\n And ornd. \nx", 2: "\nLed.\ny", 3: ""}
 
 
+def test_lines_of_repeated_ids(spark):
+    x, y = "a line that is long enough to be compared " * 2, "some other line, also long enough to be compared"
+    rows = [(1, x), (2, y), (2, x), (3, f"{x}\n{y}"), (3, f"{x}\n{y}\nz"), (-4, "w"), (5, "w\nw")]
+    got = sorted(tuple(r) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.ALL_LINES).select("doc_id", "text").collect())
+    assert got == sorted([(1, x), (2, y), (2, ""), (3, ""), (3, "z"), (-4, "w"), (5, "")])
+
+
+def test_many_lines_in_a_text(spark):
+    text = "\n".join(f"line {i % 150_000}" for i in range(200_000))
+    (r,) = line_dedup.deduplicated(spark.createDataFrame([(1, text)], "doc_id long, text string"), line_dedup.ALL_LINES).collect()
+    assert r.n_lines == 200_000 and r.text == "\n".join(f"line {i}" for i in range(150_000))
+
+
 def test_op9_leaves_no_repeated_line(spark):
     left = [x.strip(" \t\r") for r in line_dedup.op9_line_dedup(spark, "/root/testdata/sf0.001").collect() for x in (r.text or "").split("\n")]
     left = [x for x in left if x]

@@ -7,12 +7,15 @@ segments (threshold plus one), of which an edit leaves one as it is; segments ar
 and number, and each line probes the index of its own length and of the next shorter one with its
 beginning and its end. Two lines in a bucket are a candidate pair, which a banded bit-parallel edit
 distance verifies. A bucket of more than SMALL lines, repeats included, isn't paired up: there the rest of each line, and
-the rest without each one of its characters, is a finer key; lines that share one differ in that
+the rest without each one of its characters, is a finer key (made by blocks, so that long lines take time
+in proportion to their length, but for hashes of what stands outside of each block); lines that share one differ in that
 character at most, and one link each to the key's least line holds them together without loss.
 
 Classes are connected components. The first line of a class (least doc_id, then position) stays in its
-document, all others go. Null texts stay null; empty texts and lines that are not compared are left alone. Documents
-without doc_id keep all their lines, and rows that repeat a doc_id are treated alike. Columns besides
+document, all others go. Null texts stay null; empty texts and lines that are not compared are left alone;
+very long texts are taken whole, in time n log n of their lines. Documents without doc_id keep all their
+lines. Rows of one doc_id with different texts are compared with each other as any; rows that repeat
+doc_id and text are one document, and alike afterwards. An empty table gives an empty result. Columns besides
 doc_id and text pass through, whatever their names.
 """
 
@@ -24,12 +27,13 @@ from pyspark.sql import functions as F
 from tomeforge.llm.components import components
 from tomeforge.llm.tables import free_name, table, written
 
-MIN_CHARS, SMALL = 30, 32
+MIN_CHARS, SMALL, BLOCK = 30, 32, 64
 #: Least characters of a line where every line that isn't empty is compared for equality.
 ALL_LINES = 1
 #: Buckets or candidate lines that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-_WIDE = 1 << 31
+#: Places of a line in its text, and marks that tell texts of one doc_id apart, in a position number.
+_LINES, _MARKS = 1 << 31, 1 << 24
 
 
 def _let(value: Column, use) -> Column:
@@ -96,9 +100,10 @@ def _trimmed(line: Column) -> Column:
 
 
 def _lines(documents: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """doc_id, position and trimmed text of the lines of `least` characters or more."""
-    rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return rows.select("doc_id", "pos", _trimmed(F.col("raw")).alias("line")).where(F.length("line") >= least)
+    """doc_id, mark, position and trimmed text of the lines of `least` characters or more."""
+    rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _mark(F.col("text")).alias("mark"), "text")
+    rows = rows.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    return rows.select("doc_id", "mark", "pos", _trimmed(F.col("raw")).alias("line")).where(F.length("line") >= least)
 
 
 def _keys(line: Column, rest: bool = True) -> Column:
@@ -154,12 +159,30 @@ def _candidates(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _shortened(rest: Column, indexed: Column) -> Column:
-    """Keys of a line's rest: without one character, with its place if indexed; and, if indexed, whole."""
-    places = F.when(F.length(rest) > 0, F.sequence(F.lit(1), F.length(rest))).otherwise(F.array().cast("array<int>"))
-    cut = lambda p: F.concat(F.left(rest, p - 1), F.substring(rest, p + 1, F.length(rest)))
-    without = F.transform(places, lambda p: F.struct(F.when(indexed, p).otherwise(F.lit(0)).alias("place"), F.xxhash64(cut(p)).alias("part")))
-    whole = F.when(indexed, F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(rest).alias("part"))))
-    return F.array_distinct(F.concat(without, F.coalesce(whole, F.array().cast("array<struct<place:int,part:bigint>>"))))
+    """Keys of a line's rest: without one character, with its place if indexed, and, if indexed, whole.
+
+    The rest is seen in blocks of BLOCK characters: a key is made of what stands before and behind the
+    character's block, and the block without it. The whole rest has a key for each block, as a line has
+    that is one character longer.
+    """
+    at = lambda b: b * BLOCK
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.length(rest) - 1, F.lit(0)) / BLOCK).cast("int"))
+    key = lambda place, before, inside, behind: F.struct(place.cast("int").alias("place"), F.xxhash64(before, inside, behind).alias("part"))
+
+    def cut(b: Column) -> Column:
+        own = F.substring(rest, at(b) + 1, F.lit(BLOCK))
+        outer = F.struct(own.alias("own"), F.xxhash64(F.left(rest, at(b))).alias("before"), F.xxhash64(F.substring(rest, at(b) + BLOCK + 1, F.length(rest))).alias("behind"))
+        places = lambda x: F.when(F.length(x["own"]) > 0, F.sequence(F.lit(1), F.length(x["own"]))).otherwise(F.array().cast("array<int>"))
+        without = lambda x: F.transform(places(x), lambda p: key(F.when(indexed, at(b) + p).otherwise(-1 - b), x["before"], F.concat(F.left(x["own"], p - 1), F.substring(x["own"], p + 1, F.lit(BLOCK))), x["behind"]))
+        return _let(outer, without)
+
+    def whole(b: Column) -> Column:
+        return key(-1 - b, F.xxhash64(F.left(rest, at(b))), F.substring(rest, at(b) + 1, F.lit(BLOCK - 1)), F.xxhash64(F.substring(rest, at(b) + BLOCK, F.length(rest))))
+
+    # a line that is one character longer can have one block more
+    more = F.sequence(F.lit(0), F.floor(F.length(rest) / BLOCK).cast("int"))
+    none = F.array().cast("array<struct<place:int,part:bigint>>")
+    return F.array_distinct(F.concat(F.flatten(F.transform(blocks, cut)), F.when(indexed, F.transform(more, whole)).otherwise(none)))
 
 
 def near_lines(documents: DataFrame) -> DataFrame:
@@ -172,18 +195,27 @@ def near_lines(documents: DataFrame) -> DataFrame:
     return both.where(banded_distance(F.col("long"), F.col("short"), 1) <= 1).select("a", "b")
 
 
+def _mark(text: Column) -> Column:
+    """Tells rows of one doc_id with different texts apart; such rows follow each other by it."""
+    return F.pmod(F.xxhash64(text), F.lit(_MARKS)).cast("long")
+
+
 def kept_lines(documents: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """doc_id and the positions of those of its compared lines that are the first of their class."""
+    """doc_id, mark, and the positions of those of its compared lines that are the first of their class."""
+    row = (F.col("doc_id").cast("decimal(19,0)") * _MARKS + F.col("mark")).cast("decimal(29,0)")
     lines = _lines(documents, least).select(
-        F.xxhash64("line").alias("id"), F.xxhash64(F.lit("second"), "line").alias("other"), (F.col("doc_id").cast("decimal(19,0)") * _WIDE + F.col("pos")).cast("decimal(38,0)").alias("at")
+        F.xxhash64("line").alias("id"), F.xxhash64(F.lit("second"), "line").alias("other"), (row * _LINES + F.col("pos")).cast("decimal(38,0)").alias("at")
     )
     distinct = lines.groupBy("id", "other").agg(F.min("at").alias("at"))
     named = components(written(near_lines(documents), "near-lines"))
     joined = distinct.join(named.withColumnRenamed("node", "id"), "id", "left")
     alone = joined.where("component is null").select("at")
     first = alone.union(joined.where("component is not null").groupBy("component").agg(F.min("at").alias("at")).select("at"))
-    doc_id = F.floor(F.col("at") / _WIDE).cast("long")
-    return first.select(doc_id.alias("doc_id"), (F.col("at") - doc_id.cast("decimal(19,0)") * _WIDE).cast("int").alias("pos")).groupBy("doc_id").agg(F.collect_list("pos").alias("kept"))
+    whole = F.lit(_LINES * _MARKS).cast("decimal(38,0)")
+    rest = F.pmod("at", whole).cast("long")
+    doc_id = ((F.col("at") - rest.cast("decimal(38,0)")) / whole).cast("long")
+    placed = first.select(doc_id.alias("doc_id"), F.shiftright(rest, 31).alias("mark"), rest.bitwiseAND(F.lit(_LINES - 1)).cast("int").alias("pos"))
+    return placed.groupBy("doc_id", "mark").agg(F.collect_list("pos").alias("kept"))
 
 
 def deduplicated(documents: DataFrame, least: int = MIN_CHARS) -> DataFrame:
@@ -191,16 +223,21 @@ def deduplicated(documents: DataFrame, least: int = MIN_CHARS) -> DataFrame:
 
     Lines of `least` characters or more are compared for equality, those of MIN_CHARS or more for edits too.
     """
-    kept = free_name(documents, "kept")
-    found = kept_lines(documents, least).withColumnRenamed("kept", kept)
-    joined = documents.join(found, "doc_id", "left")
-    lines = F.split("text", "\n")
-    own = F.coalesce(F.col(kept), F.array().cast("array<int>"))
-    stays = F.filter(lines, lambda x, i: (F.length(_trimmed(x)) < least) | F.array_contains(own, i))
-    text = F.when(F.col("doc_id").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    sizes = F.struct(F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), text.alias("text"))
+    kept, mark = free_name(documents, "kept"), free_name(documents, "mark")
+    found = kept_lines(documents, least).withColumnsRenamed({"kept": kept, "mark": mark, "doc_id": mark + "_id"})
+    rows = documents.withColumn(mark, _mark(F.col("text")))
+    joined = rows.join(found, (rows["doc_id"] == found[mark + "_id"]) & (rows[mark] == found[mark]), "left").drop(found[mark])
+    none = F.array().cast("array<int>")
+    places = lambda x: F.when(F.size(x["lines"]) > 0, F.sequence(F.lit(0), F.size(x["lines"]) - 1)).otherwise(none)
+    spared = lambda x: F.filter(places(x), lambda i: F.length(_trimmed(F.get(x["lines"], i))) < least)
+    stays = lambda x: F.transform(F.sort_array(F.concat(spared(x), x["kept"])), lambda i: F.get(x["lines"], i))
+    told = lambda x: F.struct(F.size(x["lines"]).cast("long").alias("n_lines"), F.array_join(stays(x), "\n").alias("text"))
+    sizes = _let(F.struct(F.split("text", "\n").alias("lines"), F.coalesce(F.col(kept), none).alias("kept")), told)
     made = free_name(documents, "made")
-    return joined.withColumn(made, sizes).select(*[F.col(f"{made}.text").alias("text") if c == "text" else F.col(c) for c in documents.columns], F.when(F.col("text").isNull(), 0).otherwise(F.col(f"{made}.n_lines")).cast("long").alias(free_name(documents, "n_lines")))
+    known = F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    text = F.when(known, F.col(f"{made}.text")).otherwise(F.col("text"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.col(f"{made}.n_lines")).cast("long")
+    return joined.withColumn(made, sizes).select(*[text.alias("text") if c == "text" else F.col(c) for c in documents.columns], n_lines.alias(free_name(documents, "n_lines")))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
