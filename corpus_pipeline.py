@@ -2,16 +2,22 @@
 
 Each stage takes the table that the one before has written and returns the table that it leaves; all
 but the last keep the columns of `documents`. run() writes each stage's table to the shared folder,
-so that a lost executor costs part of a stage at most.
+so that a lost executor costs part of a stage at most, and deletes it when the next one is written.
+
+Null, empty and very long texts, repeated rows and other columns are treated as each stage's operator
+says; language ID drops null texts and texts without a letter. Clashing names of other columns pass
+through. An empty table stays empty at each stage.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeforge.llm import bpe, decontaminate, language, line_dedup, near_duplicates
-from tomeforge.llm.tables import free_name, table, written
+from tomeforge.llm.tables import free_name, removed, scratch, shared_folder, table, written
 
 #: A document goes if the share of its likeliest language is below; with several, half is usual.
 LEAST_LANGUAGE = 0.4
@@ -72,7 +78,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        with scratch(spark):  # the stage's own tables go when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            removed(spark, last)
+        docs, last = spark.read.schema(docs.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

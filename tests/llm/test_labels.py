@@ -84,6 +84,40 @@ def test_words_in_code_switched_text(documents):
     assert best[:6].count("en") >= 5 and best[6:].count("fr") >= 5
 
 
+@pytest.mark.parametrize("window", [1, 7, 64])
+def test_long_texts_are_labelled_by_windows(documents, window):
+    import numpy as np
+    import pyarrow as pa
+
+    from tomeforge.llm import crf
+    from tomeforge.llm.textbytes import slices, words
+
+    texts = [r.text for r in documents.where("length(text) between 200 and 2000").orderBy("doc_id").limit(12).collect()]
+    (part,) = slices(pa.array([*texts[:6], " ".join(texts[6:]), "one"]), 1 << 30)
+    w, made = words(part), language.fitted(documents)
+    first = np.zeros(len(w.hash), dtype=bool)
+    first[w.rows[:-1]] = True
+    whole = crf.marginals(made.model, made.features(w), first)
+    assert np.allclose(crf.long_marginals(made.model, made.features, w, first, window), whole, atol=1e-6)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i * 4 + k, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}word{j}" for j in range(20)), f"l{i:02}") for i in range(80) for k in range(4)]
+    model = language.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    known = {lang for d, _, lang in rows if zlib.crc32(str(d).encode()) % 3 != 1}
+    assert len(known) > 64 and set(model.model.labels) == known
+
+
+def test_spans_apart_is_as_pairwise():
+    rng = random.Random(4)
+    for _ in range(300):
+        cut = lambda: sorted((a, a + rng.randint(1, 6)) for a in rng.sample(range(60), rng.randint(0, 8)))
+        spans, found = cut(), [(a, 0, b) for a, b in cut()]
+        spans = [x for i, x in enumerate(spans) if not i or spans[i - 1][1] <= x[0]]  # tagged spans don't overlap each other
+        spans = [x for i, x in enumerate(spans) if all(y[1] <= x[0] for y in spans[:i])]
+        assert list(secrets.apart(spans, found)) == [(a, b) for a, b in spans if all(b <= x or a >= y for x, _, y in found)]
+
+
 def test_toxicity_held_out(spark, documents):
     got = {r.doc_id: r for r in toxicity.op10_toxicity(spark, SF).collect()}
     labels = [r for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]

@@ -17,6 +17,8 @@ from tomeforge.llm.textbytes import Words, mix
 U = np.uint64
 #: Log-score of a transition that is ruled out.
 NEVER = -1e4
+#: Tokens of a long text whose features and states are held at once.
+WINDOW = 200_000
 
 
 def slot(value: np.ndarray, kind: int, bits: int) -> np.ndarray:
@@ -139,6 +141,48 @@ def marginals(model: Model, features: list[np.ndarray], first: np.ndarray) -> np
     return both / both.sum(axis=1, keepdims=True)
 
 
+def long_marginals(model: Model, features, w: Words, first: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """marginals() of features(w), where features look two words back and ahead at most, by windows of tokens.
+
+    One pass carries the forward state from window to window, one comes back with the backward state, so
+    that features and states of one window are held at a time, whatever the length of the text.
+    """
+    n = len(w.hash)
+    if n <= window:
+        return marginals(model, features(w), first)
+    a, start = np.exp(model.moves), model.starts - model.starts.max()
+
+    def emissions(x: int, y: int) -> np.ndarray:
+        low, high = max(0, x - 2), min(n, y + 2)
+        zero = w.start[low]
+        part = Words(w.data[zero : w.end[high - 1]], w.start[low:high] - zero, w.end[low:high] - zero, w.hash[low:high], np.array([0, high - low]))
+        return model.emissions([f[x - low : y - low] for f in features(part)]).astype(np.float64)
+
+    def run(x: int, y: int, into: np.ndarray, behind: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of the window, its last forward state, and what the window before has behind it."""
+        e, head = emissions(x, y), first[x:y].copy()
+        own = np.exp(e[0] - e[0].max())
+        if not head[0]:  # as if a text began here, from the state that comes in
+            e[0] += np.log(into @ a + 1e-300) - start
+            head[0] = True
+        if behind is not None:
+            e[-1] += np.log(behind + 1e-300)
+        alpha, beta, _ = forward_backward(e, head, model.moves, model.starts)
+        before = None if first[x] else a @ (own * beta[0] * (behind if behind is not None and y - x == 1 else 1.0))
+        both = alpha * beta
+        return both / both.sum(axis=1, keepdims=True), alpha[-1], before if before is None else before / before.sum()
+
+    edges = [*range(0, n, window), n]
+    pieces = list(zip(edges, edges[1:], strict=False))
+    states = [np.full(len(model.labels), 1.0 / len(model.labels))]
+    for x, y in pieces[:-1]:
+        states.append(run(x, y, states[-1], None)[1])
+    out, behind = np.empty((n, len(model.labels))), None
+    for (x, y), into in zip(reversed(pieces), reversed(states), strict=True):
+        out[x:y], _, behind = run(x, y, into, behind)
+    return out
+
+
 def viterbi(emissions: np.ndarray, first: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The best label sequence; of equal ones, that with smaller labels at the later tokens."""
     n, size = emissions.shape

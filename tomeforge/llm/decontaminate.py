@@ -4,7 +4,7 @@ Every window of `n` consecutive benchmark words (an item of fewer words is one w
 the sorted hashes go to the executors in blocks of at most `block_windows` windows, each of which
 is scanned against all document windows. A hash hit counts after its words have been compared.
 
-Null or empty texts have no words, no hits and no items. Repeated item rows count once, an item
+Null or empty texts have no words, no hits and no items; very long texts are scanned whole. Repeated item rows count once, an item
 without id hits words but is not listed, repeated document rows give one result each. Documents and
 benchmark may have more columns; only the named ones are read.
 """

@@ -7,7 +7,8 @@ labelled word by word. Forward-backward marginals summed over a document give it
 
 The model is fitted on a bounded sample (`per_class` documents of each language of at most
 samples.MOST_CHARS characters), never on held-out documents. Texts that are null, empty or without a
-letter are `und` with score 0. With no labelled document at all, every document is `und`. Repeated
+letter are `und` with score 0; very long texts are labelled whole, window by window. An empty table gives
+an empty result. With no labelled document at all, every document is `und`. Repeated
 rows and clashing extra columns don't matter: rows are scored one by one and only named columns read.
 """
 
@@ -56,7 +57,7 @@ class LanguageModel:
         """Probability of each language at each word."""
         first = np.zeros(len(w.hash), dtype=bool)
         first[w.rows[:-1][w.counts() > 0]] = True
-        return crf.marginals(self.model, self.features(w), first)
+        return crf.long_marginals(self.model, self.features, w, first)
 
 
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel | None:

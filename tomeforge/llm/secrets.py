@@ -8,7 +8,9 @@ samples.MOST_CHARS characters, into which secrets of many forms, and harmless lo
 what the patterns find there counts as secret too.
 
 Spans of the patterns stay; a tagged span is added where it overlaps none of them. Offsets are code
-points with an exclusive end. A null or empty text has no spans. Rows are scanned one by one, so that
+points with an exclusive end. A null or empty text has no spans; very long texts are tagged whole (about
+100 bytes of memory for each byte of the text), in time proportional to their length. An empty table
+gives an empty result. Rows are scanned one by one, so that
 repeated rows give repeated results; only named columns are read.
 """
 
@@ -131,7 +133,7 @@ def tagged(part: Slice, w: Words, tags: np.ndarray) -> dict[int, list[tuple[int,
 
 
 def apart(spans: list[tuple[int, int]], found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Those of the spans that overlap none of the found (start, kind, end); both by start."""
+    """Those of the spans, none of which overlaps another, that overlap none of the found (start, kind, end); both by start."""
     i, reach = 0, 0  # of the found that begin before the span's end, the last end
     for a, b in spans:
         while i < len(found) and found[i][0] < b:

@@ -9,7 +9,8 @@ into the score. Words with a marginal of at least 0.5 are the offending spans.
 
 The model is fitted on a bounded sample (`per_class` documents of either label, of at most
 samples.MOST_CHARS characters), never on held-out documents. A null or empty text has no words and
-gets the score of no evidence. Without rows of both labels every score is 0. Repeated rows are scored
+gets the score of no evidence; very long texts are scored whole, window by window. An empty table gives
+an empty result. Without rows of both labels every score is 0. Repeated rows are scored
 one by one; only named columns are read.
 """
 
@@ -50,7 +51,7 @@ class ToxicityModel:
         """Probability that each word is toxic."""
         if not len(w.hash):
             return np.zeros(0)
-        return crf.marginals(self.model, self.features(w), _first(w))[:, 1]
+        return crf.long_marginals(self.model, self.features, w, _first(w))[:, 1]
 
     def documents(self, w: Words, p: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-_evidence(w, p) @ self.curve))
