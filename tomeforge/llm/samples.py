@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeforge.llm.tables import written
+
 #: Characters of a sampled text at most; longer ones are not learned from.
 MOST_CHARS = 20_000
+#: Labels whose counts are broadcast (some 50 bytes each).
+MOST_BROADCAST = 100_000
 
 
 def learnable(doc_id: str = "doc_id"):
@@ -18,10 +22,12 @@ def labelled_sample(rows: DataFrame, key: str, label: str, per_class: int) -> Da
     """About per_class rows of each label, drawn by a hash of the key, and never more than twice that in all.
 
     Labels are counted first, so that a rare label gets its rows at any size of the table; every label is
-    sampled. The counts, a row for each label, are joined back as a table.
+    sampled. The counts, a row for each label, are joined back as a table, which is broadcast if it has at
+    most MOST_BROADCAST rows.
     """
-    counts = rows.groupBy(label).count().withColumnsRenamed({label: "label_", "count": "count_"})
+    counts = written(rows.groupBy(label).count().withColumnsRenamed({label: "label_", "count": "count_"}), "labels")
     classes = counts.count()
+    counts = F.broadcast(counts) if classes <= MOST_BROADCAST else counts
     drawn = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) / float(1 << 30)
     held = rows.join(counts, F.col(label) == F.col("label_")).where(drawn < per_class / F.col("count_"))
     return held.select(*rows.columns).orderBy(F.xxhash64(key), key).limit(2 * per_class * max(1, classes))
