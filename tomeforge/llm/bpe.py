@@ -35,7 +35,7 @@ from tomeforge.llm.tables import extended, mapped, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Results that a worker keeps of each kind, and characters of a match whose result is kept, at most.
-MEMORY, LONGEST = 100_000, 48
+MEMORY, LONGEST = 200_000, 48
 #: Bytes that are merged as they are; longer ones are halved. Bytes of a window whose result is kept.
 LEAF, WINDOW = 8, 24
 #: The characters that Unicode calls white space (fixed values).
