@@ -243,17 +243,19 @@ def hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [1_000_000, 5])
-def test_decontamination(spark, odd, none, block):
+@pytest.mark.parametrize(("block", "most"), [(1_000_000, 4_000_000), (5, 4_000_000), (5, 0)])
+def test_decontamination(spark, odd, none, block, most):
     rng = random.Random(6)
     vocabulary = [f"v{i}" for i in range(40)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 10, 14])))) for i in range(12)] + [(50, None), (51, ""), (3, "again the same id with other words"), (None, "no id here at all"), (0, "A, b.")]
     rows = [(i, " ".join([*(rng.choice(vocabulary) for _ in range(rng.randint(0, 20))), rng.choice(items)[1] or "", "tail!"])) for i in range(60)]
     documents, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.scan(documents, benchmark, ["doc_id", "text"], clean=True, block_windows=block).collect()
+    got = decontaminate.scan(documents, benchmark, ["doc_id", "text"], clean=True, block_windows=block, most_windows=most).collect()
+    assert len(got) == len(rows)
     for r in got:
         assert (r.n_words, r.n_hit, r["items"]) == hits(r.text, items)
         assert len(tokens(r.clean_text)) == r.n_words - r.n_hit
-    assert decontaminate.scan(odd.select("doc_id", "text"), benchmark, ["doc_id"], block_windows=block).count() == odd.count()
-    assert decontaminate.scan(none, benchmark, ["doc_id"]).count() == 0
-    assert decontaminate.scan(documents, benchmark.limit(0), ["doc_id"]).where("n_hit > 0").count() == 0
+    assert decontaminate.scan(odd.select("doc_id", "text"), benchmark, ["doc_id"], block_windows=block, most_windows=most).count() == odd.count()
+    assert decontaminate.scan(odd, benchmark, odd.columns, names={"n_words": "words_", "n_hit": "hit_", "items": "items_"}, most_windows=most).columns == [*odd.columns, "words_", "hit_", "items_"]
+    assert decontaminate.scan(none, benchmark, ["doc_id"], most_windows=most).count() == 0
+    assert decontaminate.scan(documents, benchmark.limit(0), ["doc_id"], most_windows=most).where("n_hit > 0").count() == 0
