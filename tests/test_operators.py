@@ -7,7 +7,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tomeforge.operators import audit, catalog, curation, graph, progress
+from tomeforge.functions.text import paragraph_units
+from tomeforge.operators import audit, blocks, catalog, curation, graph, progress
 from tomeforge.sources import files
 from tomeforge.sources.html_markdown import to_markdown
 from tomeforge.streaming import jobs
@@ -200,3 +201,21 @@ def test_optimistic_writes(spark):
     assert [(r.id, r.seq, r.status) for r in done.orderBy("id", "seq").collect()] == [(1, 1, "saved"), (1, 2, "conflict"), (1, 3, "conflict"), (2, 1, "invalid"), (2, 2, "conflict"), (3, 1, "unknown")]
     after, backup = records.saved_rows(now, done)
     assert {(r.id, r.body) for r in after.collect()} == {(1, "uno"), (2, "two")} and [(r.id, r.body) for r in backup.collect()] == [(1, "one")]
+
+
+def test_coherent_blocks(spark):
+    told = "He rolls 3D and moves on. Then he stops."
+    texts = {
+        1: ["# Title\n\n## Part\n\n" + told + "\n\n", told + "\n\n", "Move\n\n10\n\nSkill: 3D+1\nDodge: 4D\n\nReach\n\n\n2D"],
+        2: ['{"name": "x",\n\n"move": 10}'],
+        3: ["Skill: 1D\n\n" * 3, "Skill: 1D\n\n" * 3, "Skill: 1D\n\nMove\n\n10\n\n"],
+        4: ["short"],
+    }
+    rows = [(k, "".join(v)) for k, v in texts.items()] + [(5, ""), (6, None)]
+    made = blocks.coherent_blocks(spark.createDataFrame(rows, "key long, text string"), "key", "text", paragraph_units, target=33)
+    got = {}
+    for r in made.orderBy("key", "block").collect():
+        got.setdefault(r.key, []).append(r.body)
+        assert dict(rows)[r.key][r.start : r.end] == r.body
+    assert got[2] == texts[2] and got[4] == texts[4] and got[3] == texts[3] and set(got) == {1, 2, 3, 4}
+    assert "".join(got[1]) == dict(rows)[1] and got[1][:2] == texts[1][:2] and got[1][2].startswith("Move\n\n10\n\nSkill")

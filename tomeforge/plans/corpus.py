@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tomeforge.functions import text as tx
-from tomeforge.operators import audit, catalog, search
+from tomeforge.operators import audit, blocks, catalog, search
 from tomeforge.plans.base import query
 
 PAGE = "'<!-- source: ' || source || '; pdf_page: ' || doc_id || ' -->' || chr(10) || text"
@@ -279,6 +279,30 @@ def unit_partition(table, spark):
     return d.select("doc_id", F.size("u").cast("long").alias("units"), F.element_at("u", -1)["end"].cast("long").alias("total"), F.sha2(F.array_join(told, ","), 256).alias("digest"))
 
 
+CARDS = "case when doc_id % 9 = 0 then '{\"name\": \"' || source || '\",' || chr(10) || chr(10) || '\"move\": 10}' when doc_id % 4 = 0 then '# ' || source || chr(10) || chr(10) || 'Move' || chr(10) || chr(10) || doc_id % 20 || chr(10) || chr(10) || repeat('Skill: 3D+1' || chr(10) || chr(10), 1 + cast(doc_id % 300 as int)) || text else text end"
+_KIND = "case " + " ".join(f"when regexp_matches(trim(body, ' ' || chr(9) || chr(13) || chr(10)), '{p}') then '{k}'" for k, p in blocks.UNIT_KINDS) + " else 'narrative' end"
+BLOCKS_SQL = rf"""
+with t as (select doc_id, {CARDS} as text from documents where text <> ''),
+x as (select doc_id, case when length(text) <= 1600 and regexp_matches(text, '{blocks.JSON_CARD}') then [text] else regexp_extract_all(text, '(?s)(.+?(?:\n\s*\n|\z))', 1) end as list from t),
+u as (select doc_id, unnest(list) as body, unnest(range(1, len(list) + 1)) as n from x),
+o as (select doc_id, n, body, sum(length(body)) over w - length(body) as start, {_KIND} as kind from u where body <> '' window w as (partition by doc_id order by n)),
+b as (select *, lag(kind) over (partition by doc_id order by n) as before from o),
+s as (select *, coalesce(before in ('heading', 'label'), false) as held, before is null or not case when kind = 'heading' then before = 'heading' else before in ('heading', 'label') or (before in ('value', 'pair') and kind in ('value', 'pair', 'label')) end as opens from b),
+r as (select *, floor((start - max(case when opens then start end) over (partition by doc_id order by n)) / 1600) as stretch from s),
+g as (select *, opens or (not held and stretch <> lag(stretch) over (partition by doc_id order by n)) as first from r),
+k as (select *, sum(case when first then 1 else 0 end) over (partition by doc_id order by n) as block from g)
+select doc_id, cast(block as bigint) as block, cast(min(start) as bigint) as start, cast(max(start + length(body)) as bigint) as "end", count(*) as units, sha256(string_agg(body, '' order by n)) as sha256 from k group by doc_id, block
+"""
+
+
+@query(BLOCKS_SQL)
+def coherent_blocks(table, spark):
+    """blocks of headings with content, runs of labels and values, narrative units and JSON cards."""
+    d = table("documents").where("text != ''").select("doc_id", F.expr(CARDS.replace("chr(10)", "char(10)")).alias("text"))
+    rows = blocks.coherent_blocks(d, "doc_id", "text", tx.paragraph_units)
+    return rows.select("doc_id", "block", "start", "end", "units", F.sha2("body", 256).alias("sha256"))
+
+
 @query("select doc_id, sha256(rtrim(text, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || chr(10) || '<!-- native-text-supplement: pdf-text-layer; uncorrected -->' || chr(10) || chr(10) || lang || chr(10)) as sha256 from documents where n_chars < 2000")
 def native_supplements(table, spark):
     """Pages of low coverage with their native layer, once however often it is added."""
