@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from tomeforge.llm.tables import extended, mapped, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Results that a worker keeps of each kind, and characters of a match whose result is kept, at most.
-MEMORY, LONGEST = 200_000, 48
+#: Results that a worker keeps of each kind (a default of tokens(); ids are the same with any), and characters
+#: of a match whose result is kept, at most.
+MEMORY, LONGEST = 400_000, 48
 #: Bytes that are merged as they are; longer ones are halved. Bytes of a window whose result is kept.
 LEAF, WINDOW = 8, 24
 #: The characters that Unicode calls white space (fixed values).
@@ -84,11 +85,11 @@ class Kept(dict):
 
 
 class Bpe:
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], kept: int = MEMORY):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.leaves = Kept(self.merged, MEMORY)
-        self.stable = Kept(lambda pair: self.window(self.tokens[pair[0]] + self.tokens[pair[1]]) == list(pair), MEMORY)
+        self.leaves = Kept(self.merged, kept)
+        self.stable = Kept(lambda pair: self.window(self.tokens[pair[0]] + self.tokens[pair[1]]) == list(pair), kept)
 
     def merged(self, data: bytes) -> list[int]:
         """Merges of neighbours by rank, lowest first: the definition, for a few bytes at a time."""
@@ -174,10 +175,10 @@ class Bpe:
 class Pieces:
     """Ids, as 32-bit integers, and decoded bytes of the pattern's matches."""
 
-    def __init__(self, bpe: Bpe, pattern: str):
+    def __init__(self, bpe: Bpe, pattern: str, kept: int = MEMORY):
         self.bpe, self.split, self.narrow = bpe, splitter(pattern), narrow_splitter(pattern)
         self.wide = re.compile("[^\0-\u024f]")
-        self.known = Kept(self.made, MEMORY)
+        self.known = Kept(self.made, kept)
 
     def made(self, match: str) -> tuple[bytes, bytes]:
         ids = self.bpe.encode(match.encode())
@@ -193,17 +194,17 @@ class Pieces:
 
 
 @cache
-def _pieces(data: bytes, pattern: str) -> Pieces:
-    return Pieces(Bpe(read_ranks(data)), pattern)
+def _pieces(data: bytes, pattern: str, kept: int) -> Pieces:
+    return Pieces(Bpe(read_ranks(data), kept), pattern, kept)
 
 
-def tokens(documents: DataFrame, keep: list[str], path: str, pattern: str) -> DataFrame:
+def tokens(documents: DataFrame, keep: list[str], path: str, pattern: str, kept: int = MEMORY) -> DataFrame:
     """`keep`, the number of the text's tokens, their ids, and the bytes that they decode to."""
     sent = documents.sparkSession.sparkContext.broadcast(Path(path).read_bytes())  # a vocabulary: a few MB
     schema = extended(documents, keep, "n_tokens long,ids array<int>,decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(sent.value, pattern)
+        pieces = _pieces(sent.value, pattern, kept)
         for batch in batches:
             ids, decoded = [], []
             for value in batch.column("text"):
