@@ -23,6 +23,8 @@ from tomeforge.llm.tables import free_name, removed, scratch, shared_folder, tab
 LEAST_LANGUAGE = 0.4
 #: A document goes if so much of its words is benchmark text; of others the benchmark's words go.
 MOST_BENCHMARK = 0.5
+#: Results of BPE that a worker keeps; its memory still holds what the stages before have left.
+KEPT = 100_000
 
 #: Language ID, line dedup, benchmark decontamination and BPE can't all be told in SQL; see the tests.
 ORACLE_SQL = None
@@ -64,7 +66,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes ids and decoded bytes of each text to the shared folder; returns token counts and digests of what is written."""
     import public_tokenizers
 
-    rows = bpe.tokens(docs, ["doc_id"], public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    rows = bpe.tokens(docs, ["doc_id"], public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, KEPT)
     return bpe.digests(written(rows, "stage-bpe-tokens"), ["doc_id"])
 
 
