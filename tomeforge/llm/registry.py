@@ -19,6 +19,8 @@ OPERATORS = [
     ("op8_decontaminate", "decontaminate", "OP8_SQL"),
     ("op9_line_dedup", "line_dedup", None),
     ("op10_toxicity", "toxicity", None),
+    ("op11_whitening", "whitening", None),
+    ("op12_hard_negatives", "hard_negatives", None),
 ]
 
 
