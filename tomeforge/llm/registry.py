@@ -21,6 +21,7 @@ OPERATORS = [
     ("op10_toxicity", "toxicity", None),
     ("op11_whitening", "whitening", None),
     ("op12_hard_negatives", "hard_negatives", None),
+    ("op13_packing", "packing", None),
 ]
 
 
