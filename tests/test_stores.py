@@ -5,7 +5,9 @@ import zipfile
 
 import pytest
 
+from tomeforge.operators import index
 from tomeforge.sources import archives
+from tomeforge.sources.versions import Conflict, Versions
 
 
 def zipped(path, members):
@@ -115,3 +117,68 @@ def test_json_source(spark, tmp_path):
     got = spark.read.format("tomeforge_json").load(str(tmp_path)).orderBy("file", "position").collect()
     assert [json.loads(r.entry)["n"] for r in got[:5000]] == list(range(5000)) and got[4999].position == 4999
     assert [(r.file, r.problem) for r in got[5000:]] == [("b.json", "not_utf8")]
+
+
+TEXTS = {1: "The ship, the Ship.", 2: "A base", 3: None, 4: "", 5: "Éa the base the ship", 6: "x " * 500}
+
+
+def index_rows(spark, texts):
+    return spark.createDataFrame(list(texts.items()), "key long, text string")
+
+
+def test_index_equals_a_scan_after_each_refresh(spark, tmp_path):
+    held = index.Index(spark, str(tmp_path / "i"))
+    held.build(index_rows(spark, TEXTS), 16)
+    assert [tuple(r) for r in held.search(["THE ship"]).orderBy("key").collect()] == [(1, 4), (5, 3)]
+    assert [tuple(r) for r in held.search(["the", "ship"], limit=1).collect()] == [(1, 4)]
+    assert [(r.key, r.places) for r in held.phrase("the ship").orderBy("key").collect()] == [(1, [0, 2]), (5, [3])]
+    assert [(r.key, r.places) for r in held.phrase("x x").collect()] == [(6, list(range(499)))]
+    assert held.search(["nowhere"]).count() == held.search([" "]).count() == held.phrase("!").count() == 0
+    before = held.store.manifest()["tables"]["postings"]["parts"]
+    assert held.refresh(index_rows(spark, TEXTS)) == {"postings": [], "documents": []} and held.store.number() == 1
+    after = {**TEXTS, 2: "A base, ship", 7: "new", 4: "x"}
+    del after[1]
+    parts = held.refresh(index_rows(spark, after))
+    wanted = {index.bucket_of(t, 16) for t in "the ship new x".split()}  # 2 keeps its postings of a and base
+    assert set(parts["postings"]) == wanted and held.store.number() == 2
+    now = held.store.manifest()["tables"]["postings"]["parts"]
+    assert {p: v for p, v in now.items() if int(p) not in wanted} == {p: v for p, v in before.items() if int(p) not in wanted}
+    assert [tuple(r) for r in held.search(["ship"]).orderBy("key").collect()] == [(2, 1), (5, 1)]
+    fresh = index.Index(spark, str(tmp_path / "j"))
+    fresh.build(index_rows(spark, after), 16)
+    rows = lambda i, t: sorted(tuple(r) for r in i.store.read(t).collect())
+    assert rows(held, "postings") == rows(fresh, "postings") and rows(held, "documents") == rows(fresh, "documents")
+    assert {tuple(r) for r in held.store.read("postings", version=1).where("token = 'ship'").select("key").collect()} == {(1,), (5,)}
+
+
+def test_index_errors(spark, tmp_path):
+    held = index.Index(spark, str(tmp_path / "i"))
+    held.build(index_rows(spark, TEXTS), 8)
+    active = lambda *keys: spark.createDataFrame([(k,) for k in keys], "key long")
+    assert held.errors(active(*TEXTS)).count() == 0
+    assert {tuple(r) for r in held.errors(active(1, 2, 3, 4, 5, 9)).collect()} == {(9, "missing"), (6, "extra")}
+    part = index.bucket_of("ship", 8)
+    rows = held.store.read("postings", [part]).where("token != 'ship'")
+    documents = held.store.read("documents")
+    held.store.commit({"postings": (rows, [part], ["token"]), "documents": (documents.union(documents.where("key = 2")), None, ["key"])}, 1, {"buckets": 8})
+    assert {tuple(r) for r in held.errors(active(*TEXTS)).collect()} == {(1, "postings"), (5, "postings"), (2, "repeated")}
+
+
+def test_versions_are_whole(spark, tmp_path):
+    store = Versions(spark, str(tmp_path / "v"))
+    rows = lambda *r: spark.createDataFrame(r, "x long, part int")
+    assert store.commit({"t": (rows((1, 0), (2, 1), (3, 1)), None, ["x"])}, 0) == 1
+    assert store.commit({"t": (rows((4, 1)), [1, 2], ["x"])}, 1) == 2
+    assert sorted(tuple(r) for r in store.read("t").collect()) == [(1, 0), (4, 1)]
+    assert sorted(tuple(r) for r in store.read("t", version=1).collect()) == [(1, 0), (2, 1), (3, 1)]
+    assert store.read("t", [7]).count() == 0
+    with pytest.raises(Conflict):
+        store.commit({"t": (rows((5, 0)), [0], ["x"])}, 1)
+    with pytest.raises(Conflict):  # two writers that start at once: the second one's manifest is there already
+        store.number = lambda: 1
+        store.commit({"t": (rows((5, 0)), [0], ["x"])}, 1)
+    del store.number
+    with pytest.raises(ValueError):
+        store.commit({"t": (rows((5, 0)), [1], ["x"])}, 2)
+    assert store.number() == 2 and store.commit({"t": (rows(), [0, 1], ["x"])}, 2) == 3 and store.read("t").count() == 0
+    assert not [p for p in (tmp_path / "v/manifest").iterdir() if "waiting" in p.name]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeforge.operators import index
 from tomeforge.operators.graph import own_folder
 from tomeforge.plans.base import query
 from tomeforge.sources import archives
@@ -75,3 +76,62 @@ def catalog_entries(table, spark):
     entry = F.from_json("entry", "id long, name string, nation int")
     part = F.regexp_extract("file", r"part=(\d+)", 1).cast("long")
     return rows.select(part.alias("part"), "position", entry["id"].alias("id"), entry["name"].alias("name"), entry["nation"].alias("nation"), "problem")
+
+
+#: Documents before and after an update: some texts are new, a few are changed or removed.
+BUCKETS = 128
+FORM = "trim(regexp_replace(translate(lower(coalesce(text, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g'))"
+EDITIONS = f"""
+before as (select doc_id as key, text from documents where not (doc_id % 20 = 11 and coalesce(length(text), 0) < 300)),
+after as (select doc_id as key, case when doc_id % 499 = 7 then coalesce(text, '') || ' and of the ' || source else text end as text from documents where not (doc_id % 20 = 13 and coalesce(length(text), 0) < 300)),
+b as (select key, string_split({FORM}, ' ') as w from before), a as (select key, string_split({FORM}, ' ') as w from after),
+bt as (select key, unnest(w) as token, generate_subscripts(w, 1) - 1 as position from b), at_ as (select key, unnest(w) as token, generate_subscripts(w, 1) - 1 as position from a)
+"""
+
+
+def _short(n: int):
+    return (F.col("key") % 20 == n) & (F.coalesce(F.length("text"), F.lit(0)) < 300)
+
+
+def updated(table, spark) -> tuple[index.Index, dict[str, list[int]]]:
+    """An index of the documents before, refreshed to those after; and the buckets that the refresh wrote."""
+    d = table("documents").select(F.col("doc_id").alias("key"), "text", "source")
+    text = F.when(F.col("key") % 499 == 7, F.concat(F.coalesce("text", F.lit("")), F.lit(" and of the "), "source")).otherwise(F.col("text"))
+    held = index.Index(spark, own_folder(spark, "index"))
+    held.build(d.where(~_short(11)).select("key", "text"), BUCKETS)
+    return held, held.refresh(d.where(~_short(13)).select("key", text.alias("text")))
+
+
+@query(f"with {EDITIONS} select key as doc_id, count(*) as score from at_ where token in ('the', 'and', 'of') group by key having count(distinct token) = 3")
+def stored_search(table, spark):
+    """Documents with all words, by hits, from a stored index that was refreshed by the changed documents."""
+    return updated(table, spark)[0].search(["The and", "OF"]).withColumnRenamed("key", "doc_id")
+
+
+@query(f"with {EDITIONS} select a1.key as doc_id, list(cast(a1.position as int) order by a1.position)::varchar as places from at_ a1 join at_ a2 on a1.key = a2.key and a2.position = a1.position + 1 where a1.token = 'of' and a2.token = 'the' group by a1.key")
+def phrase_search(table, spark):
+    """Documents in which words stand one after the other, and where."""
+    found = updated(table, spark)[0].phrase("of the")
+    return found.select(F.col("key").alias("doc_id"), F.concat(F.lit("["), F.array_join(F.col("places").cast("array<string>"), ", "), F.lit("]")).alias("places"))
+
+
+@query(f"""
+with {EDITIONS}, old as (select key, token, list(position order by position) as places from (select key, token, position from bt) group by all), new as (select key, token, list(position order by position) as places from at_ group by all),
+tokens as (select coalesce(old.token, new.token) as token from old full join new on old.key = new.key and old.token = new.token where old.places is distinct from new.places),
+touched as (select distinct ('0x' || substr(md5(token), 1, 8))::bigint % {BUCKETS} as bucket from tokens where token <> ''),
+held as (select ('0x' || substr(md5(token), 1, 8))::bigint % {BUCKETS} as bucket, count(*) as hits, count(distinct token) as words from at_ where token <> '' group by 1)
+select bucket::int as bucket, hits, words, bucket in (select bucket from touched) as refreshed from held
+""")
+def index_refresh(table, spark):
+    """What each bucket of the index holds after a refresh, and whether the refresh wrote it."""
+    held, parts = updated(table, spark)
+    rows = held.store.read("postings").groupBy(F.col("part").alias("bucket")).agg(F.sum(F.size("positions")).alias("hits"), F.count_distinct("token").alias("words"))
+    return rows.withColumn("refreshed", F.col("bucket").isin(parts["postings"]))
+
+
+@query(f"with {EDITIONS}, active as (select key from after where key % 5 <> 0 union all select 10000000 + doc_id from documents where doc_id % 97 = 0) select active.key as key, 'missing' as error from active where key not in (select key from after) union all select key, 'extra' from after where key not in (select key from active)")
+def stored_index_audit(table, spark):
+    """Active records that the stored index hasn't exactly once, and others that it has."""
+    active = table("documents").select(F.col("doc_id").alias("key"), "text").where(~_short(13) & (F.col("key") % 5 != 0)).select("key")
+    lost = table("documents").where("doc_id % 97 = 0").select((F.col("doc_id") + 10_000_000).alias("key"))
+    return updated(table, spark)[0].errors(active.union(lost))
