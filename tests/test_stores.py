@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from tomeforge.operators import index
-from tomeforge.sources import archives
+from tomeforge.sources import archives, workbooks
 from tomeforge.sources.versions import Conflict, Versions
 
 
@@ -182,3 +182,56 @@ def test_versions_are_whole(spark, tmp_path):
         store.commit({"t": (rows((5, 0)), [1], ["x"])}, 2)
     assert store.number() == 2 and store.commit({"t": (rows(), [0, 1], ["x"])}, 2) == 3 and store.read("t").count() == 0
     assert not [p for p in (tmp_path / "v/manifest").iterdir() if "waiting" in p.name]
+
+
+def sheet_xml(body):
+    return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'
+
+
+def workbook(path, sheets, strings=None, relations=True):
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="n{i}" r:id="r{i}"/>' for i in range(len(sheets))) + "</sheets></workbook>")
+        if relations:
+            z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="/xl/worksheets/s{i}.xml"/>' for i in range(len(sheets))) + f'<Relationship Id="s" Type="{office}/sharedStrings" Target="sharedStrings.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst>{strings or ''}</sst>")
+        for i, body in enumerate(sheets):
+            z.writestr(f"xl/worksheets/s{i}.xml", body)
+
+
+def test_workbooks(spark, tmp_path):
+    strings = '<si><t>one</t></si><si><r><t>rich </t></r><r><t xml:space="preserve"> text</t></r><rPh><t>no</t></rPh></si><si/>'
+    first = sheet_xml('<row r="2"><c r="B2" t="s"><v>0</v></c><c r="D2"><f>SUM(A1:B2)</f><v>7</v></c><c t="b"><v>1</v></c></row><row/><row><c t="inlineStr"><is><t>in</t></is></c><c r="AB4" t="s"><v>1</v></c><c t="n"><v>1.50</v></c><c t="e"><v>#REF!</v></c></row>')
+    workbook(tmp_path / "a.xlsx", [first, sheet_xml(""), sheet_xml('<row><c t="s"><v>9</v></c></row>'), sheet_xml('<row><c><v>1</v></c></row>')[:-9], "<!DOCTYPE x [<!ENTITY a 'b'>]>" + sheet_xml(""), sheet_xml('<row><c r="ZZZZ1"><v>1</v></c></row>')], strings)
+    workbook(tmp_path / "b.xlsx", [sheet_xml("")], relations=False)
+    (tmp_path / "c.xlsx").write_bytes(b"no workbook")
+    got = workbooks.workbooks(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got if r.file == "a.xlsx"] == [
+        ("a.xlsx", 1, "n0", 2, [None, "one", None, "=SUM(A1:B2)", "TRUE"], None),
+        ("a.xlsx", 1, "n0", 4, ["in", *[None] * 26, "rich  text", "1.50", "#REF!"], None),
+        ("a.xlsx", 3, "n2", None, None, "unknown_string"),
+        ("a.xlsx", 4, "n3", 1, ["1"], None),
+        ("a.xlsx", 4, "n3", None, None, "unreadable"),
+        ("a.xlsx", 5, "n4", None, None, "unsafe_xml"),
+        ("a.xlsx", 6, "n5", None, None, "bad_reference"),
+    ]
+    assert [(r.file, r.sheet, r.problem) for r in got if r.file != "a.xlsx"] == [("b.xlsx", None, "missing xl/_rels/workbook.xml.rels"), ("c.xlsx", None, "unreadable")]
+    assert {r.problem for r in workbooks.workbooks(spark, str(tmp_path), memberBytes=80).where("file = 'a.xlsx'").collect()} == {"too_large"}
+    found = workbooks.units(workbooks.workbooks(spark, str(tmp_path))).orderBy("unit").collect()
+    assert [(r.unit, r.n_rows) for r in found] == [(1, 2), (4, 1)] and found[0].text.split("\n")[0] == "|  | one |  | =SUM(A1:B2) | TRUE |"
+
+
+def test_written_workbooks_are_read_as_they_were(spark, tmp_path):
+    rng = random.Random(5)
+    values = ["", "a & b", "<x>", "=1+2", "=A1&\"<\"", "-0.5", "007", "é 🙂", "  two  blanks ", "12", None, "=="]
+    rows = [(f"w{w}", s, f"s{s} & co", r, [rng.choice(values) for _ in range(rng.randrange(1, 40))]) for w in range(3) for s in range(1, 4) for r in range(1, 30, 2)]
+    frame = spark.createDataFrame(rows, "workbook string, sheet int, name string, row int, cells array<string>")
+    workbooks.write_workbooks(workbooks.members_of_workbooks(frame), str(tmp_path / "out"))
+    got = sorted(tuple(r) for r in workbooks.workbooks(spark, str(tmp_path / "out")).collect())
+
+    def trimmed(cells):
+        while cells and cells[-1] is None:
+            cells = cells[:-1]
+        return cells
+
+    assert got == sorted((f"{w}.xlsx", s, name, r, trimmed(cells), None) for w, s, name, r, cells in rows if trimmed(cells))

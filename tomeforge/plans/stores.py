@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tomeforge.operators import index
 from tomeforge.operators.graph import own_folder
 from tomeforge.plans.base import query
-from tomeforge.sources import archives
+from tomeforge.sources import archives, workbooks
 
 #: Documents in archives of fifty; some names lead out of the folder, some members are links, long ones exceed MEMBER.
 MEMBER = 8000
@@ -135,3 +135,49 @@ def stored_index_audit(table, spark):
     active = table("documents").select(F.col("doc_id").alias("key"), "text").where(~_short(13) & (F.col("key") % 5 != 0)).select("key")
     lost = table("documents").where("doc_id % 97 = 0").select((F.col("doc_id") + 10_000_000).alias("key"))
     return updated(table, spark)[0].errors(active.union(lost))
+
+
+#: Customers in workbooks of two hundred, a sheet for each segment; the last sheet of every ninth workbook breaks off.
+BOOKS = """
+c as (select c_custkey // 200 as book, dense_rank() over (order by c_mktsegment) as sheet, c_mktsegment as name, c_custkey, c_name, c_acctbal from customer),
+n as (select *, row_number() over (partition by book, sheet order by c_custkey) as row from c),
+r as (select 'book-' || book || '.xlsx' as file, dense_rank() over (partition by book order by sheet) as sheet, name, row, '["' || c_name || ' & co <' || row || '>", "' || c_custkey || '", "=B' || row || '*2&''<>''", null, "' || name || '"]' as cells, null as problem, book % 9 = 4 as broken from n)
+"""
+
+
+def books(table, spark) -> str:
+    """A folder of workbooks made from `customer`."""
+    c = table("customer")
+    names = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # a handful of segments
+    book = F.floor(F.col("c_custkey") / 200)
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("c_mktsegment"))
+    row = F.row_number().over(Window.partitionBy(book, place).orderBy("c_custkey"))
+    rows = c.select(book.alias("book"), place.alias("place"), F.col("c_mktsegment").alias("name"), row.alias("row"), "c_custkey", "c_name")
+    rows = rows.withColumn("sheet", F.dense_rank().over(Window.partitionBy("book").orderBy("place")))
+    number = F.col("row").cast("string")
+    cells = F.array(F.concat("c_name", F.lit(" & co <"), number, F.lit(">")), F.col("c_custkey").cast("string"), F.concat(F.lit("=B"), number, F.lit("*2&'<>'")), F.lit(None).cast("string"), F.col("name"))
+    parts = workbooks.members_of_workbooks(rows.select(F.concat(F.lit("book-"), F.col("book").cast("string")).alias("workbook"), "sheet", "name", "row", cells.alias("cells")))
+    last = F.max("member").over(Window.partitionBy("archive")) == F.col("member")
+    broken = (F.regexp_extract("archive", r"(\d+)$", 1).cast("long") % 9 == 4) & last & F.col("member").startswith("xl/worksheets/")
+    content = F.when(broken, F.expr(f"substring(content, 1, length(content) - {len('</sheetData></worksheet>')})")).otherwise(F.col("content"))
+    folder = own_folder(spark, "workbooks")
+    workbooks.write_workbooks(parts.withColumn("content", content), folder)
+    return folder
+
+
+@query(f"with {BOOKS} select file, sheet::int as sheet, name, row::int as row, cells, problem from r union all select file, sheet::int, name, null, null, 'unreadable' from r where broken group by file, sheet, name qualify sheet = max(sheet) over (partition by file)")
+def workbook_rows(table, spark):
+    """Rows of workbooks' sheets, formulas as text, and a problem row for a sheet that breaks off."""
+    rows = workbooks.workbooks(spark, books(table, spark))
+    quoted = F.transform("cells", lambda c: F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null")))
+    return rows.withColumn("cells", F.when(F.col("cells").isNotNull(), F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))))
+
+
+@query(f"""
+with {BOOKS}, u as (select file, sheet as unit, name, string_agg('| ' || replace(replace(replace(replace(cells, '["', ''), '", null, "', ' |  | '), '", "', ' | '), '"]', '') || ' |', chr(10) order by row) as text, count(*) as n_rows from r group by all)
+select file, unit::int as unit, name, sha256(text) as sha256, n_rows::int as n_rows, count(*) over (partition by file) as units from u
+""")
+def workbook_units(table, spark):
+    """The sheets of workbooks as text units, and how many units each workbook has."""
+    rows = workbooks.units(workbooks.workbooks(spark, books(table, spark)))
+    return rows.select("file", "unit", "name", F.sha2("text", 256).alias("sha256"), "n_rows", F.count("*").over(Window.partitionBy("file")).alias("units"))

@@ -180,10 +180,10 @@ class Written(WriterCommitMessage):
 class ArchiveWriter(DataSourceWriter):
     """Archives of rows (archive, member, content[, link]); the rows of an archive must come together, see write_archives()."""
 
-    def __init__(self, schema: StructType, path: str, overwrite: bool):
+    def __init__(self, schema: StructType, path: str, overwrite: bool, suffix: str):
         if not {"archive", "member", "content"} <= set(schema.names):
             raise ValueError("an archive's rows have the columns archive, member and content")
-        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+        self.path, self.overwrite, self.suffix, self.job = path, overwrite, suffix, uuid.uuid4().hex
 
     def _waiting(self, inside: str) -> str:
         return f"{inside}/_temporary-{self.job}"
@@ -208,7 +208,7 @@ class ArchiveWriter(DataSourceWriter):
                     close()
                     if row.archive in (name for name, _ in done):
                         raise ValueError(f"the rows of {row.archive} don't come together")
-                    done.append((row.archive, f"{folder}/{row.archive}.zip"))
+                    done.append((row.archive, f"{folder}/{row.archive}{self.suffix}"))
                     file = store.open_output_stream(done[-1][1])
                     archive = zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED)
                 m = zipfile.ZipInfo(row.member)  # the same rows make the same bytes: no time of writing
@@ -228,10 +228,10 @@ class ArchiveWriter(DataSourceWriter):
             raise ValueError("an archive's rows are in more than one task")
         if self.overwrite:
             for info in store.get_file_info(stores.FileSelector(inside)):
-                if info.type == stores.FileType.File and info.path.endswith(".zip"):
+                if info.type == stores.FileType.File and info.path.endswith(self.suffix):
                     store.delete_file(info.path)
         for name, waiting in files:
-            store.move(waiting, f"{inside}/{name}.zip")
+            store.move(waiting, f"{inside}/{name}{self.suffix}")
         store.delete_dir(self._waiting(inside))
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -258,7 +258,7 @@ class Archives(DataSource):
         return ArchiveReader(schema, self.options["path"], self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return ArchiveWriter(schema, self.options["path"], overwrite)
+        return ArchiveWriter(schema, self.options["path"], overwrite, self.options.get("suffix", ".zip"))
 
 
 def entries(chunks: Iterator[str], field: str | None) -> Iterator[tuple[str | None, str | None]]:
