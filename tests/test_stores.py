@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from tomeforge.operators import index
-from tomeforge.sources import archives, workbooks
+from tomeforge.sources import archives, exports, workbooks
 from tomeforge.sources.versions import Conflict, Versions
 
 
@@ -235,3 +235,31 @@ def test_written_workbooks_are_read_as_they_were(spark, tmp_path):
         return cells
 
     assert got == sorted((f"{w}.xlsx", s, name, r, trimmed(cells), None) for w, s, name, r, cells in rows if trimmed(cells))
+
+
+def export_lines(spark, nodes, parts=4):
+    """nodes: node -> number of items."""
+    rows = [(n, i, {"i": i}) for n, count in nodes.items() for i in range(count)]
+    items = spark.createDataFrame(rows, "node long, i int, item struct<i:int>").repartition(3)
+    return exports.lines([exports.chunked(items, ["i"], "claims", 10)], parts)
+
+
+def test_exports(spark, tmp_path):
+    held = exports.Export(spark, str(tmp_path / "e"))
+    assert held.write(export_lines(spark, {1: 25, 2: 1, 3: 10, 4: 400}))
+    got = [json.loads(r.value) for r in held.read().collect()]
+    assert all(len(x["items"]) <= 10 for x in got)
+    whole = {}
+    for x in sorted(got, key=lambda x: x["chunk"]):
+        whole.setdefault(x["node"], []).extend(i["i"] for i in x["items"])
+    assert whole == {1: list(range(25)), 2: [0], 3: list(range(10)), 4: list(range(400))}
+    assert held.errors().count() == 0 and held.write(export_lines(spark, {1: 25, 2: 1, 3: 10, 4: 400})) == [] and held.store.number() == 1
+    before = held.store.manifest()["tables"]["lines"]["parts"]
+    assert held.write(export_lines(spark, {1: 25, 2: 1, 3: 10, 4: 401})) == [index.bucket_of("4", 4)]
+    now = held.store.manifest()["tables"]["lines"]["parts"]
+    assert [p for p in now if now[p] != before.get(p)] == [str(index.bucket_of("4", 4))]
+    assert set(held.write(export_lines(spark, {1: 25, 3: 10, 4: 401}))) == {index.bucket_of("2", 4)} and '"node":2' not in "".join(r.value for r in held.read().collect())
+    for path in (tmp_path / "e/lines").rglob(f"part={index.bucket_of('3', 4)}/part-*.txt"):
+        path.write_text(path.read_text().replace('{"i":9}', '{"i":8}'))
+        (path.parent / f".{path.name}.crc").unlink()
+    assert [tuple(r) for r in held.errors().collect()] == [(index.bucket_of("3", 4), "digest")]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tomeforge.operators import index
 from tomeforge.operators.graph import own_folder
 from tomeforge.plans.base import query
-from tomeforge.sources import archives, workbooks
+from tomeforge.sources import archives, exports, workbooks
 
 #: Documents in archives of fifty; some names lead out of the folder, some members are links, long ones exceed MEMBER.
 MEMBER = 8000
@@ -181,3 +181,52 @@ def workbook_units(table, spark):
     """The sheets of workbooks as text units, and how many units each workbook has."""
     rows = workbooks.units(workbooks.workbooks(spark, books(table, spark)))
     return rows.select("file", "unit", "name", F.sha2("text", 256).alias("sha256"), "n_rows", F.count("*").over(Window.partitionBy("file")).alias("units"))
+
+
+#: Customers as nodes, orders as their claims, lineitems as citations, nations as relations; some names change between two exports.
+PARTS, ITEMS = 64, 20
+EXPORTED = f"""
+items as (
+    select c_custkey as node, 'node' as kind, 0 as a, 0 as b, 0 as c, to_json({{'name': case when c_custkey % 701 = 5 then 'new ' || c_name else c_name end, 'type': c_mktsegment}}) as item, to_json({{'name': c_name, 'type': c_mktsegment}}) as old_item from customer
+    union all select o_custkey, 'claims', o_orderkey, 0, 0, to_json({{'id': o_orderkey, 'status': o_orderstatus, 'priority': o_orderpriority}}) as i, i from orders
+    union all select o_custkey, 'citations', l_orderkey, l_linenumber, l_partkey, to_json({{'claim': l_orderkey, 'line': l_linenumber, 'source': l_partkey}}) as i, i from lineitem join orders on o_orderkey = l_orderkey
+    union all select c_custkey, 'relations', c_nationkey, 0, 0, to_json({{'kind': 'nation', 'to': c_nationkey}}) as i, i from customer where c_custkey % 3 > 0),
+n as (select *, (row_number() over (partition by node, kind order by a, b, c) - 1) // {ITEMS} as chunk from items),
+head as (select node, kind, chunk, '{{"node":' || node || ',"kind":"' || kind || '","chunk":' || chunk || ',"items":[' as start, string_agg(item, ',' order by a, b, c) as items, string_agg(old_item, ',' order by a, b, c) as old_items from n group by node, kind, chunk),
+export as (select node, kind, chunk, start || items || ']}}' as line, start || old_items || ']}}' as old_line, ('0x' || substr(md5(node::varchar), 1, 8))::bigint % {PARTS} as part from head)
+"""
+
+
+def exported(table, spark) -> tuple[exports.Export, list[int]]:
+    """An export written twice, and the parts that the second time wrote."""
+    c, o = table("customer"), table("orders")
+    node = F.col("c_custkey").alias("node")
+    claims = o.select(F.col("o_custkey").alias("node"), "o_orderkey", F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("item"))
+    owner = o.select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("l_orderkey"))
+    cited = table("lineitem").join(owner, "l_orderkey").select("node", "l_orderkey", "l_linenumber", "l_partkey", F.struct(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("source")).alias("item"))
+    related = c.where("c_custkey % 3 > 0").select(node, "c_nationkey", F.struct(F.lit("nation").alias("kind"), F.col("c_nationkey").alias("to")).alias("item"))
+    rest = [exports.chunked(claims, ["o_orderkey"], "claims", ITEMS), exports.chunked(cited, ["l_orderkey", "l_linenumber", "l_partkey"], "citations", ITEMS), exports.chunked(related, ["c_nationkey"], "relations", ITEMS)]
+    head = lambda name: c.select(node, F.lit("node").alias("kind"), F.lit(0).alias("chunk"), F.array(F.struct(name.alias("name"), F.col("c_mktsegment").alias("type"))).alias("items"))
+    renamed = F.when(F.col("c_custkey") % 701 == 5, F.concat(F.lit("new "), "c_name")).otherwise(F.col("c_name"))
+    held = exports.Export(spark, own_folder(spark, "export"))
+    held.write(exports.lines([head(F.col("c_name")), *rest], PARTS))
+    return held, held.write(exports.lines([head(renamed), *rest], PARTS))
+
+
+@query(f"with {EXPORTED} select node, kind, chunk::int as chunk, sha256(line) as sha256 from export")
+def knowledge_export(table, spark):
+    """An export of nodes with claims, citations and relations, read back line by line."""
+    rows = exported(table, spark)[0].read()
+    j = F.from_json("value", "node long, kind string, chunk int")
+    return rows.select(j["node"].alias("node"), j["kind"].alias("kind"), j["chunk"].alias("chunk"), F.sha2("value", 256).alias("sha256"))
+
+
+@query(f"""
+with {EXPORTED}, s as (select part, count(*) as n_lines, sum(('0x' || substr(sha256(line), 1, 15))::hugeint)::varchar || '-' || sum(('0x' || substr(sha256(line), 16, 15))::hugeint)::varchar as digest, bool_or(line <> old_line) as rewritten from export group by part)
+select part::int as part, n_lines, digest, rewritten from s
+""")
+def export_manifest(table, spark):
+    """The manifest of the second export, and which parts it wrote anew."""
+    held, changed = exported(table, spark)
+    said = held.store.manifest()["digests"]
+    return spark.createDataFrame([(int(p), n, d, int(p) in changed) for p, (n, d) in said.items()], "part int, n_lines long, digest string, rewritten boolean")

@@ -77,13 +77,18 @@ class Versions:
             return self.spark.createDataFrame([], schema)
         number = F.regexp_extract(F.col("_metadata.file_path"), r"/part=(\d+)/", 1).cast("int")
         inside = StructType([f for f in schema if f.name != "part"])
-        return self.spark.read.schema(inside).parquet(*where).select(*inside.names, number.alias("part"))
+        return self.spark.read.schema(inside).format(held["format"]).load(where).select(*inside.names, number.alias("part"))
 
-    def commit(self, tables: dict[str, tuple[DataFrame | Callable, list[int] | None, list[str]]], based_on: int, more: dict | None = None) -> int:
+    @staticmethod
+    def _stored(rows: DataFrame, kind: str) -> list[str]:
+        """The columns that are written: of text tables `value` alone, whatever they are ordered by."""
+        return ["value", "part"] if kind == "text" else [*(c for c in rows.columns if c != "part"), "part"]
+
+    def commit(self, tables: dict[str, tuple[DataFrame | Callable, list[int] | None, list[str]]], based_on: int, more: dict | None = None, kind: str = "parquet") -> int:
         """The next version: of each table the new rows of some parts (all: None), which replace the parts, sorted by some columns.
 
         Rows have an int column `part`. They are spread by ranges of part and order, so that a large part is
-        many files. A function instead of rows gets the new rows of the tables before it, read from where they were written.
+        many files. `kind` is parquet, or text for lines of a column `value`. A function instead of rows gets the new rows of the tables before it, read from where they were written.
         """
         version = based_on + 1
         if self.number() != based_on:
@@ -94,15 +99,15 @@ class Versions:
         for name, (rows, parts, order) in tables.items():
             rows = rows(done) if callable(rows) else rows
             place = f"{self.folder}/{name}/v={version}-{uuid.uuid4().hex[:8]}"  # another writer's rows lie elsewhere
-            rows.repartitionByRange("part", *order).sortWithinPartitions("part", *order).write.partitionBy("part").parquet(place)
+            rows.repartitionByRange("part", *order).sortWithinPartitions("part", *order).select(*self._stored(rows, kind)).write.partitionBy("part").format(kind).save(place)
             made = [int(n[5:]) for n in self._listed(place) if n.startswith("part=")]
             if parts is not None and not set(made) <= set(parts):
                 raise ValueError(f"{name}: rows of parts that aren't replaced")
             old = held.get(name, {"parts": {}})["parts"]
             kept = {p: v for p, v in old.items() if parts is not None and int(p) not in parts}
             stamp = place.rsplit("v=", 1)[1]
-            schema = StructType([*(f for f in rows.schema if f.name != "part"), rows.schema["part"]])
-            done[name] = self.spark.read.schema(schema).parquet(place) if made else self.spark.createDataFrame([], schema)
-            held[name] = {"parts": kept | {str(p): stamp for p in made}, "schema": schema.jsonValue()}
+            schema = StructType([rows.schema[c] for c in self._stored(rows, kind)])
+            done[name] = self.spark.read.schema(schema).format(kind).load(place) if made else self.spark.createDataFrame([], schema)
+            held[name] = {"parts": kept | {str(p): stamp for p in made}, "schema": schema.jsonValue(), "format": kind}
         self.write_text(f"{self.folder}/manifest/{version:08}.json", json.dumps({"version": version, "tables": held} | (more or {})))
         return version
