@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomeforge.functions.text import paragraph_units
-from tomeforge.operators import audit, blocks, catalog, curation, graph, progress
+from tomeforge.operators import audit, blocks, catalog, coverage, curation, graph, progress
 from tomeforge.sources import files
 from tomeforge.sources.html_markdown import to_markdown
 from tomeforge.streaming import jobs
@@ -40,7 +40,7 @@ def test_itinerary(spark):
 def covered(spark, *docs):
     rows = [("e", d[0], n, d[1], d[2] if len(d) > 2 else None, d[3] if len(d) > 3 else False, d[4] if len(d) > 4 else None) for n, d in enumerate(docs)]
     frame = spark.createDataFrame(rows, "entity string, document string, position int, body string, profile string, has_image boolean, answers string")
-    return {r.document: r for r in curation.coverage(frame).collect()}
+    return {r.document: r for r in coverage.coverage(frame).collect()}
 
 
 def test_coverage_is_cumulative(spark):

@@ -1,20 +1,14 @@
-"""Which documents of an entity add something: exact tiers, answers, and the loop over retained ones."""
+"""Which documents and paragraphs of an entity add something: exact copies, decisions, spans; coverage.py has the loop over retained ones."""
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeforge.functions.records import profile
 from tomeforge.functions.text import collapsed
 
 #: Redundancy counts only strictly above.
 THRESHOLD = 0.80
-_NUMBERS = re.compile(r"\d+(?:[.,]\d+)?(?:\s*[dD](?:\s*\+\s*\d)?)?")
 
 
 def exact_copies(documents: DataFrame, entity: str, key: str, text: str) -> DataFrame:
@@ -28,66 +22,6 @@ def decision(p_no: Column) -> Column:
     return F.when(p_no > THRESHOLD, "exclude_redundant").otherwise("retain")
 
 
-def _units(text: str) -> list[str]:
-    return [" ".join(u.lower().split()) for u in re.split(r"\n\s*\n", text or "") if u.strip()]
-
-
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    kept_units: dict[str, str] = {}
-    kept_texts: dict[str, str] = {}
-    kept_numbers: set[str] = set()
-    kept_profiles: set[str] = set()
-    out = []
-    for n, row in enumerate(group.sort_values(["position", "document"]).itertuples()):
-        body = row.body or ""
-        units, whole = _units(body), " ".join(body.lower().split())
-        numbers = {"".join(x.lower().split()) for x in _NUMBERS.findall(body)}
-        own_profile = json.dumps(profile(row.profile), sort_keys=True)
-        answers = json.loads(row.answers) if row.answers else {}
-        verdict, reason, covered = "retain", "reference" if n == 0 else "", []
-        if n:
-            if row.has_image and not whole:
-                reason = "non_text_source"
-            elif own_profile != "{}" and own_profile not in kept_profiles:
-                reason = "distinct_profile"
-            elif whole in kept_texts:
-                verdict, reason, covered = "exclude_redundant", "exact_normalized_text", [kept_texts[whole]]
-            elif units and all(u in kept_units for u in units):
-                verdict, reason, covered = "exclude_redundant", "exact_unit_coverage", sorted({kept_units[u] for u in units})
-            elif not numbers <= kept_numbers:
-                reason = "new_numeric_or_dice_information"
-            else:
-                open_ = [u for u in units if u not in kept_units]
-                sure = [answers.get(u, answers.get("*")) for u in open_]
-                if open_ and all(p is not None and p > THRESHOLD for p in sure):
-                    verdict, reason = "exclude_redundant", "every_unit_redundant"
-                else:
-                    reason = "deferred" if any(p is None for p in sure) else "contributes"
-        if verdict == "retain":
-            kept_texts.setdefault(whole, row.document)
-            for u in units:
-                kept_units.setdefault(u, row.document)
-            kept_numbers |= numbers
-            kept_profiles.add(own_profile)
-        out.append((row.entity, row.document, verdict, reason, covered))
-    return pd.DataFrame(out, columns=["entity", "document", "selection", "reason", "covered_by"])
-
-
-def coverage(documents: DataFrame) -> DataFrame:
-    """documents: entity, document, position, body, profile (JSON or null), has_image, answers.
-
-    In order of position each document is held against those of its entity that were retained before;
-    an excluded one never covers another. Exact text, then cumulative exact units, then new numbers,
-    then the answers: a JSON object of each normalised unit's (or "*"'s) probability of adding nothing,
-    which must all be above THRESHOLD. The order makes it a fold, so an entity is one group; its
-    documents are as many as an entity has sources.
-    """
-    wanted = documents.select("entity", "document", "position", "body", "profile", "has_image", "answers")
-    kinds = {f.name: f.dataType.simpleString() for f in wanted.schema}
-    schema = f"entity {kinds['entity']}, document {kinds['document']}, selection string, reason string, covered_by array<{kinds['document']}>"
-    return wanted.groupBy("entity").applyInPandas(_fold, schema)
-
-
 def numbered_paragraphs(paragraphs: DataFrame, document: str, position: str, text: str) -> DataFrame:
     """Numbers P00001… in each document, and skip_redundant for exact copies of an earlier paragraph of it."""
     order = Window.partitionBy(document).orderBy(position)
