@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tomeforge.operators.graph import own_folder
+from tomeforge.operators.joblog import JobLog
 from tomeforge.plans.base import query
+from tomeforge.sources.versions import Conflict
 from tomeforge.streaming import supervision
 from tomeforge.streaming.jobs import PHASES
 
@@ -53,3 +55,48 @@ def supervised_jobs(table, spark):
     run()
     clock.toDF("job", "seq", "ts", "kind", "pages").write.mode("append").parquet(f"{folder}/journal")
     return run()
+
+
+#: Jobs that the first two runs take.
+FIRST, SECOND = 300, 200
+JOBLOG_SQL = f"""
+with j as (select doc_id as job, doc_id as position, sha256(coalesce(lang, '') || '|' || coalesce(source, '') || '|' || (doc_id % 60)) as request, sha256('new|' || doc_id) as other, doc_id % 31 = 0 as renewed, doc_id % 29 = 0 as changed from documents),
+t1 as (select *, row_number() over (order by position) as k from j where not changed), l1 as (select max(position) as stop from t1 where k <= {FIRST}),
+r1 as (select 1 as run, job, position, request, case when row_number() over (partition by request order by position) = 1 then 'done' else 'cached' end as event from t1 where k <= {FIRST}
+    union all select 1, job, position, request, 'refused' from j where changed and ((select count(*) from t1) < {FIRST} or position < (select stop from l1))),
+j2 as (select job, position, case when renewed then other else request end as request, changed from j),
+p2 as (select * from j2 where not exists (select 1 from r1 where r1.job = j2.job and r1.request = j2.request and event <> 'refused')),
+t2 as (select *, row_number() over (order by position) as k from p2 where not changed), l2 as (select max(position) as stop from t2 where k <= {SECOND}),
+r2 as (select 2 as run, job, position, request, case when request not in (select request from r1 where event = 'done') and row_number() over (partition by request order by position) = 1 then 'done' else 'cached' end as event from t2 where k <= {SECOND}
+    union all select 2, job, position, request, 'refused' from p2 where changed and ((select count(*) from t2) < {SECOND} or position < (select stop from l2))),
+p3 as (select * from p2 where not exists (select 1 from r2 where r2.job = p2.job and r2.request = p2.request and event <> 'refused')),
+r3 as (select 3 as run, job, position, request, case when request not in (select request from r1 where event = 'done' union all select request from r2 where event = 'done') and row_number() over (partition by request order by position) = 1 then 'done' else 'cached' end as event from p3)
+select run::int as run, job, event, case when event <> 'refused' then 'answer ' || request end as answer from (from r1 union all from r2 union all from r3)
+"""
+
+
+@query(JOBLOG_SQL)
+def job_log(table, spark):
+    """I8: three runs over jobs, the second begun while the first goes on; renewed requests, changed sources and a pause between."""
+    d = F.col("doc_id")
+    request = F.sha2(F.concat_ws("|", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), (d % 60).cast("string")), 256)
+    renewed = F.when(d % 31 == 0, F.sha2(F.concat(F.lit("new|"), d.cast("string")), 256)).otherwise(request)
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    job = lambda r: table("documents").select(d.alias("job"), d.alias("position"), r.alias("request"), sha.alias("source_sha256"))
+    now = table("documents").select(d.alias("job"), sha.alias("sha256"))
+    changed = now.withColumn("sha256", F.when(F.col("job") % 29 == 0, "changed").otherwise(F.col("sha256")))
+    answer = lambda asked: asked.select("request", F.concat(F.lit("answer "), "request").alias("answer"))
+    held = JobLog(spark, own_folder(spark, "jobs"))
+    held.prepare(job(request))
+    one, two = held.begin(changed, FIRST), held.begin(changed, SECOND)
+    one.finish(answer)
+    try:
+        two.finish(answer)
+    except Conflict:  # the log has changed since it began
+        held.prepare(job(renewed))
+        held.begin(changed, SECOND).finish(answer)
+    held.pause()
+    if held.begin(now).taken.isEmpty():
+        held.pause(False)
+    held.begin(now).finish(answer)
+    return held.log().select("run", "job", "event", "answer")
