@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tomeforge.functions import json_paths
 from tomeforge.functions import records as rec
 from tomeforge.functions import text as tx
 
@@ -150,3 +152,59 @@ def test_preserve_reasons(spark, candidate, retained, expected):
     schema = "k int, edition string, epoch string, continuity string"
     rows = rec.preserve_reasons(spark.createDataFrame([(1, *candidate)], schema), spark.createDataFrame([(1, *r) for r in retained], schema), "k")
     assert rows.first().reasons == expected
+
+
+def nested(rng, depth):
+    if depth == 0 or rng.random() < 0.3:
+        return rng.choice([1, -2.5, True, None, "", 'a "quote" \\ / ~ é', "x, ] } {[" * rng.randrange(5), "long " * rng.choice([1, 80])])
+    if rng.random() < 0.5:
+        return [nested(rng, depth - 1) for _ in range(rng.randrange(9))]
+    return {rng.choice(["a/b", "m~n", "é", 'q"', "key"]) + str(i): nested(rng, depth - 1) for i in range(rng.randrange(9))}
+
+
+def at_path(value, path):
+    for step in path.split("/")[1:]:
+        step = step.replace("~1", "/").replace("~0", "~")
+        value = value[int(step)] if isinstance(value, list) else value[step]
+    return value
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("target", [1, 60, 1600])
+def test_card_blocks_are_the_card(seed, target):
+    rng = random.Random(seed)
+    card = [nested(rng, 4) for _ in range(8)]
+    text = rng.choice(["", " \n"]) + json.dumps(card, indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5) + rng.choice(["", "\n"])
+    found = json_paths.card_blocks(text, target)
+    assert "".join(text[a:b] for _, a, b, _ in found) == text and all(a == b for (_, _, a, _), (_, b, _, _) in zip(found, found[1:], strict=False))
+    for path, a, b, n in found:
+        value = at_path(card, path)
+        assert n == 1 or b - a <= target
+        own = json.dumps(value, ensure_ascii=False) if not isinstance(value, (dict, list)) else None
+        if own is not None:  # a scalar is whole in its block
+            assert own in text[a:b] or json.dumps(value) in text[a:b]
+    assert len({path for path, *_ in found}) == len(found)
+
+
+def test_a_card_of_a_megabyte():
+    card = {"rows": [{"id": i, "name": "n" * (i % 50), "stats": {"hull": f"{i % 9}D", "move": i % 20}} for i in range(16_000)], "end": []}
+    text = json.dumps(card)
+    assert len(text) > 1_000_000
+    found = json_paths.card_blocks(text, 1600)
+    assert "".join(text[a:b] for _, a, b, _ in found) == text and max(b - a for _, a, b, _ in found) <= 1600 and len(found) < 1000
+    assert all(at_path(card, path)["id"] == int(path.split("/")[2]) for path, *_ in found if path.startswith("/rows/"))
+    assert json_paths.card_blocks(text[:-1], 1600) is None and json_paths.card_blocks("[" * 100_000, 10) is None
+
+
+def test_blocks_of_cards_and_other_texts(spark):
+    from tomeforge.functions.text import paragraph_units
+    from tomeforge.operators.blocks import coherent_blocks
+
+    long = '{"a": [' + ", ".join(["1000"] * 50) + '], "b": "x"}'
+    rows = [(1, long), (2, '{"a": 1}'), (3, long[:-1] + ",}"), (4, "# Head\n\nMove\n\n10\n\nA sentence here."), (5, None), (6, "")]
+    got = {}
+    for r in coherent_blocks(spark.createDataFrame(rows, "id int, text string"), "id", "text", paragraph_units, 100).orderBy("id", "block").collect():
+        got.setdefault(r.id, []).append(r)
+    assert {k: "".join(r.body for r in v) for k, v in got.items()} == {k: t for k, t in rows if t}
+    assert [r.path for r in got[1]] == ["/a/0", "/a/15", "/a/31", "/a/47", "/b"] and [r.path for r in got[2]] == [None]
+    assert {r.path for r in got[3] + got[4]} == {None}

@@ -280,10 +280,12 @@ def unit_partition(table, spark):
 
 
 CARDS = "case when doc_id % 9 = 0 then '{\"name\": \"' || source || '\",' || chr(10) || chr(10) || '\"move\": 10}' when doc_id % 4 = 0 then '# ' || source || chr(10) || chr(10) || 'Move' || chr(10) || chr(10) || doc_id % 20 || chr(10) || chr(10) || repeat('Skill: 3D+1' || chr(10) || chr(10), 1 + cast(doc_id % 300 as int)) || text else text end"
+#: A text that is one JSON object or array (fixed value).
+JSON_CARD = r"^[ \t\r\n]*(?:\{(?:[^\n]|\n)*\}|\[(?:[^\n]|\n)*\])[ \t\r\n]*\z"
 _KIND = "case " + " ".join(f"when regexp_matches(trim(body, ' ' || chr(9) || chr(13) || chr(10)), '{p}') then '{k}'" for k, p in blocks.UNIT_KINDS) + " else 'narrative' end"
 BLOCKS_SQL = rf"""
 with t as (select doc_id, {CARDS} as text from documents where text <> ''),
-x as (select doc_id, case when length(text) <= 1600 and regexp_matches(text, '{blocks.JSON_CARD}') then [text] else regexp_extract_all(text, '(?s)(.+?(?:\n\s*\n|\z))', 1) end as list from t),
+x as (select doc_id, case when length(text) <= 1600 and regexp_matches(text, '{JSON_CARD}') then [text] else regexp_extract_all(text, '(?s)(.+?(?:\n\s*\n|\z))', 1) end as list from t),
 u as (select doc_id, unnest(list) as body, unnest(range(1, len(list) + 1)) as n from x),
 o as (select doc_id, n, body, sum(length(body)) over w - length(body) as start, {_KIND} as kind from u where body <> '' window w as (partition by doc_id order by n)),
 b as (select *, lag(kind) over (partition by doc_id order by n) as before from o),
@@ -346,3 +348,26 @@ def embedded_images(table, spark):
 
     uri = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("c_name").cast("binary")))).otherwise(F.col("c_name"))
     return table("customer").select(F.col("c_custkey").alias("id"), data_uri(uri).alias("d")).where("d is not null").select("id", "d.suffix", "d.sha256")
+
+
+#: Cards with rows of 47 characters, which a comma follows; blocks of 1,600 characters.
+PATHS_SQL = """
+with c as (select doc_id, 40 + doc_id % 200 as n, length(source) as l from documents where source is not null), r as (select doc_id, n, l, unnest(range(n)) as i from c),
+b as (select doc_id, n, l, i, case when i < (1600 - 8) // 48 then 2 else 3 + (i - (1600 - 8) // 48) // (1600 // 48) end as block from r)
+select doc_id, block, '/rows/' || min(i) as path, 11 + l + case when min(i) = 0 then 0 else 8 + 48 * min(i) end as start, 11 + l + 8 + 48 * (max(i) + 1) + case when max(i) = n - 1 then 1 else 0 end as "end", count(*) as units from b group by doc_id, n, l, block
+union all select doc_id, 1, '/name', 0, 11 + l, 1 from c
+"""
+
+
+@query(PATHS_SQL)
+def card_paths(table, spark):
+    """long JSON cards cut between their members, with paths and offsets; together the blocks are the card."""
+    d = table("documents").where("source is not null")
+    row = lambda i: F.concat(F.lit('{"id":"'), F.lpad(i.cast("string"), 6, "0"), F.lit(r'","note":"a, ] \"row\" { padding"}'))
+    n = (40 + F.col("doc_id") % 200).cast("int")
+    rows = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), row), ",")
+    d = d.select("doc_id", F.concat(F.lit('{"name":"'), "source", F.lit('","rows":['), rows, F.lit("]}")).alias("text"))
+    found = blocks.coherent_blocks(d, "doc_id", "text", tx.paragraph_units)
+    joined = found.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "body"))), lambda b: b["body"]), "").alias("joined"))
+    same = d.join(joined, "doc_id").where("joined = text").select("doc_id")  # a card whose blocks aren't the card is missing
+    return found.join(same, "doc_id").select("doc_id", "block", "path", "start", "end", "units")
