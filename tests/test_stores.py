@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from tomeforge.operators import index
+from tomeforge.operators import hashtree, index
 from tomeforge.sources import archives, exports, workbooks
 from tomeforge.sources.versions import Conflict, Versions
 
@@ -263,3 +263,25 @@ def test_exports(spark, tmp_path):
         path.write_text(path.read_text().replace('{"i":9}', '{"i":8}'))
         (path.parent / f".{path.name}.crc").unlink()
     assert [tuple(r) for r in held.errors().collect()] == [(index.bucket_of("3", 4), "digest")]
+
+
+def leaves(spark, n, changed=()):
+    rows = [(f"s{i // 20}", i % 20, "markdown", f"{i}-{'x' if i in changed else ''}") for i in range(n)]
+    return spark.createDataFrame(rows, "source string, unit int, kind string, sha256 string")
+
+
+def test_hash_trees_read_only_what_differs(spark, tmp_path, monkeypatch):
+    a = hashtree.HashTree(spark, str(tmp_path / "a")).write(leaves(spark, 1000))
+    b = hashtree.HashTree(spark, str(tmp_path / "b")).write(leaves(spark, 1000).repartition(3))
+    assert hashtree.differing(a, b) == [] and hashtree.drift(a, b).count() == 0
+    b.write(leaves(spark, 990, changed=(5, 6, 333)))
+    before = a.store.manifest()
+    assert a.write(leaves(spark, 1000)).store.manifest() == before, "the same leaves make no version"
+    parts = {index.bucket_of(s, hashtree.BUCKETS) for s in ("s0", "s16", "s49")}
+    assert set(hashtree.differing(a, b)) == parts
+    read, given = [], Versions.read
+    monkeypatch.setattr(Versions, "read", lambda self, table, some=None, version=None: (read.append(some), given(self, table, some, version))[1])
+    got = sorted((r.source, r.unit, r.status) for r in hashtree.drift(a, b).collect())
+    assert got == [("s0", 5, "changed"), ("s0", 6, "changed"), ("s16", 13, "changed"), *(("s49", i, "missing") for i in range(10, 20))]
+    assert all(set(some) == parts for some in read)
+    assert {r.status for r in hashtree.drift(b, a).collect()} == {"changed", "extra"}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tomeforge.operators import audit, catalog, records
+from tomeforge.operators import audit, catalog, hashtree, records
+from tomeforge.operators.graph import own_folder
 from tomeforge.plans import base
 from tomeforge.plans.base import KB, query
 
@@ -128,3 +129,74 @@ def corpus_audit(table, spark):
         "standalone_resource": files.join(links.distinct(), "link", "left_anti"),
         "repeated_id": audit.duplicates(table("documents"), "doc_id"),
     })
+
+
+#: Documents as units of sources of ten, with files of four kinds; some are lost or changed between checkpoint and publication.
+TREES = """
+u as (select doc_id // 10 as source, doc_id % 10 + 1 as unit, doc_id, sha256(coalesce(text, '')) as sha from documents),
+k as (select source, unit, doc_id, 'markdown' as kind, sha from u union all select source, unit, doc_id, 'structure', sha256('structure' || sha) from u union all select source, unit, doc_id, 'scan', sha256('scan' || sha) from u where source % 2 = 0 union all select source, unit, doc_id, 'image', sha256('image' || sha) from u where doc_id % 7 = 0),
+c as (select source, unit, kind, sha as sha256 from k where not (kind = 'markdown' and doc_id % 977 = 5)),
+p as (select source, unit, kind, case when kind = 'structure' and doc_id % 391 = 0 or kind = 'image' and doc_id % 203 = 0 or kind = 'markdown' and doc_id % 577 = 3 then 'changed' else sha end as sha256 from k where not (kind = 'scan' and doc_id % 397 = 1) and not (kind = 'markdown' and doc_id % 683 = 2))
+"""
+
+
+def trees(table, spark) -> tuple[hashtree.HashTree, hashtree.HashTree]:
+    """The trees of the checkpoint and of the publication."""
+    d = F.col("doc_id")
+    u = table("documents").select(F.floor(d / 10).alias("source"), (d % 10 + 1).cast("int").alias("unit"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    own = lambda kind: F.sha2(F.concat(F.lit(kind), "sha"), 256)
+    kinds = F.array_compact(F.array(
+        F.struct(F.lit("markdown").alias("kind"), F.col("sha").alias("sha256")),
+        F.struct(F.lit("structure").alias("kind"), own("structure").alias("sha256")),
+        F.when(F.col("source") % 2 == 0, F.struct(F.lit("scan").alias("kind"), own("scan").alias("sha256"))),
+        F.when(d % 7 == 0, F.struct(F.lit("image").alias("kind"), own("image").alias("sha256"))),
+    ))
+    k = u.select("source", "unit", "doc_id", F.explode(kinds).alias("k")).select("source", "unit", "doc_id", "k.*")
+    is_ = lambda kind, n, at: (F.col("kind") == kind) & (d % n == at)
+    changed = is_("structure", 391, 0) | is_("image", 203, 0) | is_("markdown", 577, 3)
+    built = k.where(~is_("markdown", 977, 5))
+    shown = k.where(~is_("scan", 397, 1) & ~is_("markdown", 683, 2)).withColumn("sha256", F.when(changed, "changed").otherwise(F.col("sha256")))
+    return tuple(hashtree.HashTree(spark, own_folder(spark, "tree")).write(rows) for rows in (built, shown))
+
+
+@query(f"with {TREES} select coalesce(c.source, p.source) as source, coalesce(c.unit, p.unit) as unit, coalesce(c.kind, p.kind) as kind, case when p.source is null then 'missing' when c.source is null then 'extra' else 'changed' end as status from c full join p on c.source = p.source and c.unit = p.unit and c.kind = p.kind where c.sha256 is distinct from p.sha256")
+def tree_drift(table, spark):
+    """Files that differ between two trees of hashes, compared from the root."""
+    return hashtree.drift(*trees(table, spark)).select("source", F.col("unit").cast("long").alias("unit"), "kind", "status")
+
+
+@query(f"with {TREES}, f as (select coalesce(c.source, p.source) as source from c full join p on c.source = p.source and c.unit = p.unit and c.kind = p.kind where c.sha256 is distinct from p.sha256) select distinct (('0x' || substr(md5(source::varchar), 1, 8))::bigint % {hashtree.BUCKETS})::int as bucket from f")
+def tree_branches(table, spark):
+    """The buckets of two trees that differ, which are all that a comparison reads."""
+    return spark.createDataFrame([(b,) for b in hashtree.differing(*trees(table, spark))], "bucket int")
+
+
+ERRORS_SQL = f"""
+with {TREES},
+cat as (select source, count(*) + case when source % 53 = 9 then 1 else 0 end as pages, source % 31 = 30 as skipped from u group by source), w as (select * from cat where not skipped), has as (select * from w where source % 37 <> 11),
+link as (select source, doc_id % 23 as n from u where doc_id % 3 = 0)
+select source::varchar as source, null as what, 'missing_publication' as error from w where source % 37 = 11
+union all select source::varchar, null, 'bad_provenance' from has where source % 41 = 7
+union all select u.source::varchar, u.unit::varchar, 'bad_markdown' from u join has using (source) left join p on p.source = u.source and p.unit = u.unit and p.kind = 'markdown' where p.sha256 is distinct from u.sha
+union all select source::varchar, unit::varchar, 'missing_unit' from (select source, unnest(range(1, pages + 1)) as unit from has) x where not exists (select 1 from p where p.source = x.source and p.unit = x.unit and p.kind = 'markdown')
+union all select c.source::varchar, c.unit::varchar, case when p.source is null then 'missing_' else 'changed_' end || c.kind from c join has on has.source = c.source left join p on p.source = c.source and p.unit = c.unit and p.kind = c.kind where c.kind <> 'markdown' and p.sha256 is distinct from c.sha256
+union all select source::varchar, 'images/' || n || '.png', 'broken_link' from link join has using (source) where n >= 20
+union all select source::varchar, null, 'linked_images' from has where source % 43 = 0
+union all select null, file, 'standalone_resource' from (select 'images/' || (doc_id % 23) || '.png' as file, doc_id % 23 as n from documents group by all) where n >= 20 or n % 6 = 5 or n = 4
+"""
+
+
+@query(ERRORS_SQL)
+def corpus_errors(table, spark):
+    """Every error of a published corpus: provenance, Markdown, units, scans, structures, images, links and resources."""
+    built, shown = trees(table, spark)
+    d = F.col("doc_id")
+    u = table("documents").select(F.floor(d / 10).alias("source"), (d % 10 + 1).cast("int").alias("unit"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "doc_id")
+    s = F.col("source")
+    catalog_ = u.groupBy("source").agg(F.count("*").alias("n")).select("source", F.lit("sha").alias("sha256"), (F.col("n") + F.when(s % 53 == 9, 1).otherwise(0)).alias("pages"), (s % 31 == 30).alias("skipped"))
+    publications = catalog_.where(s % 37 != 11).select("source", F.when(s % 41 == 7, "other").otherwise("sha").alias("sha256"), (s % 43 == 0).alias("images_linked"))
+    png = F.concat(F.lit("images/"), (d % 23).cast("string"), F.lit(".png"))
+    links = u.where("doc_id % 3 = 0").select("source", "unit", png.alias("target"))
+    resources = table("documents").select((d % 23).alias("n"), png.alias("file")).distinct()
+    files = resources.where("n < 20").select("file", F.when(F.col("n") % 6 == 5, "other").otherwise("sha").alias("sha256"), (F.col("n") == 4).alias("linked"))
+    return hashtree.corpus_errors(catalog_, publications, u.select("source", "unit", "sha256"), shown, built, links, resources.select("file", F.lit("sha").alias("sha256")), files)
