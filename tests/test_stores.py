@@ -4,8 +4,9 @@ import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from tomeforge.operators import hashtree, index
+from tomeforge.operators import hashtree, index, pilot
 from tomeforge.sources import archives, exports, workbooks
 from tomeforge.sources.versions import Conflict, Versions
 
@@ -285,3 +286,57 @@ def test_hash_trees_read_only_what_differs(spark, tmp_path, monkeypatch):
     assert got == [("s0", 5, "changed"), ("s0", 6, "changed"), ("s16", 13, "changed"), *(("s49", i, "missing") for i in range(10, 20))]
     assert all(set(some) == parts for some in read)
     assert {r.status for r in hashtree.drift(b, a).collect()} == {"changed", "extra"}
+
+
+def pilot_tables(spark):
+    rows = spark.createDataFrame([(str(i), f"s{i % 3}", f"n{i}", "u", f"body {i}") for i in range(12)], "source_key string, source_id string, name string, universe string, body string")
+    rows = rows.withColumn("id", pilot.record_id(F.col("source_key"))).withColumn("current_version", pilot.version_of(F.col("name"), F.col("universe"), F.col("body")))
+    ids = {r.source_key: r.id for r in rows.collect()}
+    made = spark.createDataFrame([("t", ids[str(i)], ids[str(i + 1)] if i % 2 else None, float(i), "pending" if i else "stale") for i in range(10)], "task string, a string, b string, score double, status string")
+    sources = spark.createDataFrame([(f"s{i}", f"title {i}") for i in range(9)], "source_id string, title string")
+    profiles = rows.select(F.col("current_version").alias("version_id"), F.lit("{}").alias("stats"))
+    return made.withColumn("id", pilot.job_id(F.col("task"), F.col("a"), F.col("b"))), rows, sources, profiles
+
+
+def test_pilot_snapshots(spark, tmp_path):
+    tables = pilot_tables(spark)
+    held = pilot.Pilot(spark, str(tmp_path / "p"))
+    assert held.create(*tables, limit=3) == {"jobs": 3, "records": 4, "sources": 3, "profiles": 4}
+    assert sorted(r.score for r in held.open()["jobs"].collect()) == [7.0, 8.0, 9.0]
+    with pytest.raises(FileExistsError):
+        pilot.Pilot(spark, str(tmp_path / "p")).create(*tables, limit=3)
+    with pytest.raises(ValueError):
+        pilot.Pilot(spark, str(tmp_path / "q")).create(*tables, limit=0)
+    with pytest.raises(pilot.Refused, match="not finished"):
+        pilot.Pilot(spark, str(tmp_path / "none")).open()
+    file = next((tmp_path / "p/jobs").rglob("*.parquet"))
+    data = file.read_bytes()
+    file.unlink()
+    with pytest.raises(pilot.Refused):
+        held.open()
+    file.write_bytes(data)
+    assert len(held.open()) == 4
+    more = next((tmp_path / "p/records").rglob("*.parquet"))
+    (more.parent / f"again-{more.name}").write_bytes(more.read_bytes())
+    with pytest.raises(pilot.Refused, match="records has changed"):
+        held.open()
+
+
+@pytest.mark.parametrize("change, error", [(("records", "source_key", "'x'"), "identity"), (("records", "body", "'other'"), "version"), (("jobs", "task", "'u'"), "job")])
+def test_pilot_copies_that_do_not_hold_together(spark, tmp_path, change, error):
+    proposals, records, sources, profiles = pilot_tables(spark)
+    table, column, value = change
+    if table == "records":
+        records = records.withColumn(column, F.expr(value))
+    else:
+        proposals = proposals.withColumn(column, F.expr(value))
+    held = pilot.Pilot(spark, str(tmp_path / "p"))
+    with pytest.raises(pilot.Refused, match=error):
+        held.create(proposals, records, sources, profiles, 5)
+    assert {r.error for r in held.errors().collect()} == {error}
+
+
+def test_pilot_jobs_whose_record_is_missing(spark, tmp_path):
+    proposals, records, sources, profiles = pilot_tables(spark)
+    with pytest.raises(pilot.Refused, match="record"):
+        pilot.Pilot(spark, str(tmp_path / "p")).create(proposals, records.where("source_key != '9'"), sources, profiles, 5)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tomeforge.operators import audit, catalog, hashtree, records
+from tomeforge.operators import audit, catalog, hashtree, pilot, records
 from tomeforge.operators.graph import own_folder
 from tomeforge.plans import base
 from tomeforge.plans.base import KB, query
@@ -49,7 +49,7 @@ def quote_errors(table, spark):
 
 
 SNAPSHOT_SQL = f"""
-with {KB}, p as (select l_orderkey * 10 + l_linenumber as id, l_partkey as a, case when l_quantity > 40 then null else l_suppkey end as b, l_extendedprice as score from lineitem where l_partkey % 4 <> 0),
+with {KB}, p as (select l_orderkey * 10 + l_linenumber as id, l_partkey as a, case when l_quantity > 40 then null else l_suppkey end as b, l_extendedprice as score from lineitem where l_linestatus = 'O'),
 best as (select * from p where a in (select id from records where universe <> 'en') order by score desc, a, id limit 500), ids as (select distinct x as id from (select a as x from best union all select b from best) where x is not null),
 s as (select source as source_id, 'title ' || source as title from documents group by source)
 select i.id, r.id is not null as found, r.source_id, s.title, p.hull from ids i left join records r on r.id = i.id left join s on s.source_id = r.source_id left join profiles p on p.version_id = r.current_version
@@ -59,7 +59,7 @@ select i.id, r.id is not null as found, r.source_id, s.title, p.hull from ids i
 @query(SNAPSHOT_SQL)
 def pilot_snapshot(table, spark):
     """Records at both ends of the best proposals in a scope, with source and profile."""
-    li = table("lineitem").where("l_partkey % 4 != 0")
+    li = table("lineitem").where("l_linestatus = 'O'")  # open ones are pending
     p = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("a"), F.when(F.col("l_quantity") <= 40, F.col("l_suppkey")).alias("b"), F.col("l_extendedprice").alias("score"))
     r = base.records(table)
     s = table("documents").select(F.col("source").alias("source_id")).distinct().withColumn("title", F.concat(F.lit("title "), "source_id"))
@@ -200,3 +200,38 @@ def corpus_errors(table, spark):
     resources = table("documents").select((d % 23).alias("n"), png.alias("file")).distinct()
     files = resources.where("n < 20").select("file", F.when(F.col("n") % 6 == 5, "other").otherwise("sha").alias("sha256"), (F.col("n") == 4).alias("linked"))
     return hashtree.corpus_errors(catalog_, publications, u.select("source", "unit", "sha256"), shown, built, links, resources.select("file", F.lit("sha").alias("sha256")), files)
+
+
+PILOT_SQL = """
+with r as (select doc_id, 'rec-' || substr(sha256(doc_id::varchar), 1, 16) as id, source, sha256('name ' || doc_id || chr(10) || coalesce(lang, '') || chr(10) || coalesce(text, '')) as version, lang from documents),
+p as (select x.id as a, y.id as b, max(l_extendedprice) as score from lineitem join r x on x.doc_id = l_partkey left join r y on y.doc_id = l_suppkey where l_linestatus = 'O' and x.lang <> 'en' group by 1, 2),
+j as (select *, 'job-' || substr(sha256('same|' || a || '|' || coalesce(b, '')), 1, 16) as id from p), best as (select * from j order by score desc, a, id limit 300),
+ids as (select a as id from best union select b from best where b is not null), held as (select r.* from r join ids using (id))
+select 'jobs' as "table", id, null as version from best
+union all select 'records', id, version from held
+union all select 'sources', source, null from (select distinct source from held where source is not null)
+union all select 'profiles', version, null from held where doc_id % 4 = 0
+"""
+
+
+@query(PILOT_SQL)
+def pilot_copy(table, spark):
+    """A snapshot that is written once, and opened again with its identities, versions, jobs and digests checked."""
+    d = table("documents")
+    name = F.concat(F.lit("name "), F.col("doc_id").cast("string"))
+    records_ = d.select(
+        pilot.record_id(F.col("doc_id")).alias("id"), F.col("doc_id").cast("string").alias("source_key"), F.col("source").alias("source_id"), name.alias("name"), F.col("lang").alias("universe"), F.col("text").alias("body"),
+        pilot.version_of(name, F.col("lang"), F.col("text")).alias("current_version"),
+    )
+    known = lambda key, to: records_.select(F.col("source_key").cast("long").alias(key), F.col("id").alias(to))
+    pairs = table("lineitem").join(known("l_partkey", "a"), "l_partkey").join(known("l_suppkey", "b"), "l_suppkey", "left")
+    status = F.when(F.col("l_linestatus") == "O", "pending").otherwise("accepted")
+    proposals = pairs.groupBy("a", "b", status.alias("status")).agg(F.max("l_extendedprice").alias("score")).withColumn("task", F.lit("same"))
+    proposals = proposals.withColumn("id", pilot.job_id(F.col("task"), F.col("a"), F.col("b")))
+    sources = d.where("source is not null").select(F.col("source").alias("source_id")).distinct().withColumn("title", F.concat(F.lit("title "), "source_id"))
+    profiles = records_.where("cast(source_key as long) % 4 = 0").select(F.col("current_version").alias("version_id"), F.lit("{}").alias("stats"))
+    folder = own_folder(spark, "pilot")
+    pilot.Pilot(spark, folder).create(proposals, records_, sources, profiles, 300, records_.where("universe != 'en'"))
+    held = pilot.Pilot(spark, folder).open()
+    rows = lambda name, id_, version=None: held[name].select(F.lit(name).alias("table"), F.col(id_).alias("id"), (F.col(version) if version else F.lit(None).cast("string")).alias("version"))
+    return rows("jobs", "id").union(rows("records", "id", "current_version")).union(rows("sources", "source_id")).union(rows("profiles", "version_id"))

@@ -84,11 +84,12 @@ class Versions:
         """The columns that are written: of text tables `value` alone, whatever they are ordered by."""
         return ["value", "part"] if kind == "text" else [*(c for c in rows.columns if c != "part"), "part"]
 
-    def commit(self, tables: dict[str, tuple[DataFrame | Callable, list[int] | None, list[str]]], based_on: int, more: dict | None = None, kind: str = "parquet") -> int:
+    def commit(self, tables: dict[str, tuple[DataFrame | Callable, list[int] | None, list[str]]], based_on: int, more: dict | Callable | None = None, kind: str = "parquet") -> int:
         """The next version: of each table the new rows of some parts (all: None), which replace the parts, sorted by some columns.
 
         Rows have an int column `part`. They are spread by ranges of part and order, so that a large part is
-        many files. `kind` is parquet, or text for lines of a column `value`. A function instead of rows gets the new rows of the tables before it, read from where they were written.
+        many files. `kind` is parquet, or text for lines of a column `value`. A function instead of rows gets the new rows of the tables before it, read from where they were written;
+        one instead of `more`, which the manifest says besides, gets those of all tables.
         """
         version = based_on + 1
         if self.number() != based_on:
@@ -109,5 +110,5 @@ class Versions:
             schema = StructType([rows.schema[c] for c in self._stored(rows, kind)])
             done[name] = self.spark.read.schema(schema).format(kind).load(place) if made else self.spark.createDataFrame([], schema)
             held[name] = {"parts": kept | {str(p): stamp for p in made}, "schema": schema.jsonValue(), "format": kind}
-        self.write_text(f"{self.folder}/manifest/{version:08}.json", json.dumps({"version": version, "tables": held} | (more or {})))
+        self.write_text(f"{self.folder}/manifest/{version:08}.json", json.dumps({"version": version, "tables": held} | ((more(done) if callable(more) else more) or {})))
         return version
