@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeforge.plans import base, corpus, curating, integrity, jobs, knowledge, site, stores  # noqa: F401  each registers its queries
+from tomeforge.plans import base, corpus, curating, integrity, jobs, knowledge, site, stores, validity  # noqa: F401  each registers its queries
 
 FLAGSHIP = "corpus_catalog"
 

@@ -176,7 +176,7 @@ select id, rule from (select c_custkey as id, unnest([case when not (c_acctbal >
 
 @query(RULES_SQL)
 def broken_rules(table, spark):
-    """V2, V8: row rules, one row for each that is broken."""
+    """Extra: rules of a table as expressions, one row for each that a row breaks (V2 and V8 are in validity.py)."""
     rules = {"balance": F.col("c_acctbal") >= 0, "nation": F.col("c_nationkey").between(0, 20), "name": F.length("c_name").between(1, 17)}
     return audit.rule_breaks(table("customer").withColumnRenamed("c_custkey", "id"), "id", rules)
 
