@@ -62,7 +62,7 @@ def test_quote_pieces():
 
 def test_units_partition(spark):
     text = "A long sentence. " * 250 + "\n\nSecond paragraph.\n \n\n third"
-    units = one(spark, tx.paragraph_units(F.col("t")), t=text)
+    units = tx.paragraph_rows(spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string"), "k", "t").orderBy("n").collect()
     assert "".join(u.body for u in units) == text and len(units) == 3
     assert all(text[u.start : u.end] == u.body for u in units)
 
@@ -80,13 +80,24 @@ def test_links_and_paths(spark):
 
 
 def test_stat_fields(spark):
-    got = one(spark, rec.stat_fields("t"), t=json.dumps({"stats": {"DEX": "3D"}, "a/b": 1, "weapons": {"damage": "4D"}}))
+    got = one(spark, rec.stat_fields(F.col("t")), t=json.dumps({"stats": {"DEX": "3D"}, "a/b": 1, "weapons": {"damage": "4D"}}))
     assert [(r.field, r.source_path, r.unit, r.total_pips) for r in got] == [("attribute.dexterity", "/stats/DEX", "dice", 9)]
-    assert one(spark, rec.stat_fields("t"), t="not json") == []
+    assert one(spark, rec.stat_fields(F.col("t")), t="not json") == []
     deep = {"hull": 1}
     for _ in range(7):
         deep = {"stats": deep}
-    assert one(spark, rec.stat_fields("t"), t=json.dumps(deep)) == []
+    assert one(spark, rec.stat_fields(F.col("t")), t=json.dumps(deep)) == []
+    for _ in range(2):
+        deep = deep["stats"]
+    whole = {"Force": {"Hull ": None, "zz": 1, "~a/Cost": [1], "S p a c e": 2.5, "Data": deep}, "hull": "x", "Stats": "3D", "attrs": {"Dextérité": "10d + 2", "STRENGTH": True, "str": {"hull": 1}}, "é": 1, "~/Price": "4D+1"}
+    got = [(r.field, r.source_path, r.unit, r.value_raw, r.total_pips) for r in one(spark, rec.stat_fields(F.col("t")), t=json.dumps(whole))]
+    assert got == [
+        ("hull", "/Force/Hull ", "source_value", "null", None), ("speed.space", "/Force/S p a c e", "source_value", "2.5", None), ("hull", "/hull", "source_value", "x", None),
+        ("attribute.strength", "/attrs/STRENGTH", "source_value", "true", None), ("cost", "/~0~1Price", "dice", "4D+1", 13),
+    ]
+    assert one(spark, rec.stat_fields(F.col("t")), t=json.dumps({"data": {"system": {"hull": 7}}}))[0].source_path == "/data/system/hull"
+    for t in ('[{"hull": 1}]', '"hull"', "", '{"hull": 1, "hull": 2}', "null", None):
+        assert one(spark, rec.stat_fields(F.col("t")), t=t) == []
 
 
 def test_category_kind(spark):
@@ -197,13 +208,13 @@ def test_a_card_of_a_megabyte():
 
 
 def test_blocks_of_cards_and_other_texts(spark):
-    from tomeforge.functions.text import paragraph_units
+    from tomeforge.functions.text import paragraph_rows
     from tomeforge.operators.blocks import coherent_blocks
 
     long = '{"a": [' + ", ".join(["1000"] * 50) + '], "b": "x"}'
     rows = [(1, long), (2, '{"a": 1}'), (3, long[:-1] + ",}"), (4, "# Head\n\nMove\n\n10\n\nA sentence here."), (5, None), (6, "")]
     got = {}
-    for r in coherent_blocks(spark.createDataFrame(rows, "id int, text string"), "id", "text", paragraph_units, 100).orderBy("id", "block").collect():
+    for r in coherent_blocks(spark.createDataFrame(rows, "id int, text string"), "id", "text", paragraph_rows, 100).orderBy("id", "block").collect():
         got.setdefault(r.id, []).append(r)
     assert {k: "".join(r.body for r in v) for k, v in got.items()} == {k: t for k, t in rows if t}
     assert [r.path for r in got[1]] == ["/a/0", "/a/15", "/a/31", "/a/47", "/b"] and [r.path for r in got[2]] == [None]

@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tomeforge.functions.text import paragraph_units
+from tomeforge.functions.text import paragraph_rows
 from tomeforge.operators import audit, blocks, catalog, coverage, curation, graph, progress
 from tomeforge.sources import files
 from tomeforge.sources.html_markdown import to_markdown
@@ -199,8 +199,11 @@ def test_optimistic_writes(spark):
     writes = spark.createDataFrame([(1, 1, rev("one"), "uno"), (1, 2, rev("one"), "eins"), (1, 3, rev("uno"), "un"), (2, 1, rev("two"), ""), (2, 2, None, "zwei"), (3, 1, rev("x"), "y")], "id int, seq int, expected string, body string")
     done = records.optimistic_writes(now, writes, F.col("body") != "")
     assert [(r.id, r.seq, r.status) for r in done.orderBy("id", "seq").collect()] == [(1, 1, "saved"), (1, 2, "conflict"), (1, 3, "conflict"), (2, 1, "invalid"), (2, 2, "conflict"), (3, 1, "unknown")]
-    after, backup = records.saved_rows(now, done)
+    after, backup, unclear = records.saved_rows(now, writes, done)
+    assert unclear.count() == 0
     assert {(r.id, r.body) for r in after.collect()} == {(1, "uno"), (2, "two")} and [(r.id, r.body) for r in backup.collect()] == [(1, "one")]
+    twice = now.union(now.where("id = 1"))
+    assert [r.id for r in records.saved_rows(twice, writes, done)[2].collect()] == [1] and records.saved_rows(twice, writes, done)[1].count() == 0
 
 
 def test_coherent_blocks(spark):
@@ -212,7 +215,7 @@ def test_coherent_blocks(spark):
         4: ["short"],
     }
     rows = [(k, "".join(v)) for k, v in texts.items()] + [(5, ""), (6, None)]
-    made = blocks.coherent_blocks(spark.createDataFrame(rows, "key long, text string"), "key", "text", paragraph_units, target=33)
+    made = blocks.coherent_blocks(spark.createDataFrame(rows, "key long, text string"), "key", "text", paragraph_rows, target=33)
     got = {}
     for r in made.orderBy("key", "block").collect():
         got.setdefault(r.key, []).append(r.body)

@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -118,13 +118,15 @@ def quote_units(text: pd.Series) -> pd.Series:
     return text.map(quote_pieces)
 
 
-_STRETCH = re.compile(r"(?s).+?(?:\n\s*\n|\Z)", re.A)
+def paragraph_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n, body, start, end) of a text's stretches, which end behind blank lines and together are the text; keys are unique.
 
-
-@pandas_udf(T.ArrayType(T.StructType([T.StructField("body", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def paragraph_units(text: pd.Series) -> pd.Series:
-    """{body, start, end} of stretches that end behind blank lines; together they are the text."""
-    return text.map(lambda x: None if x is None else [{"body": m[0], "start": m.start(), "end": m.end()} for m in _STRETCH.finditer(x)])
+    Offsets are a running sum of the stretches' lengths.
+    """
+    stretches = F.regexp_extract_all(F.col(text), F.lit(r"(?s).+?(?:\n\s*\n|\z)"), F.lit(0))
+    rows = texts.select(key, F.posexplode(stretches).alias("n", "body"))
+    end = F.sum(F.length("body")).over(Window.partitionBy(key).orderBy("n"))
+    return rows.select(key, "n", "body", (end - F.length("body")).cast("int").alias("start"), end.cast("int").alias("end"))
 
 
 NATIVE_TEXT_MARKER = "<!-- native-text-supplement: pdf-text-layer; uncorrected -->"

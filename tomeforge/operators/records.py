@@ -7,27 +7,34 @@ from pyspark.sql import functions as F
 
 
 def optimistic_writes(current: DataFrame, writes: DataFrame, valid: Column) -> DataFrame:
-    """current: (id, body); writes: (id, seq, expected, body). Each write with its status and the new revision.
+    """current: (id, body); writes: (id, seq, expected, body). (id, seq, status, revision): each write's status and the new revision.
 
     A revision is the SHA-256 of a body. Of the valid writes that expect a row's revision the first by seq
     is saved; the others find another revision then and are conflicts, as those that expected another one.
-    Writes to ids that aren't there are unknown. saved_rows() gives the table afterwards.
+    Writes to ids that aren't there are unknown. Bodies are hashed where they are read and stay behind;
+    saved_rows() fetches those that are saved.
     """
     held = current.select("id", F.sha2("body", 256).alias("revision"))
-    rows = writes.withColumn("valid", F.coalesce(valid, F.lit(False))).join(held, "id", "left")
+    rows = writes.select("id", "seq", "expected", F.coalesce(valid, F.lit(False)).alias("valid"), F.sha2("body", 256).alias("new")).join(held, "id", "left")
     fits = F.col("expected").eqNullSafe(F.col("revision"))
     first = F.row_number().over(Window.partitionBy("id", "expected", "valid").orderBy("seq")) == 1
     status = F.when(F.col("revision").isNull(), "unknown").when(~fits, "conflict").when(~F.col("valid"), "invalid").when(first, "saved").otherwise("conflict")
     rows = rows.withColumn("status", status)
-    return rows.select("id", "seq", "status", F.when(F.col("status") == "saved", F.sha2("body", 256)).otherwise(F.col("revision")).alias("revision"), "body")
+    return rows.select("id", "seq", "status", F.when(F.col("status") == "saved", F.col("new")).otherwise(F.col("revision")).alias("revision"))
 
 
-def saved_rows(current: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The table after optimistic_writes(), and the bodies that were replaced, to be kept as a backup."""
-    new = done.where("status = 'saved'").select("id", F.col("body").alias("new"))
+def saved_rows(current: DataFrame, writes: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table after optimistic_writes(), the bodies that were replaced, to be kept as a backup, and ids that aren't unique.
+
+    An id that `current` has more than once, or a saved (id, seq) that `writes` has more than once, is named in the third
+    table, and its rows stay as they are.
+    """
+    saved = done.where("status = 'saved'").select("id", "seq")
+    repeated = lambda rows: rows.groupBy(*rows.columns).count().where("count > 1").select("id")
+    unclear = repeated(current.select("id")).union(repeated(writes.select("id", "seq").join(saved, ["id", "seq"], "left_semi"))).distinct()
+    new = writes.join(saved.join(unclear, "id", "left_anti"), ["id", "seq"], "left_semi").select("id", F.col("body").alias("new"))
     both = current.join(new, "id", "left")
-    after = both.select("id", F.coalesce("new", "body").alias("body"))
-    return after, both.where("new is not null").select("id", "body")
+    return both.select("id", F.coalesce("new", "body").alias("body")), both.where("new is not null").select("id", "body"), unclear
 
 
 def quote_errors(quotes: DataFrame) -> DataFrame:

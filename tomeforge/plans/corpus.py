@@ -273,10 +273,12 @@ select doc_id, count(*) as units, max(stop) as total, sha256(string_agg((stop -
 @query(UNITS_SQL)
 def unit_partition(table, spark):
     """units put together are the text, and each is the text at its offsets."""
-    d = table("documents").where("text != ''").select("doc_id", "text", tx.paragraph_units(F.col("text")).alias("u"))
-    told = F.transform("u", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), F.sha2(x["body"], 256)))
-    d = d.where(F.array_join(F.transform("u", lambda x: F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"])), "") == F.col("text"))
-    return d.select("doc_id", F.size("u").cast("long").alias("units"), F.element_at("u", -1)["end"].cast("long").alias("total"), F.sha2(F.array_join(told, ","), 256).alias("digest"))
+    d = table("documents").where("text != ''").select("doc_id", "text")
+    rows = tx.paragraph_rows(d, "doc_id", "text")
+    told = F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"), F.sha2("body", 256)).alias("told")
+    held = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "end", told, "body"))).alias("u"))  # one text's units
+    whole = held.join(d, "doc_id").where(F.array_join("u.body", "") == F.col("text"))  # a text whose units aren't the text is missing
+    return whole.select("doc_id", F.size("u").cast("long").alias("units"), F.element_at("u", -1)["end"].cast("long").alias("total"), F.sha2(F.array_join("u.told", ","), 256).alias("digest"))
 
 
 CARDS = "case when doc_id % 9 = 0 then '{\"name\": \"' || source || '\",' || chr(10) || chr(10) || '\"move\": 10}' when doc_id % 4 = 0 then '# ' || source || chr(10) || chr(10) || 'Move' || chr(10) || chr(10) || doc_id % 20 || chr(10) || chr(10) || repeat('Skill: 3D+1' || chr(10) || chr(10), 1 + cast(doc_id % 300 as int)) || text else text end"
@@ -301,7 +303,7 @@ select doc_id, cast(block as bigint) as block, cast(min(start) as bigint) as sta
 def coherent_blocks(table, spark):
     """blocks of headings with content, runs of labels and values, narrative units and JSON cards."""
     d = table("documents").where("text != ''").select("doc_id", F.expr(CARDS.replace("chr(10)", "char(10)")).alias("text"))
-    rows = blocks.coherent_blocks(d, "doc_id", "text", tx.paragraph_units)
+    rows = blocks.coherent_blocks(d, "doc_id", "text", tx.paragraph_rows)
     return rows.select("doc_id", "block", "start", "end", "units", F.sha2("body", 256).alias("sha256"))
 
 
@@ -367,7 +369,7 @@ def card_paths(table, spark):
     n = (40 + F.col("doc_id") % 200).cast("int")
     rows = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), row), ",")
     d = d.select("doc_id", F.concat(F.lit('{"name":"'), "source", F.lit('","rows":['), rows, F.lit("]}")).alias("text"))
-    found = blocks.coherent_blocks(d, "doc_id", "text", tx.paragraph_units)
+    found = blocks.coherent_blocks(d, "doc_id", "text", tx.paragraph_rows)
     joined = found.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "body"))), lambda b: b["body"]), "").alias("joined"))
     same = d.join(joined, "doc_id").where("joined = text").select("doc_id")  # a card whose blocks aren't the card is missing
     return found.join(same, "doc_id").select("doc_id", "block", "path", "start", "end", "units")
