@@ -120,8 +120,8 @@ def test_shared_lines_are_a_longest_common_subsequence():
 
 def test_lines_of_a_page():
     page = '<title>t</title><body><nav><ul><li><a>x</a><li>y</ul></nav><div class="ad">buy</div><script>var t="</p>";</script><article><h1>T &amp; a</h1><p><b>One<br>two<p>thr<i>ee</i></p><div class="comments"><p>hi</div></article><!-- <p>no</p> --><p>out<footer>&copy; z'
-    assert html_lines.lines(page) == [("x", 2), ("y", 2), ("buy", 2), ("T & a", 1), ("One", 1), ("two", 1), ("three", 1), ("hi", 2), ("out", 0), ("© z", 2)]
-    assert html_lines.lines("") == [] and html_lines.lines("a < b <i>c</i> &am") == [("a < b c &am", 0)]
+    assert [x[:2] for x in html_lines.lines(page)] == [("x", 2), ("y", 2), ("buy", 2), ("T & a", 1), ("One", 1), ("two", 1), ("three", 1), ("hi", 2), ("out", 0), ("© z", 2)]
+    assert html_lines.lines("") == [] and html_lines.lines("a < b <i>c</i> &am") == [("a < b c &am", 0, False)]
 
 
 def test_pages_are_differenced(spark):
@@ -220,3 +220,54 @@ def test_repeated_lines_go_by_place(spark):
     rows = [(1, "http://h.org/a", "<p>same<p>one<p>same"), (2, "http://h.org/b", "<p>two<p>same"), (3, "http://h.org/c", "<main><p>three<article><p>same</article></main>")]
     got = {r.page_id: r.text for r in main_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got in ({1: "same one", 2: "two", 3: "same"}, {1: "one same", 2: "two", 3: "same"})
+
+
+WHOLE = "<p>The one text of it.</p><p>And more of that.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="single sidebar-right"><article>{}</article>', '<html class="no-js menu-closed"><body><article>{}</article>', "<body><form><nav>x</nav><article>{}</article></form>", "<body><form><nav>x</nav><main>{}</main></form>",
+        '<div class="sidebar layout"><div id="menu"><article>{}</article></div></div>', '<article><div class="share-price">{}</div></article>', '<article><section class="notice-of-meeting">{}</section></article>',
+        '<div class="sidebar"><article>A teaser that is by far the longest of all the texts that stand in this page.</article></div><article>{}</article>', '<article>{}<div class="comments"><p>Me too</p></div><footer>By one</footer><div class="share-links"><a>Send</a></div></article>',
+        '<article>{}<div class="ad-by-us"><a>Buy this now</a></div></article>', '<div class="header"><main>{}</main></div>', '<div class="menu">{}</div>', "<form>{}</form>", '<div class="page-header">{}</div>',
+    ],
+)
+def test_marks_do_not_empty_a_page(spark, page):
+    rows = spark.createDataFrame([(1, "http://h.org/a", page.format(WHOLE))], "page_id long, url string, html string")
+    assert main_text.extracted(rows).first().text == "The one text of it. And more of that."
+
+
+def test_titles_stay_and_teasers_go(spark):
+    page = '<header><h1>Site</h1></header><article><header class="header"><h1>Title</h1></header>{}</article><aside><article>Teaser</article></aside>'
+    rows = spark.createDataFrame([(1, "http://h.org/a", page.format(WHOLE))], "page_id long, url string, html string")
+    assert main_text.extracted(rows).first().text == "Title The one text of it. And more of that."
+
+
+def test_the_nearest_page_decides_about_hints(spark):
+    page = '<article><p>Shared by both</p><p>Story {0}</p><div class="share-price">Price {1}</div><div class="notice-of-meeting">Always said</div></article>'
+    rows = [(n, f"http://h.org/{n // 2}/{n % 2}", page.format(n, n // 2)) for n in range(6)]
+    got = {r.page_id: r.text for r in main_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"Shared by both Story {n}" for n in range(6)}  # the pair has the price, and every page the notice
+    rows = [(n, f"http://h.org/{n}", page.format(n, n)) for n in range(4)]
+    got = {r.page_id: r.text for r in main_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"Shared by both Story {n} Price {n}" for n in range(4)}
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 50_000 + "</x></y>" * 50_000, "<nav>" * 50_000 + "x", "<form><nav>" * 30_000 + "x", "<article>" * 20_000 + "x"):
+        html_lines.lines(page)
+    assert time.time() - began < 20
+
+
+def test_shared_lines_of_long_pages():
+    rng = random.Random(3)
+    a = [rng.randrange(20_000) for _ in range(20_000)]
+    b = sorted(a, key=lambda x: (x // 50, rng.random()))
+    small = lambda x, y: len(html_lines.shared(x, y))
+    assert small([1, 2, 3, 2, 4, 1, 2], [2, 4, 3, 1, 2, 1]) == 4 and small([5] * 200, [5] * 90) == 90
+    assert 100 < small(a, b) < 20_000
