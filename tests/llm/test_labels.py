@@ -161,9 +161,21 @@ def test_licences(spark, documents, odd, none):
     assert licenses.scanned(none, ["doc_id"]).count() == 0
 
 
+def choices(tokens):
+    """The sets of licences, one of which an expression asks for."""
+    stack = []
+    for x in tokens:
+        if x not in ("or", "and", "with"):
+            stack.append({frozenset([x])})
+        elif len(stack) > 1:
+            b, a = stack.pop(), stack.pop()
+            stack.append(a | b if x == "or" else {p | q for p in a for q in b} if x == "and" else {frozenset(f"{i}-with-{j}" for i in p for j in q) for p in a for q in b})
+    return stack[-1] if stack else set()
+
+
 @pytest.mark.parametrize("text,expected", [("MIT", {("mit",)}), ("(MIT OR Apache-2.0) AND ISC", {("isc", "mit"), ("apache-2.0", "isc")}), ("A AND B OR C", {("a", "b"), ("c",)}), ("GPL-2.0 WITH X-exception */", {("gpl-2.0-with-x-exception",)}), ("MIT OR", {("mit",)}), ("", set()), ("AND", set()), ("((MIT", {("mit",)}), ("MIT Apache", {("mit",)})])
 def test_expressions(text, expected):
-    assert {tuple(sorted(s)) for s in licenses.choices(licenses.postfix(text))} == expected
+    assert {tuple(sorted(s)) for s in choices(licenses.postfix(text))} == expected
 
 
 def test_no_identifier_of_an_expression_is_lost(spark):
@@ -172,4 +184,61 @@ def test_no_identifier_of_an_expression_is_lost(spark):
     rows = [(1, f"SPDX-License-Identifier: {groups}"), (2, f"SPDX-License-Identifier: {many}"), (3, "SPDX-License-Identifier: (GPL-2.0 OR MIT) WITH Classpath AND ISC")]
     got = {r.doc_id: set(r.labels) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
     assert got == {1: {f"{c}{i}" for c in "ab" for i in range(7)}, 2: {f"l{i:03}" for i in range(200)}, 3: {"gpl-2.0-with-classpath", "mit-with-classpath", "isc"}}
-    assert len(licenses.choices(licenses.postfix(groups))) == 128
+    assert len(choices(licenses.postfix(groups))) == 128
+
+
+def made_expression(rng, depth):
+    if depth == 0 or rng.random() < 0.2:
+        return rng.choice("abcde") + rng.choice(["", "", " WITH x"])
+    return f"({made_expression(rng, depth - 1)} {rng.choice(['AND', 'OR'])} {made_expression(rng, depth - 1)})"
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_expressions_are_evaluated(seed):
+    rng = random.Random(seed)
+    for _ in range(150):
+        tokens = licenses.postfix(made_expression(rng, 4))
+        text, wanted = licenses.normal(tokens), choices(tokens)
+        again = licenses.postfix(text)
+        least = lambda found: {c for c in found if not any(d < c for d in found)}
+        assert least(choices(again)) == least(wanted) and licenses.normal(again) == text
+        accepted = set(rng.sample(["a", "b", "c", "d", "e", "a-with-x", "b-with-x"], rng.randrange(7)))
+        leaf = lambda x: x in accepted or (x.endswith("-with-x") and x[0] in accepted)
+        assert licenses.satisfied(tokens, accepted) == any(all(map(leaf, c)) for c in wanted)
+
+
+@pytest.mark.parametrize("text, expected", [("MIT OR GPL-2.0", "gpl-2.0 OR mit"), ("MIT AND GPL-2.0", "gpl-2.0 AND mit"), ("(B OR (A)) AND (A OR B)", "a OR b"), ("C OR (B OR (A OR C))", "a OR b OR c"), ("(A OR B) AND C OR A", "a OR (a OR b) AND c"), ("GPL-2.0 WITH X OR MIT", "gpl-2.0 WITH x OR mit"), ("(A OR B) WITH C", "(a OR b) WITH c"), ("", ""), ("MIT OR", "mit")])
+def test_normal_forms(text, expected):
+    assert licenses.normal(licenses.postfix(text)) == expected
+
+
+def test_long_expressions_are_evaluated_in_time():
+    import time
+
+    began = time.time()
+    for text in (" OR ".join(f"L{i}" for i in range(50_000)), "(" * 20_000 + "A" + "".join(f" {'AND' if i % 2 else 'OR'} L{i})" for i in range(20_000)), " AND ".join(f"(A{i} OR B{i})" for i in range(20_000))):
+        tokens = licenses.postfix(text)
+        assert len(licenses.normal(tokens)) > 20_000 and not licenses.satisfied(tokens, {"a"})
+    assert time.time() - began < 20
+
+
+def test_licence_query(spark, documents):
+    got = {r.doc_id: r for r in licenses.op4_licenses(spark, SF).collect()}
+    words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    named = 0
+    for r in documents.select("doc_id", "text").collect():
+        own = words.findall((r.text or "").translate(LOW))
+        found = [(i, label) for i in range(len(own)) for p, label in phrases.items() if tuple(own[i : i + len(p)]) == p]
+        q = got[r.doc_id]
+        assert (q.n_words, q.n_base, q.base_labels) == (len(own), len(found), ",".join(sorted({x for _, x in found})))
+        assert (q.first_word, q.last_word) == ((min(found)[0], max(found)[0]) if found else (None, None))
+        assert set(q.base_labels.split(",")) <= set(q.labels.split(",")) and 0 <= q.score <= 1 and (q.accepted is None) == (q.expressions == "")
+        named += q.n_base > 0
+    assert named and len(got) == documents.count()
+
+
+def test_evaluated_tags_of_a_text(spark):
+    rows = [(1, "SPDX-License-Identifier: MIT OR GPL-2.0"), (2, "SPDX-License-Identifier: MIT AND GPL-2.0"), (3, "// SPDX-License-Identifier: Apache-2.0\n# SPDX-License-Identifier: ISC OR ISC\n"), (4, "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: AGPL-3.0"), (5, "mit license"), (6, None)]
+    got = {r.doc_id: (r.expressions, r.accepted) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got == {1: (["gpl-2.0 OR mit"], True), 2: (["gpl-2.0 AND mit"], False), 3: (["apache-2.0", "isc"], True), 4: (["agpl-3.0", "mit"], False), 5: ([], None), 6: ([], None)}
