@@ -1,7 +1,9 @@
 """Secrets, languages, licences and toxicity."""
 
+import hashlib
 import random
 import re
+import string
 import zlib
 
 import pytest
@@ -55,6 +57,65 @@ def test_secrets_are_tagged(spark, documents, odd, none):
         assert [(s.start, secrets.KINDS.index(s.kind), s.end) for s in got[n] if s.kind != "tagged"] == brute_base(text)
 
 
+LETTERS = string.ascii_letters + string.digits
+#: Forms that training never makes, with the least share of them that is found.
+HELD_OUT = {
+    "glpat-": (0.6, lambda pick: ("", "glpat-" + pick(LETTERS + "_-", 20), "")),
+    "DB_PASS=": (0.6, lambda pick: ("DB_PASS=", pick(LETTERS, 5) + "!" + pick(LETTERS, 5), "")),
+    "mysql -p": (0.75, lambda pick: ("mysql -u root -p", pick(LETTERS, 10), " shop")),
+    "pin word": (0.8, lambda pick: ("my pin word is ", pick(LETTERS, 9), "")),
+    "AccountKey=": (0.9, lambda pick: ("AccountKey=", pick(LETTERS + "+/", 86) + "==", ";")),
+    "sk_live_": (0.9, lambda pick: ("", "sk_live_" + pick(LETTERS, 24), "")),
+    "uuid": (0.9, lambda pick: ("key: ", "-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), "")),
+    "npm_": (0.9, lambda pick: ("", "npm_" + pick(LETTERS, 36), "")),
+    "SG.": (0.9, lambda pick: ("", "SG." + pick(LETTERS, 22) + "." + pick(LETTERS + "-_", 43), "")),
+    "curl -u": (0.9, lambda pick: ("curl -u admin:", pick(LETTERS, 12), " https://x")),
+    "credential": (0.8, lambda pick: ('"credential": "', pick(LETTERS + "$#", 14), '"')),
+}
+
+
+@pytest.fixture(scope="module")
+def tagger(spark):
+    """Fitted on the texts of a larger table, as in production; the texts for tests aren't among them."""
+    larger = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    return secrets.fitted(larger.where("doc_id % 2 = 0")), [r.text for r in larger.where("doc_id % 2 = 1 and length(text) between 300 and 900").orderBy("doc_id").limit(120).collect()]
+
+
+def test_secrets_of_forms_that_training_lacks(spark, tagger):
+    model, clean = tagger
+    clean = [t for t in clean if not secrets.base(t)][:60]
+    rows, truth, rng = [], {}, random.Random(17)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    for family, (_, made) in HELD_OUT.items():
+        for text in clean:
+            before, value, after = made(pick)
+            start = len(text) + 1 + len(before)
+            truth[len(rows)] = (family, start, start + len(value))
+            rows.append((len(rows), f"{text} {before}{value}{after} the end"))
+    rows += [(-1 - i, text) for i, text in enumerate(clean)]
+    got = {r.doc_id: r.spans for r in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string"), model, ["doc_id"]).collect()}
+    found = {}
+    for n, (family, start, end) in truth.items():
+        found.setdefault(family, []).append(any(s.start < end and s.end > start for s in got[n]))
+    assert {f: (sum(x) / len(x), HELD_OUT[f][0]) for f, x in found.items() if sum(x) < HELD_OUT[f][0] * len(x)} == {}
+    assert sum(bool(got[-1 - i]) for i in range(len(clean))) <= 2
+    ends = [any(s.end == truth[n][2] for s in got[n]) for n in truth if truth[n][0] == "AccountKey="]
+    assert sum(ends) >= 0.9 * len(ends)
+
+
+def test_secret_query(spark, documents):
+    got = {r.doc_id: r for r in secrets.op1_secrets(spark, SF).collect()}
+    assert len(got) == documents.count()
+    for r in documents.select("doc_id", "text").collect():
+        own, q = brute_base(r.text or ""), got[r.doc_id]
+        told = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in own)
+        assert (q.n_assign, q.n_access, q.n_hex) == tuple(sum(k == i for _, k, _ in own) for i in range(3))
+        assert q.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        spans = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in q.spans.split(",") if x)]
+        assert spans == sorted(spans, key=lambda s: (s[0], secrets.KINDS.index(s[1]))) and [s for s in spans if s[1] != "tagged"] == [(a, secrets.KINDS[k], b) for a, k, b in own]
+        assert all(0 <= a < b <= len(r.text) for a, _, b in spans)
+
+
 def test_no_text_to_learn_from(spark, none):
     assert secrets.fitted(none) is None and language.fitted(none) is None
     assert toxicity.fitted(none, spark.createDataFrame([], "doc_id long, toxic int")) is None
@@ -233,7 +294,7 @@ def test_licence_query(spark, documents):
         q = got[r.doc_id]
         assert (q.n_words, q.n_base, q.base_labels) == (len(own), len(found), ",".join(sorted({x for _, x in found})))
         assert (q.first_word, q.last_word) == ((min(found)[0], max(found)[0]) if found else (None, None))
-        assert set(q.base_labels.split(",")) <= set(q.labels.split(",")) and 0 <= q.score <= 1 and (q.accepted is None) == (q.expressions == "")
+        assert {x for x in q.base_labels.split(",") if x} <= set(q.labels.split(",")) and 0 <= q.score <= 1 and (q.accepted is None) == (q.expressions == "")
         named += q.n_base > 0
     assert named and len(got) == documents.count()
 

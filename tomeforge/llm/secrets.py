@@ -2,12 +2,12 @@
 
 Tokens are runs of letters, digits and `_+/-`. Each is tagged as begin, inside or outside of a secret
 from its shape (kinds of characters, length, changes between letters and digits), its first
-characters, neighbouring words, the characters between neighbours, and features of its text; the tags
+characters, neighbouring words and how they end, the characters between neighbours, and features of its text; the tags
 are decoded by Viterbi. The field is fitted on a bounded sample of `sample` documents of at most
 samples.MOST_CHARS characters, into which secrets of many forms, and harmless look-alikes, are put;
 what the patterns find there counts as secret too.
 
-Spans of the patterns stay; a tagged span is added where it overlaps none of them. Offsets are code
+Spans of the patterns stay; a tagged span, with the `=` of base 64 behind it, is added where it overlaps none of them. Offsets are code
 points with an exclusive end. A null or empty text has no spans; very long texts are tagged whole (about
 100 bytes of memory for each byte of the text), in time proportional to their length. An empty table
 gives an empty result. Rows are scanned one by one, so that
@@ -32,6 +32,8 @@ from tomeforge.llm.tables import extended, mapped, table
 from tomeforge.llm.textbytes import Slice, Words, slices, words
 
 BITS = 16
+#: Times that each sampled text is learned from, with other secrets and look-alikes in it.
+COPIES = 3
 SAMPLE = 400
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
@@ -95,14 +97,15 @@ def features(part: Slice, w: Words) -> list[np.ndarray]:
     gap = data[np.maximum(w.start - 1, 0)] * np.uint64(256) + data[np.maximum(w.start - 2, 0)]
     gap_after = data[w.end] * np.uint64(256) + data[w.end + 1]
     odd = (changes >= 3) | (size >= 16)
-    heads, _ = crf.affixes(w, 4)
+    heads, tails = crf.affixes(w, 4)
+    named = np.concatenate([zero, tails[3][:-1]])  # how the word before ends: names like db_pass end alike
     counts = w.counts()
     total = np.concatenate([[0], np.cumsum(odd)])
     file = (np.minimum(total[w.rows[1:]] - total[w.rows[:-1]], 7) * 16).astype(np.uint64) + _bucket(counts // 16)
     file = np.repeat(file, counts)
     odd_value = odd.astype(np.uint64) + np.uint64(1)
     assigned = np.isin(part.data[np.maximum(w.start - 1, 0)], [58, 61]) | np.isin(part.data[np.maximum(w.start - 2, 0)], [58, 61])
-    values = [shape, mostly, heads[3] * odd_value, before * odd_value, after * odd_value, np.concatenate([zero, before[:-1]]) * odd_value, gap * odd_value, gap_after * odd_value, file * odd_value, shape * np.uint64(2) + assigned.astype(np.uint64), before * np.uint64(3) + assigned.astype(np.uint64)]
+    values = [shape, mostly, heads[3] * odd_value, before * odd_value, after * odd_value, np.concatenate([zero, before[:-1]]) * odd_value, gap * odd_value, gap_after * odd_value, file * odd_value, shape * np.uint64(2) + assigned.astype(np.uint64), before * np.uint64(3) + assigned.astype(np.uint64), named * np.uint64(5) + assigned.astype(np.uint64)]
     return [crf.slot(v, k, BITS) for k, v in enumerate(values)]
 
 
@@ -127,8 +130,9 @@ def tagged(part: Slice, w: Words, tags: np.ndarray) -> dict[int, list[tuple[int,
         j = i + 1
         while j < w.rows[row + 1] and tags[j] == INSIDE:
             j += 1
-        zero = at[part.bounds[row]]
-        out.setdefault(row, []).append((int(at[w.start[i]] - zero), int(at[w.end[j - 1]] - zero)))
+        zero, end = at[part.bounds[row]], int(w.end[j - 1])
+        padding = next((n for n in range(2) if end + n >= part.bounds[row + 1] or part.data[end + n] != 61), 2)  # `=` at the end of a secret in base 64
+        out.setdefault(row, []).append((int(at[w.start[i]] - zero), int(at[end] - zero) + padding))
     return out
 
 
@@ -144,20 +148,30 @@ def apart(spans: list[tuple[int, int]], found: list[tuple[int, int, int]]) -> It
 
 
 def _made(rng: random.Random) -> tuple[str, str, str]:
-    """A secret of some form, with what stands before and after it."""
+    """A secret of some form, with what stands before and after it.
+
+    Forms are kinds of shapes and places, not lists of vendors: prefixes, names and commands are drawn letter by letter
+    for the most part, so that the field learns what random characters look like and where secrets stand.
+    """
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
-    letters, safe = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    letters, safe, symbols = string.ascii_letters + digits, string.ascii_letters + digits + "+/", "!@#$%^&*?"
+    word = lambda a, b: pick(lower, rng.randint(a, b))
+    strong = lambda: pick(letters, rng.randint(3, 8)) + rng.choice(symbols) + pick(letters, rng.randint(3, 8)) + rng.choice(["", rng.choice(symbols)])
     value = rng.choice([
-        lambda: pick(letters, rng.randint(12, 40)), lambda: pick("0123456789abcdef", rng.choice([16, 18, 24, 32, 40, 64])),
-        lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "gh" + rng.choice("pousr") + "_" + pick(letters, 36),
-        lambda: "sk-" + pick(letters, rng.randint(20, 48)), lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(letters, 24),
-        lambda: "AIza" + pick(letters + "_-", 35), lambda: "eyJ" + pick(letters, 30) + ".eyJ" + pick(letters, 40) + "." + pick(letters + "_-", 43),
-        lambda: pick(safe, rng.choice([40, 64, 88])), lambda: pick(string.ascii_letters, 5) + rng.choice("!@#$%") + pick(letters, 6),
+        lambda: pick(letters, rng.randint(8, 40)), lambda: pick("0123456789abcdef", rng.choice([16, 18, 24, 32, 40, 64])), lambda: "AKIA" + pick(upper + digits, 16),
+        lambda: word(1, 6) + rng.choice("-_") + pick(letters + rng.choice(["", "-_"]), rng.randint(16, 48)), lambda: word(2, 5) + "_" + word(3, 6) + "_" + pick(letters, rng.randint(16, 40)),
+        lambda: pick(upper, rng.randint(1, 4)) + pick(lower, rng.randint(0, 3)) + pick(letters + "_-", rng.randint(24, 40)), lambda: ".".join([pick(letters, rng.randint(2, 30)), pick(letters, rng.randint(18, 44)), pick(letters + "_-", rng.randint(20, 48))]),
+        lambda: pick(safe, rng.choice([22, 40, 43, 64, 86, 88])) + rng.choice(["", "=", "=="]), strong, strong, lambda: "-".join(pick(rng.choice(["0123456789abcdef", upper + digits]), n) for n in rng.choice([(8, 4, 4, 4, 12), (5, 5, 5, 5), (11, 12, 24)])),
     ])()
-    name = rng.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "pwd", "client_secret", "access_key", "auth", "key", "private_key", "PASSWORD", "Token"])
+    name = rng.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "pwd", "client_secret", "access_key", "auth", "key", "private_key", "PASSWORD", "Token", "passphrase", "login", f"{word(2, 6)}_pass", f"{word(2, 6).upper()}_PWD", f"{word(2, 6).title()}Key", f"{word(2, 5)}_{rng.choice(['key', 'cred', 'auth', 'secret'])}"])
+    short = pick(letters, rng.randint(8, 14))
     return rng.choice([
-        (f"{name}=", value, ""), (f"{name}: ", value, ""), (f'{name} = "', value, '"'), (f"{name}='", value, "'"), (f"export {name.upper()}=", value, ""),
-        ("Authorization: Bearer ", value, ""), (f"https://{pick(string.ascii_lowercase, 6)}:", value, "@host.example.com/db"), ("", value if len(value) > 19 else "AKIA" + pick(string.ascii_uppercase + string.digits, 16), ""),
+        (f"{name}=", value, ""), (f"{name}: ", value, ""), (f'{name} = "', value, '"'), (f"{name}='", value, "'"), (f"export {name.upper()}=", value, ""), (f'"{name}": "', value, '"'), (f"{word(4, 9)}={word(3, 6)};{name}=", value, ";"),
+        ("Authorization: Bearer ", value, ""), (f"https://{word(4, 8)}:", value.replace("/", "x"), "@host.example.com/db"), (f"https://{word(3, 8)}.example.com/{word(4, 9)}/", "/".join([pick(upper + digits, 9), pick(upper + digits, 10), pick(letters, 24)]), ""),
+        (f"{word(3, 6)} -{rng.choice(lower)} {word(3, 6)} -{rng.choice(lower)}", short, f" {word(3, 6)}"), (f"{word(3, 6)} --{rng.choice(['password', 'token', 'secret', 'key', 'pass'])} ", value, ""), (f"{word(3, 6)} -{rng.choice(lower)} {word(3, 7)}:", short, f" https://{word(3, 6)}"),
+        (f"{rng.choice(['the', 'my', 'your', 'our'])} {rng.choice(['password', 'pass word', 'passphrase', 'code', 'login', 'secret', 'access key', word(3, 5) + ' code', word(3, 5) + ' word'])} is {rng.choice(['', 'now ', 'still '])}", rng.choice([short, strong()]), ""),
+        ("", value if len(value) > 19 else "AKIA" + pick(upper + digits, 16), ""), ("", value if len(value) > 19 else word(2, 5) + rng.choice("-_") + pick(letters, 30), ""),
         ("-----BEGIN RSA PRIVATE KEY-----\n", "\n".join(pick(safe, 64) for _ in range(rng.randint(2, 5))), "\n-----END RSA PRIVATE KEY-----"),
     ])
 
@@ -168,19 +182,20 @@ def _harmless(rng: random.Random) -> str:
     return rng.choice([
         lambda: pick(string.digits, rng.randint(1, 12)), lambda: f"20{pick(string.digits, 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"https://www.{pick(low, 8)}.example.org/{pick(low, 5)}/{pick(string.digits, 5)}.html",
         lambda: f"{pick(low, 6)}.{pick(string.digits, 2)}@mail{rng.randint(1, 9)}.example.com", lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)), lambda: pick(low, rng.randint(14, 40)), lambda: pick(string.ascii_uppercase, rng.randint(3, 24)),
-        lambda: f"+{pick(string.digits, 2)} {pick(string.digits, 3)} {pick(string.digits, 7)}", lambda: f"{pick(low, 4).title()}{pick(low, 5).title()}", lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}", lambda: rng.choice(["token", "secret:", "the password is", "key ="]), lambda: f"{pick(low, 5)}-{pick(low, 6)}-{pick(string.digits, 3)}",
+        lambda: f"+{pick(string.digits, 2)} {pick(string.digits, 3)} {pick(string.digits, 7)}", lambda: f"{pick(low, 4).title()}{pick(low, 5).title()}", lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}", lambda: rng.choice(["token", "secret:", "the password is", "key =", "my code is fine", "the login is slow"]), lambda: f"{pick(low, 5)}-{pick(low, 6)}-{pick(string.digits, 3)}",
+        lambda: f"{pick(low, 3)} -{rng.choice(low)} {pick(low, 6)}", lambda: f"{pick(low, 5)}={pick(low, 6)}", lambda: f"{pick(low, 6)}!{pick(low, 5)}", lambda: f"{pick(low, 4)}_{pick(low, 5)}_{pick(low, 6)}", lambda: f"{pick(string.digits, 4)} {pick(string.digits, 4)} {pick(string.digits, 4)} {pick(string.digits, 4)}", lambda: f"/{pick(low, 4)}/{pick(low, 6)}/{pick(low, 5)}.txt", lambda: f"{rng.choice(['the', 'my', 'your'])} {pick(low, 5)} is {pick(low, rng.randint(4, 12))}",
     ])()
 
 
 def fit(texts: list[str], seed: int = 7) -> crf.Model | None:
     rng = random.Random(seed)
     sample, spans = [], []
-    for text in sorted(texts):
+    for text in sorted(texts) * COPIES:
         pieces = text.split(" ")
         made = []
-        for _ in range(rng.choice([0, 1, 2, 3])):
+        for _ in range(rng.choice([0, 2, 4, 8, 12])):
             made.append((rng.randrange(len(pieces) + 1), _made(rng)))
-        made += [(rng.randrange(len(pieces) + 1), (_harmless(rng), "", "")) for _ in range(rng.choice([1, 2, 3]))]
+        made += [(rng.randrange(len(pieces) + 1), (_harmless(rng), "", "")) for _ in range(rng.choice([2, 4, 8, 16]))]
         out, own, at = [], [], 0
         for i, piece in enumerate([*pieces, ""]):
             for _, (before, value, after) in (x for x in made if x[0] == i):
