@@ -95,6 +95,13 @@ def test_rows_of_one_id_with_different_texts(spark):
     assert sorted(r.doc_id or 0 for r in near_duplicates.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 1, 5]
 
 
+def test_one_row_stays_of_each_class(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text), (1, text + " more"), (2, text), (1, "something else"), (3, "alone here"), (3, "alone here"), (None, "x"), (None, "x"), (None, "y")]
+    kept = near_duplicates.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "x"), (0, "y"), (1, "something else"), (3, "alone here")]
+
+
 def test_op3_on_a_small_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
@@ -154,18 +161,18 @@ def test_banded_distance(spark, threshold):
         assert r.d == min(distance(r.a, r.b), threshold + 1), r
 
 
-def kept_lines(rows):
+def kept_lines(rows, least=line_dedup.MIN_CHARS):
     sets, at = Sets(), {}
     lines = [(x.strip(" \t\r"), d, n) for d, t in rows if t is not None and d is not None for n, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[0]) >= line_dedup.MIN_CHARS]
-    distinct = sorted({x for x, _, _ in lines})
+    lines = [x for x in lines if len(x[0]) >= least]
+    distinct = sorted({x for x, _, _ in lines if len(x) >= line_dedup.MIN_CHARS})
     for i, x in enumerate(distinct):
         for y in distinct[i + 1 :]:
             if abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1:
                 sets.join(x, y)
     for x, d, n in lines:
         at[sets.find(x)] = min(at.get(sets.find(x), (d, n)), (d, n))
-    same = lambda d, n, x: len(x.strip(" \t\r")) < line_dedup.MIN_CHARS or at[sets.find(x.strip(" \t\r"))] == (d, n)
+    same = lambda d, n, x: len(x.strip(" \t\r")) < least or at[sets.find(x.strip(" \t\r"))] == (d, n)
     return {d: t if t is None or d is None else "\n".join(x for n, x in enumerate(t.split("\n")) if same(d, n, x)) for d, t in rows}
 
 

@@ -1,6 +1,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from tomeforge.llm import line_dedup
 from tests.llm.test_duplicates import hits, kept_lines, near_classes
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def test_stages_on_a_small_corpus(spark):
         if name == "language":
             assert not {900_001, 900_002} & set(after) and len(after) >= len(before) - 3
         elif name == "lines":
-            assert after == {d: t for d, t in kept_lines(list(before.items())).items() if t}
+            assert after == {d: t for d, t in kept_lines(list(before.items()), line_dedup.ALL_LINES).items() if t}
         elif name == "near_duplicates":
             assert set(after) == set(near_classes(list(before.items())).values())
         else:

@@ -241,9 +241,12 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def representatives(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class with all its columns; rows without doc_id stay, but for equal rows."""
+    """One row of each class with all its columns: of its least doc_id the least text; rows without doc_id stay, but for equal texts."""
     gone = classes(documents, threshold).where("class_id != doc_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns).dropDuplicates(["doc_id", "text"])
+    kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("own_")
+    first = kept.groupBy("doc_id", own).agg(F.min_by(F.struct(*documents.columns), F.struct(F.col("text").isNull(), F.col("text"))).alias("row_"))
+    return first.select("row_.*")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

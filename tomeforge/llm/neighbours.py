@@ -146,6 +146,9 @@ class MultiIndex:
             a, b = self.scores(q)
             sums = a[first] + b[second]
             down_to = np.sort(sums)[::-1]
+            if not len(own):  # nothing but the query itself: every share finds it all
+                found += 1
+                continue
             for i, share in enumerate(SHARES):
                 found[i] += (sums[own] >= down_to[max(0, int(share * len(sums)) - 1)]).mean()
         return next((share for share, n in zip(SHARES, found, strict=True) if n >= TARGET * len(queries)), 1.0)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -65,11 +68,27 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         removed(spark, path)
 
 
+def _give_back() -> None:
+    """Returns freed memory of this process to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
-    """df.mapInArrow in batches of a bounded size; the session keeps the bound for what comes after."""
+    """df.mapInArrow in batches of a bounded size; the session keeps the bound for what comes after.
+
+    Workers are used again by later stages, so each task gives back what it has freed.
+    """
+
+    def task(batches):
+        yield from run(batches)
+        _give_back()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 def free_name(df: DataFrame, name: str) -> str:
