@@ -43,8 +43,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that an earlier document, or an earlier place, has; a text that loses all goes."""
-    rows = line_dedup.deduplicated(docs).select(*docs.columns)
+    """Texts without lines that an earlier document, or an earlier place, has, compared as op9 does (ALL_LINES); a text that loses all goes."""
+    rows = line_dedup.deduplicated(docs, line_dedup.ALL_LINES).select(*docs.columns)
     return _resized(rows.where("text is null or text != ''"))
 
 
