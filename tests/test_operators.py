@@ -222,3 +222,17 @@ def test_coherent_blocks(spark):
         assert dict(rows)[r.key][r.start : r.end] == r.body
     assert got[2] == texts[2] and got[4] == texts[4] and got[3] == texts[3] and set(got) == {1, 2, 3, 4}
     assert "".join(got[1]) == dict(rows)[1] and got[1][:2] == texts[1][:2] and got[1][2].startswith("Move\n\n10\n\nSkill")
+
+
+def test_paragraph_additions(spark):
+    rows = [
+        ("e", 1, 0, 1, "A  ship.", True, None, 10), ("e", 2, 1, 1, "a ship.", False, [0.1], 10), ("e", 2, 1, 2, "Previous page", False, [0.9], 10), ("e", 2, 1, 3, "New.", False, [0.95, 0.8], 10),
+        ("e", 3, 2, 1, "Told.", False, [0.9, 0.81], 10), ("e", 3, 2, 2, "Told.", False, [0.2], 10), ("e", 3, 2, 3, "Told.", False, [0.9], 10), ("e", 3, 2, 4, "Long.", False, [0.9], 2049), ("e", 3, 2, 5, "Half.", False, [0.9, None], 10), ("e", 3, 2, 6, "None.", False, [], None), ("f", 4, 0, 1, "New.", False, [0.99], 10),
+    ]
+    frame = spark.createDataFrame(rows, "entity string, document int, rank int, position int, text string, is_reference boolean, scores array<double>, context_tokens int")
+    got = curation.paragraph_additions(frame, F.lower("text") == "previous page").orderBy("entity", "document", "position").collect()
+    assert [(r.number, r.status, r.reason) for r in got] == [
+        ("P00001", "reference", "reference"), ("P00001", "skip_redundant", "exact_copy"), ("P00002", "metadata", "metadata"), ("P00003", "add", "adds"), ("P00001", "skip_redundant", "scored"), ("P00002", "add", "adds"),
+        ("P00003", "skip_redundant", "exact_copy"), ("P00004", "add_uncertain", "context_too_long"), ("P00005", "add_uncertain", "unanswered"), ("P00006", "add_uncertain", "unanswered"), ("P00001", "skip_redundant", "scored"),
+    ]
+    assert tuple(got[1].covered_by) == (1, 1) and tuple(got[6].covered_by) == (3, 2)

@@ -88,3 +88,36 @@ def contained_blocks(old: DataFrame, new: DataFrame) -> DataFrame:
     holds = (F.col("new_start") <= F.col("start")) & (F.col("end") <= F.col("new_end"))
     joined = old.join(b, "doc", "left")
     return joined.groupBy("doc", "block").agg(F.count_if(holds).alias("holders"))
+
+
+#: Tokens of a question's context above which it isn't asked (a fixed value).
+CONTEXT_TOKENS = 2048
+
+
+def paragraph_additions(paragraphs: DataFrame, metadata: Column) -> DataFrame:
+    """paragraphs: entity, document, rank (of the document), position, text, is_reference, scores, context_tokens. Each with its number, status, reason, sha256 and covered_by.
+
+    In order of rank, document and position: `metadata` where the condition holds; `reference` in a reference document; skip_redundant
+    as a copy, but for wrapping and case, of a paragraph of the entity that was kept before (covered_by names the first
+    one), or if every unit's score is strictly above THRESHOLD; add_uncertain if the context is too long to be asked about or a unit has
+    no score; else add. A paragraph that was skipped for its score covers no copy of it.
+    """
+    place = F.struct("rank", "document", "position")
+    digest = F.sha2(collapsed(F.col("text")), 256)
+    rows = paragraphs.withColumns({"metadata_": F.coalesce(metadata, F.lit(False)), "digest_": digest, "place_": place})
+    known = F.coalesce(F.size("scores") > 0, F.lit(False)) & F.coalesce(F.forall("scores", lambda s: s.isNotNull()), F.lit(False))
+    too_long = F.coalesce(F.col("context_tokens") > CONTEXT_TOKENS, F.lit(False))
+    redundant = known & ~too_long & F.coalesce(F.forall("scores", lambda s: s > THRESHOLD), F.lit(False))
+    kept = ~F.col("metadata_") & (F.coalesce("is_reference", F.lit(False)) | ~redundant)
+    first = rows.where(kept).groupBy("entity", "digest_").agg(F.min("place_").alias("first_"))
+    rows = rows.join(first, ["entity", "digest_"], "left")
+    copy = F.coalesce(F.col("place_") > F.col("first_"), F.lit(False))
+    reason = (
+        F.when(F.col("metadata_"), "metadata").when(F.coalesce("is_reference", F.lit(False)), "reference").when(copy, "exact_copy")
+        .when(too_long, "context_too_long").when(~known, "unanswered").when(redundant, "scored").otherwise("adds")
+    )
+    rows = rows.withColumn("reason", reason)
+    status = F.when(F.col("reason").isin("metadata", "reference"), F.col("reason")).when(F.col("reason").isin("exact_copy", "scored"), "skip_redundant").when(F.col("reason") == "adds", "add").otherwise("add_uncertain")
+    number = F.format_string("P%05d", F.row_number().over(Window.partitionBy("entity", "document").orderBy("position")))
+    covered = F.when(F.col("reason") == "exact_copy", F.struct(F.col("first_.document").alias("document"), F.col("first_.position").alias("position")))
+    return rows.select("entity", "document", "position", number.alias("number"), status.alias("status"), "reason", F.sha2("text", 256).alias("sha256"), covered.alias("covered_by"))

@@ -145,6 +145,30 @@ def numbered_paragraphs(table, spark):
     return curation.numbered_paragraphs(p, "doc_id", "position", "t")
 
 
+ADDITIONS_SQL = f"""
+with p as (select source as entity, doc_id as document, unnest(range(1, len(string_split(text, chr(10))) + 1)) as position, unnest(string_split(text, chr(10))) as t from documents where text is not null and source is not null),
+q as (select *, {COLLAPSED.format('t')} as form, document % 20 = 0 as ref, {COLLAPSED.format('t')} in ('', 'previous page') as meta, case when document % 3 = 1 then null when document % 3 = 0 then least(0.9, case when position % 4 = 0 then 0.8 else 0.95 end) else 0.5 end as score, position * 150 > 2048 as long from p),
+k as (select *, not meta and (ref or not (score is not null and not long and score > 0.8)) as kept from q),
+f as (select entity as fe, form as ff, min((document, position)) as first from k where kept group by 1, 2),
+r as (select k.*, first, case when meta then 'metadata' when ref then 'reference' when (document, position) > first then 'exact_copy' when long then 'context_too_long' when score is null then 'unanswered' when score > 0.8 then 'scored' else 'adds' end as reason from k left join f on fe = entity and ff = form)
+select entity, document, position, 'P' || lpad((row_number() over (partition by entity, document order by position))::varchar, 5, '0') as number,
+    case when reason in ('metadata', 'reference') then reason when reason in ('exact_copy', 'scored') then 'skip_redundant' when reason = 'adds' then 'add' else 'add_uncertain' end as status, reason, case when reason = 'exact_copy' then first[1] || ':' || first[2] end as covered_by from r
+"""
+
+
+@query(ADDITIONS_SQL)
+def paragraph_additions(table, spark):
+    """The paragraph pass over retained documents, with numbers, statuses, reasons and what covers a copy."""
+    d, n = F.col("document"), F.col("position")
+    p = table("documents").where("text is not null and source is not null").select(F.col("source").alias("entity"), F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    p = p.select("entity", "document", d.alias("rank"), (F.col("i") + 1).cast("long").alias("position"), "text")
+    scores = F.when(d % 3 == 1, F.array(F.lit(0.9), F.lit(None).cast("double"))).when(d % 3 == 0, F.array(F.lit(0.9), F.when(n % 4 == 0, 0.8).otherwise(0.95))).otherwise(F.array(F.lit(0.5)))
+    rows = p.withColumns({"is_reference": d % 20 == 0, "scores": scores, "context_tokens": n * 150})
+    found = curation.paragraph_additions(rows, F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).isin("", "previous page"))
+    covered = F.concat(F.col("covered_by.document").cast("string"), F.lit(":"), F.col("covered_by.position").cast("string"))
+    return found.select("entity", "document", "position", "number", "status", "reason", covered.alias("covered_by"))
+
+
 MILESTONES_SQL = "with d as (select count(*) as n from events where event_type <> 'x') select cast(m as bigint) as milestone from (select unnest(range(700, (select n from d) + 1, 700)) as m) where m % 2100 <> 0"
 
 

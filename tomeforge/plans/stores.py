@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tomeforge.operators import index
 from tomeforge.operators.graph import own_folder
 from tomeforge.plans.base import query
-from tomeforge.sources import archives, exports, workbooks
+from tomeforge.sources import archives, exports, files, workbooks
 
 #: Documents in archives of fifty; some names lead out of the folder, some members are links, long ones exceed MEMBER.
 MEMBER = 8000
@@ -230,3 +230,56 @@ def export_manifest(table, spark):
     held, changed = exported(table, spark)
     said = held.store.manifest()["digests"]
     return spark.createDataFrame([(int(p), n, d, int(p) in changed) for p, (n, d) in said.items()], "part int, n_lines long, digest string, rewritten boolean")
+
+
+#: Parts as small images of four formats; some are cut off, declared as another type, or no image.
+IMAGES = """
+i as (select p_partkey as id, p_size + 1 as w, p_partkey % 50 + 1 as h, case when p_partkey % 23 = 5 then 'none' else ['png', 'gif', 'jpeg', 'webp'][p_partkey % 4 + 1] end as form, p_partkey % 17 = 0 and p_partkey % 4 = 0 as cut, p_partkey % 19 = 0 as declared from part),
+b as (select *, unhex(case form when 'png' then '89504E470D0A1A0A0000000D49484452' || printf('%08X', w) || printf('%08X', h) || '08020000000000000000000000494441540000000000000000' || '49454E44' || case when cut then '' else '00000000' end
+    when 'gif' then '474946383961' || printf('%02X', w) || '00' || printf('%02X', h) || '00' when 'jpeg' then 'FFD8FFC0001108' || printf('%04X', h) || printf('%04X', w) || '0301' when 'webp' then '524946460000000057454250565038580000000000000000' || printf('%02X', w - 1) || '0000' || printf('%02X', h - 1) || '0000' else '00' || printf('%08X', id) end) as content from i),
+r as (select id, content, case when form <> 'none' and not cut then 'image/' || form end as type, case when form <> 'none' and not cut then w end as width, case when form <> 'none' and not cut then h end as height, case when form = 'none' then 'unknown' when cut then 'damaged' when declared and form <> 'gif' then 'declared_type' end as problem from b)
+"""
+
+
+def images(table):
+    """(id, content, declared)."""
+    k, w, h = F.col("p_partkey"), F.col("p_size") + 1, F.col("p_partkey") % 50 + 1
+    hexed = lambda n, digits: F.lpad(F.hex(n.cast("long")), digits, "0")
+    cut = F.when((k % 17 == 0) & (k % 4 == 0), "").otherwise("00000000")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed(w, 8), hexed(h, 8), F.lit("0802000000000000000000000049444154000000000000000049454E44"), cut)
+    gif = F.concat(F.lit("474946383961"), hexed(w, 2), F.lit("00"), hexed(h, 2), F.lit("00"))
+    jpeg = F.concat(F.lit("FFD8FFC0001108"), hexed(h, 4), hexed(w, 4), F.lit("0301"))
+    webp = F.concat(F.lit("524946460000000057454250565038580000000000000000"), hexed(w - 1, 2), F.lit("0000"), hexed(h - 1, 2), F.lit("0000"))
+    form = F.when(k % 23 == 5, F.concat(F.lit("00"), hexed(k, 8))).when(k % 4 == 0, png).when(k % 4 == 1, gif).when(k % 4 == 2, jpeg).otherwise(webp)
+    return table("part").select(k.alias("id"), F.unhex(form).alias("content"), F.when(k % 19 == 0, "image/gif").alias("declared"))
+
+
+@query(f"with {IMAGES} select id, type, width, height, problem from r")
+def image_types(table, spark):
+    """Type and size of images by their bytes, and what is wrong with them."""
+    rows = images(table).withColumn("info", files.image_info("content", "declared"))
+    return rows.select("id", "info.type", "info.width", "info.height", "info.problem")
+
+
+@query(f"with {IMAGES} select sha256(content) as sha256, count(*) as origins, min('part-' || id) as first_origin, null::varchar as warning from r where problem is null group by content union all select null, 1, 'part-' || id, problem from r where problem is not null")
+def image_copies(table, spark):
+    """Equal images once with their origins; unreadable ones as warnings."""
+    rows = images(table).select(F.concat(F.lit("part-"), F.col("id").cast("string")).alias("locator"), "content", files.image_info("content", "declared")["problem"].alias("problem"))
+    found = files.equal_images(rows)
+    return found.select("sha256", F.size("origins").cast("long").alias("origins"), F.col("origins")[0].alias("first_origin"), "warning")
+
+
+@query("""
+select 'campaign' as part, n_name as id, sha256('{"format":"tomeforge-export","version":1,"part":"campaign","data":{"id":"' || n_name || '","region":' || n_regionkey || '}}') as sha256 from nation where n_nationkey = 7
+union all select 'entity', s_name, sha256('{"format":"tomeforge-export","version":1,"part":"entity","data":{"id":"' || s_name || '","nation":' || s_nationkey || case when s_suppkey % 4 = 0 then '' else ',"weight":' || (s_suppkey % 4)::varchar || '.5' end || '}}') from supplier
+""")
+def export_bundle(table, spark):
+    """The bundle's lines as they are written; numbers that JSON doesn't have are left out."""
+    folder = own_folder(spark, "bundle")
+    s = F.col("s_suppkey")
+    weight = F.when(s % 8 == 0, float("nan")).when(s % 4 == 0, float("-inf")).otherwise((s % 4).cast("double") + 0.5)
+    campaign = table("nation").where("n_nationkey = 7").select(F.col("n_name").alias("id"), F.col("n_regionkey").alias("region"))
+    entities = table("supplier").select(F.col("s_name").alias("id"), F.col("s_nationkey").alias("nation"), files.finite(weight).alias("weight"))
+    files.export_bundle(campaign, entities, folder)
+    lines = spark.read.text(folder)
+    return lines.select(F.get_json_object("value", "$.part").alias("part"), F.get_json_object("value", "$.data.id").alias("id"), F.sha2("value", 256).alias("sha256"))
