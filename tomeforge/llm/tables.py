@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -70,7 +69,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def _give_back() -> None:
     """Returns freed memory of this process to the system, where the C library can."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
