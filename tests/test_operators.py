@@ -236,3 +236,11 @@ def test_paragraph_additions(spark):
         ("P00003", "skip_redundant", "exact_copy"), ("P00004", "add_uncertain", "context_too_long"), ("P00005", "add_uncertain", "unanswered"), ("P00006", "add_uncertain", "unanswered"), ("P00001", "skip_redundant", "scored"),
     ]
     assert tuple(got[1].covered_by) == (1, 1) and tuple(got[6].covered_by) == (3, 2)
+
+
+def test_milestones_of_many_events(spark):
+    from tomeforge.plans import curating
+
+    events = spark.range(2_102_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 10_000 != 0, "a").alias("event_type"))  # 211 without a type
+    got = {r.milestone for r in curating.milestones(lambda name: events, spark).collect()}
+    assert got == {m for m in range(700, 2_102_000 - 211 + 1, 700) if m % 2100}

@@ -17,8 +17,9 @@ def eta(total: Column, done: Column, per_second: Column) -> Column:
 
 def milestones(done: DataFrame, column: str, every: int, seen: DataFrame) -> DataFrame:
     """Multiples of `every` up to the count in the one row of `done` that `seen` hasn't had."""
-    steps = done.where(F.col(column) >= every).select(F.explode(F.sequence(F.lit(every), (F.floor(F.col(column) / every) * every).cast("int"), F.lit(every))).alias("milestone"))
-    return steps.join(seen.select(F.col("milestone").cast("int").alias("milestone")), "milestone", "left_anti")
+    every = F.lit(every).cast("long")
+    steps = done.where(F.col(column) >= every).select(F.explode(F.sequence(every, F.col(column).cast("long"), every)).alias("milestone"))
+    return steps.join(seen.select(F.col("milestone").cast("long").alias("milestone")), "milestone", "left_anti")
 
 
 def confirmed(samples: DataFrame, stream: str, order: str, reason: str, dedicated_mib: str, real_mib: int = 64) -> DataFrame:

@@ -34,8 +34,9 @@ def progress_sink(folder: str, every: int):
         batch.agg(F.count("*").alias("documents")).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
         done = spark.read.parquet(f"{folder}/counts").where(F.col("batch") <= batch_id).agg(F.sum("documents").alias("done"))
         earlier = spark.read.parquet(f"{folder}/counts").where(F.col("batch") < batch_id).agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("before"))
+        step = F.lit(every).cast("long")
         steps = done.crossJoin(earlier).where(F.col("done") >= every)  # one row beside one row
-        steps = steps.select(F.explode(F.sequence(F.lit(every), (F.floor(F.col("done") / every) * every).cast("int"), F.lit(every))).alias("milestone"), "before").where("milestone > before")
+        steps = steps.select(F.explode(F.sequence(step, F.col("done"), step)).alias("milestone"), "before").where("milestone > before")
         steps.select("milestone").write.mode("overwrite").parquet(f"{folder}/milestones/batch={batch_id}")
 
     return each
