@@ -152,6 +152,26 @@ def test_index_equals_a_scan_after_each_refresh(spark, tmp_path):
     assert {tuple(r) for r in held.store.read("postings", version=1).where("token = 'ship'").select("key").collect()} == {(1,), (5,)}
 
 
+def test_forms_of_tasks_are_those_of_columns(spark):
+    from tomeforge.functions.text import form_of, search_form
+
+    texts = [None, "", " ", *("a%sb" % chr(i) for i in range(1, 0x250)), "Ça, NON — l’été à Ÿ", "é" * 3 + " Ω x1"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", search_form(F.col("t")).alias("f")).collect()
+    assert {r.i: r.f for r in got} == {i: form_of(t) for i, t in enumerate(texts)}
+
+
+def test_index_moves_no_postings(spark, tmp_path):
+    held = index.Index(spark, str(tmp_path / "i"))
+    rows = spark.range(400).select(F.col("id").alias("key"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.concat(F.lit("w"), i.cast("string"), (F.col("id") % 7).cast("string")))).alias("text"))
+    plan = index.postings(rows, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    held.build(rows, 8)
+    assert held.store.read("postings").count() == 400 * 61
+    held.refresh(rows.withColumn("text", F.when(F.col("key") == 3, "w03 w03 new").otherwise(F.col("text"))))
+    found = {(r.token, r.key): r.positions for r in held.store.read("postings").where("key in (3, 4)").collect()}
+    assert len(found) == 2 + 61 and found["w03", 3] == [0, 1] and found["new", 3] == [2] and found["w04", 4] == [0]
+
+
 def test_index_errors(spark, tmp_path):
     held = index.Index(spark, str(tmp_path / "i"))
     held.build(index_rows(spark, TEXTS), 8)

@@ -12,12 +12,16 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Files that a task writes at once at most; of more parts the rest are sorted.
+OPEN_FILES = 256
+
 
 class Conflict(RuntimeError):
     """Another writer has made the version."""
@@ -79,6 +83,17 @@ class Versions:
         inside = StructType([f for f in schema if f.name != "part"])
         return self.spark.read.schema(inside).format(held["format"]).load(where).select(*inside.names, number.alias("part"))
 
+    @contextmanager
+    def _open_files(self) -> Iterator[None]:
+        """Inside, a task keeps the files of up to OPEN_FILES parts open instead of sorting its rows by part."""
+        name = "spark.sql.maxConcurrentOutputFileWriters"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, OPEN_FILES)
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
     @staticmethod
     def _stored(rows: DataFrame, kind: str) -> list[str]:
         """The columns that are written: of text tables `value` alone, whatever they are ordered by."""
@@ -88,7 +103,7 @@ class Versions:
         """The next version: of each table the new rows of some parts (all: None), which replace the parts, sorted by some columns.
 
         Rows have an int column `part`. They are spread by ranges of part and order, so that a large part is
-        many files. `kind` is parquet, or text for lines of a column `value`. A function instead of rows gets the new rows of the tables before it, read from where they were written;
+        many files; with no `order` each task writes the rows that it has, as they come, into files of their parts. `kind` is parquet, or text for lines of a column `value`. A function instead of rows gets the new rows of the tables before it, read from where they were written;
         one instead of `more`, which the manifest says besides, gets those of all tables.
         """
         version = based_on + 1
@@ -100,7 +115,11 @@ class Versions:
         for name, (rows, parts, order) in tables.items():
             rows = rows(done) if callable(rows) else rows
             place = f"{self.folder}/{name}/v={version}-{uuid.uuid4().hex[:8]}"  # another writer's rows lie elsewhere
-            rows.repartitionByRange("part", *order).sortWithinPartitions("part", *order).select(*self._stored(rows, kind)).write.partitionBy("part").format(kind).save(place)
+            if order:
+                rows.repartitionByRange("part", *order).sortWithinPartitions("part", *order).select(*self._stored(rows, kind)).write.partitionBy("part").format(kind).save(place)
+            else:
+                with self._open_files():
+                    rows.select(*self._stored(rows, kind)).write.partitionBy("part").format(kind).save(place)
             made = [int(n[5:]) for n in self._listed(place) if n.startswith("part=")]
             if parts is not None and not set(made) <= set(parts):
                 raise ValueError(f"{name}: rows of parts that aren't replaced")
