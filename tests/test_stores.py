@@ -152,6 +152,15 @@ def test_index_equals_a_scan_after_each_refresh(spark, tmp_path):
     assert {tuple(r) for r in held.store.read("postings", version=1).where("token = 'ship'").select("key").collect()} == {(1,), (5,)}
 
 
+def test_export_makes_chunks_once_and_moves_no_lines(spark, tmp_path):
+    rows = export_lines(spark, {1: 25, 2: 1, 3: 10})
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    held = exports.Export(spark, str(tmp_path / "e"))
+    held.write(rows)
+    assert sorted(r.value for r in held.read().collect()) == sorted(r.value for r in rows.collect()) and held.errors().count() == 0
+
+
 def test_forms_of_tasks_are_those_of_columns(spark):
     from tomeforge.functions.text import form_of, search_form
 

@@ -2,7 +2,8 @@
 
 A node's claims, citations or relations are lines of at most CHUNK items, each with the node, the kind and
 the chunk's number, so that a node with any number of them is never collected. Chunks are counted by
-the items' places in one range sort of all items.
+the items' places in one range sort of all items, and written once as a table of their own; from there each
+task writes its lines into the parts' files without another shuffle.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomeforge.operators.graph import own_folder
 from tomeforge.operators.index import bucket
 from tomeforge.operators.ordered import placed
 from tomeforge.sources.versions import Versions
@@ -23,7 +25,10 @@ def chunked(items: DataFrame, order: list[str], kind: str, chunk: int = CHUNK) -
     first = rows.groupBy("node").agg(F.min("place").alias("first"))
     rows = rows.join(first, "node").withColumn("at", F.col("place") - F.col("first"))
     listed = rows.groupBy("node", F.floor(F.col("at") / chunk).cast("int").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("at", "item"))).alias("held"))  # `chunk` at most
-    return listed.select("node", F.lit(kind).alias("kind"), "chunk", F.col("held.item").alias("items"))
+    path = own_folder(items.sparkSession, f"export-{kind}")  # lines are read for the digests, for ranges and to be written, and by each export
+    made = listed.select("node", F.lit(kind).alias("kind"), "chunk", F.col("held.item").alias("items"))
+    made.write.parquet(path)
+    return items.sparkSession.read.schema(made.schema).parquet(path)
 
 
 def lines(sections: list[DataFrame], parts: int) -> DataFrame:
@@ -59,7 +64,7 @@ class Export:
         old = manifest.get("digests", {})
         changed = sorted(int(p) for p in new.keys() | old.keys() if new.get(p) != old.get(p))
         if changed:
-            self.store.commit({"lines": (rows.where(F.col("part").isin(changed)), changed, ["node", "kind", "chunk"])}, manifest["version"], {"digests": new}, kind="text")
+            self.store.commit({"lines": (rows.where(F.col("part").isin(changed)), changed, [])}, manifest["version"], {"digests": new}, kind="text")
         return changed
 
     def read(self) -> DataFrame:
