@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeforge.functions.batches import bounded, give_back
 from tomeforge.functions.records import profile
 from tomeforge.operators.curation import THRESHOLD
 from tomeforge.operators.graph import cut
@@ -41,6 +42,7 @@ def units(text: str) -> list[str]:
 
 def features(documents: DataFrame) -> DataFrame:
     """(uid, kind, feature, p) of each document's features, once each; p: how probably a unit adds nothing, if it was asked."""
+    bounded(documents.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -56,6 +58,7 @@ def features(documents: DataFrame) -> DataFrame:
                     p = answers.get(value, answers.get("*")) if kind == UNIT else None
                     out.append((row.uid, kind, digest, None if p is None else float(p)))
             yield pd.DataFrame(out, columns=["uid", "kind", "feature", "p"]).astype({"p": "float64"})
+        give_back()
 
     rows = documents.select("uid", F.to_json(F.struct("entity")).alias("entity"), "body", "profile", "answers").mapInPandas(run, "uid long, kind int, feature string, p double")
     return rows.withColumn("p", F.when(~F.isnan("p"), F.col("p")))
