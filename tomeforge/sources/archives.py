@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from tomeforge.functions.batches import bounded
+
 #: Limits on unpacked bytes of a member and of an archive's members together (fixed values).
 MEMBER_BYTES, ARCHIVE_BYTES = 32 << 20, 100 << 20
 #: Bytes of files that one partition reads; a larger archive is several partitions. Bytes of a batch of rows.
@@ -408,6 +410,7 @@ def register(spark: SparkSession) -> None:
 def write_archives(rows: DataFrame, path: str) -> None:
     """One ZIP file for each `archive`, members in order of their names; an archive is written by one task, member by member."""
     register(rows.sparkSession)
+    bounded(rows.sparkSession)  # the writer is given few members at once
     rows.repartition("archive").sortWithinPartitions("archive", "member").write.format("tomeforge_archives").mode("append").save(path)
 
 
