@@ -27,6 +27,20 @@ def test_plans(spark):
     assert found(rules.plan_errors(decks, rooms, plans.where("id = 'p'"), regions.where("id = 'ok'"))) == []
 
 
+def test_ids_of_many_regions_are_counted_in_many_tasks_and_points_once(spark, monkeypatch):
+    monkeypatch.setattr(rules, "TASK_IDS", 20, raising=False)
+    decks = spark.createDataFrame([("s", "A")], "ship string, deck string")
+    rooms = spark.createDataFrame([], "ship string, id string, deck string")
+    plans = spark.createDataFrame([("s", "p", "A")], "ship string, id string, deck string")
+    regions = spark.range(1000).selectExpr("'s' as ship", "'p' as plan", "case when id % 100 = 0 then 'p' when id % 100 = 1 then 'twice' else 'r' || id end as id", "cast(null as string) as room", "id % 250 as n")
+    made = F.when(F.col("n") == 0, F.array()).otherwise(F.array(*(F.struct(F.lit(p["x"]).alias("x"), (F.lit(p["y"]) * (F.col("n") % 250 > 1).cast("int")).alias("y")) for p in SQUARE)))
+    regions = regions.withColumn("points", made.cast("array<struct<x:double,y:double>>"))
+    errors = rules.plan_errors(decks, rooms, plans, regions)
+    assert found(errors) == sorted([("s", "p", "repeated_id"), ("s", "twice", "repeated_id"), *[("s", "p", "bad_points")] * 2, ("s", "r250", "bad_points"), ("s", "r750", "bad_points")] + [("s", x, "no_area") for x in ("twice", "r251", "twice", "r751")])
+    plan = errors._jdf.queryExecution().executedPlan().toString()
+    assert ", 51), REPARTITION_BY_NUM" in plan
+
+
 def test_media(spark):
     good = "/runtime/media/rooms/a.b/c.png"
     rows = [("r", "a", good, None, "official"), ("r", "b", "/asset/x_1-2", "", "personal"), ("q", "a", good, "", "interpretation"), ("r", "c", "/asset/x/y", "", "official"), ("r", "d", "/runtime/media/../x", "", "official"), ("r", "e", f"{good}\n", "", "official"), ("r", "f", None, "", None), ("r", "g", good, "x" * 501, "official"), ("r", "h h", good, "", "official"), ("r", "a", good, "", "official")]

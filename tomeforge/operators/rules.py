@@ -14,6 +14,8 @@ IDENTIFIER = r"^[\p{L}\p{N}_-]{1,100}\z"
 LOCAL_URL = r"^(?:/asset/[A-Za-z0-9_-]+|/runtime/media/(?:[A-Za-z0-9_.-]+/)*[A-Za-z0-9_.-]+)\z"
 PROVENANCES = ("official", "personal", "interpretation")
 MOST_MEDIA, MOST_POINTS, URL_LENGTH, CAPTION_LENGTH = 100, 500, 600, 500
+#: Ids that one task counts, about 130 MB; left to itself Spark puts 64 MB of short ids together, millions of them.
+TASK_IDS = 500_000
 #: Parts of a campaign, and whether they are lists (fixed values).
 CAMPAIGN_PARTS = {"crew.members": True, "ship.rooms": True, "ship.decks": True, "droids.catalog": True, "operations": False, "skills.rankings": False, "history.groups": True}
 
@@ -60,18 +62,21 @@ def plan_errors(decks: DataFrame, rooms: DataFrame, plans: DataFrame, regions: D
     Plans and regions share one namespace in a ship. A plan's deck is one of the ship's, and a region's room,
     where it has one, is on that deck. Points are 3 to 500 within 0 to 100, and enclose an area.
     """
-    ids = plans.select("ship", "id").union(regions.select("ship", "id")).groupBy("ship", "id").count().where("count > 1")
+    named = plans.select("ship", "id").union(regions.select("ship", "id"))
+    tasks = max(named.sparkSession.sparkContext.defaultParallelism, -(-named.count() // TASK_IDS))
+    ids = named.repartition(tasks, "ship", "id").groupBy("ship", "id").count().where("count > 1")
     unknown = plans.join(decks.distinct(), ["ship", "deck"], "left_anti")
     on = regions.join(plans.groupBy("ship", F.col("id").alias("plan")).agg(F.min("deck").alias("plan_deck")), ["ship", "plan"], "left")
     on = on.join(rooms.groupBy("ship", F.col("id").alias("room")).agg(F.min("deck").alias("room_deck")), ["ship", "room"], "left")
     inside = F.forall("points", lambda p: p["x"].between(0, 100) & p["y"].between(0, 100)) & F.size("points").between(3, MOST_POINTS)
+    shape = F.when(~_holds(inside), "bad_points").when(~_holds(is_polygon(F.col("points"))), "no_area")
+    shapes = regions.select("ship", "id", shape.alias("rule")).where("rule is not null")  # one pass, since points may be dear to make
     return _all([
         _say(ids, F.col("ship"), F.col("id"), "repeated_id"),
         _say(unknown, F.col("ship"), F.col("id"), "unknown_deck"),
         _say(on.where("plan_deck is null"), F.col("ship"), F.col("id"), "unknown_plan"),
         _say(on.where(F.col("room").isNotNull() & F.col("plan_deck").isNotNull() & ~_holds(F.col("room_deck") == F.col("plan_deck"))), F.col("ship"), F.col("id"), "wrong_room"),
-        _say(regions.where(~_holds(inside)), F.col("ship"), F.col("id"), "bad_points"),
-        _say(regions.where(_holds(inside) & ~_holds(is_polygon(F.col("points")))), F.col("ship"), F.col("id"), "no_area"),
+        shapes.select(F.col("ship").cast("string").alias("owner"), F.col("id").cast("string").alias("what"), "rule"),
     ])
 
 
