@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -255,6 +256,35 @@ def test_the_nearest_page_decides_about_hints(spark):
     assert got == {n: f"Shared by both Story {n} Price {n}" for n in range(4)}
 
 
+def test_articles_without_hints_are_differenced(spark):
+    page = '<nav>Home</nav><article><ul><li><a href="/">Start of the site</a><li><a href="/{0}">Part {0}</a></ul><p>A passage of both, <a href="/x">by x</a>.</p><p>Story {0}</p></article>'
+    rows = [(n, f"http://h.org/{n}", page.format(n)) for n in range(40)] + [(99, "http://alone.org/", page.format(99))]
+    got = {r.page_id: (r.text, r.n_shared) for r in main_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: (f"Part {n} A passage of both, by x. Story {n}", 2) for n in range(40)} | {99: ("Start of the site Part 99 A passage of both, by x. Story 99", 0)}
+
+
+def test_shared_lines_of_the_given_articles(spark):
+    from os.path import commonprefix
+
+    rows = []
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        host, path = re.match(r"[a-z]+://([^/?#:]*)[^/?#]*([^#]*)", r.url.lower()).groups()
+        found = html_lines.lines(r.html)
+        rows.append((host, path, r.page_id, [x for x, k, _ in found if k == html_lines.ARTICLE], [x for x, _, _ in found]))
+    rows.sort(key=lambda r: r[:3])
+    assert len({r[:2] for r in rows}) == len(rows)
+    truth = {}
+    for i, (host, path, page, own, _) in enumerate(rows):
+        near = []
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(rows) and rows[j][0] == host and rows[j][3] == own:
+                j += step
+            near += [rows[j]] if 0 <= j < len(rows) and rows[j][0] == host else []
+        truth[page] = longest(own, max(near, key=lambda r: len(commonprefix([r[1], path])))[4]) if near else 0
+    assert {r.page_id: r.n_shared for r in main_text.op7_main_text(spark, SF).collect()} == truth and sum(truth.values()) > 0
+
+
 def test_broken_pages_take_linear_time():
     import time
 

@@ -91,13 +91,13 @@ def _kind(area: _Area | None, least: int) -> tuple[int, bool]:
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """Blocks of the page in order, white space made single blanks, without empty ones: text, kind, and whether only a hint marks it.
+    """Blocks of the page in order, white space made single blanks, without empty ones: text, kind, and whether only a hint marks it or it is mostly links.
 
     A mark counts for all that stands in its element, but if every article (without one, every main) stands
     in marked elements, those around the longest one mark nothing; nor does a form around a page's parts. If
     nothing is left of a page, names mark nothing in it, and if that isn't enough elements don't either.
     """
-    out: list[tuple[str, _Area | None]] = []
+    out: list[tuple[str, _Area | None, bool]] = []
     areas: list[_Area] = []
     stack: list[tuple[str, _Area | None]] = []
     forms: list[_Area] = []  # open ones that aren't cleared
@@ -109,10 +109,11 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         if text:
             if line := _SPACE.sub(" ", html.unescape("".join(text))).strip():
-                out.append((line, area))
+                links = min(linked, len(line))
+                out.append((line, area, 2 * links >= len(line)))
                 if area:
                     area.chars += len(line)
-                    area.links += min(linked, len(line))
+                    area.links += links
             text.clear()
         linked = 0
 
@@ -192,7 +193,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             a.state = None
         for a in areas:
             _kind(a, least)
-        found = [(line, *_kind(a, least)) for line, a in out]
+        found = [(line, (kind := _kind(a, least))[0], kind[1] or links) for line, a, links in out]
         if any(kind != FURNITURE for _, kind, _ in found):
             break
     return found
